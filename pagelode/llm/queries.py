@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import clean_ticker, table
+from .consensus import Consensus, consensus, counted_votes
 from .mixture import mix
 from .nearest import nearest_in_time
 from .pieces import number_pieces, split_texts
@@ -46,6 +47,30 @@ def p4_numbered(spark: SparkSession, sf: str) -> DataFrame:
     return number_pieces(p4_pieces(spark, sf), ["src", "item_key"]).select("src", "item_key", "piece_no", "start", "end", "piece")
 
 
+def _consensus(spark: SparkSession, sf: str) -> Consensus:
+    labels = ["ok", "not_ok", "uncertain"]
+    return consensus(counted_votes(table(spark, sf, "annotations"), "annotator", "item_id", "overall_status", "updated_at_utc", labels), labels)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _consensus(spark, sf).annotators.where("low <= 0").select("annotator")
+
+
+def p6_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Consensus status per item."""
+    return _consensus(spark, sf).items.withColumnRenamed("item", "item_id")
+
+
+def p6_annotators(spark: SparkSession, sf: str) -> DataFrame:
+    """Reliability of each annotator."""
+    return _consensus(spark, sf).annotators
+
+
+def p6_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Krippendorff's alpha of the counted votes."""
+    return _consensus(spark, sf).summary.withColumn("alpha", F.round("alpha", 6))
+
+
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), "doc_id", "source", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -69,8 +94,21 @@ p AS (
 )
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_pieces, p4_numbered, p9_mixture, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_pieces, p4_numbered, p6_found, p6_items, p6_annotators, p6_agreement, p9_mixture, p9_shares)}
 ORACLES = {
+    "p6_agreement": """
+WITH v AS (
+  SELECT annotator, item_id, max({'t': updated_at_utc, 's': regexp_replace(lower(trim(overall_status)), '[ _-]+', '_', 'g')}) AS x
+  FROM annotations WHERE annotator IS NOT NULL AND item_id IS NOT NULL AND updated_at_utc IS NOT NULL GROUP BY 1, 2
+), c AS (
+  SELECT item_id, count(*) FILTER (x.s = 'ok') AS a, count(*) FILTER (x.s = 'not_ok') AS b, count(*) FILTER (x.s = 'uncertain') AS c
+  FROM v GROUP BY 1 HAVING count(*) FILTER (x.s IN ('ok', 'not_ok', 'uncertain')) >= 2
+), t AS (
+  SELECT count(*) AS items, sum(a + b + c) AS n, sum(a) AS a, sum(b) AS b, sum(c) AS c,
+         sum((a * (b + c) + b * (a + c) + c * (a + b)) / (a + b + c - 1)) AS o
+  FROM c
+)
+SELECT items, CAST(n AS BIGINT) AS votes, round(1 - o / ((a * (n - a) + b * (n - b) + c * (n - c)) / (n - 1)), 6) AS alpha FROM t""",
     "p4_found": """
 SELECT DISTINCT 'page' AS src, docid AS item_key FROM report_pages WHERE length(text) > 4000
 UNION ALL SELECT DISTINCT 'document', CAST(doc_id AS VARCHAR) FROM documents WHERE length(text) > 4000""",
