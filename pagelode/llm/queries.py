@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import clean_ticker, table
 from .consensus import Consensus, consensus, counted_votes
+from .linkage import link, records
 from .mixture import mix
 from .nearest import nearest_in_time
 from .pieces import number_pieces, split_texts
@@ -71,6 +72,17 @@ def p6_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return _consensus(spark, sf).summary.withColumn("alpha", F.round("alpha", 6))
 
 
+def p7_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate pairs of companies and entities with their confidence."""
+    companies = records(table(spark, sf, "lse_companies"), "company_id", "company_name", None, "hq_city", "industry", "founded_year", F.col("revenue_musd") * 1e6)
+    entities = records(table(spark, sf, "fetched_entities"), "entity_id", "entity_name", "former_names", "business_city", "sic_description", "incorporated_year", F.col("revenue_usd"))
+    return link(companies, entities).withColumnsRenamed({"ia": "company_id", "ib": "entity_id"})
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_pairs(spark, sf).where("confidence >= 0.5").select("company_id", "entity_id")
+
+
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), "doc_id", "source", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -94,7 +106,7 @@ p AS (
 )
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_pieces, p4_numbered, p6_found, p6_items, p6_annotators, p6_agreement, p9_mixture, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_pieces, p4_numbered, p6_found, p6_items, p6_annotators, p6_agreement, p7_found, p7_pairs, p9_mixture, p9_shares)}
 ORACLES = {
     "p6_agreement": """
 WITH v AS (
