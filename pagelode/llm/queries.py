@@ -13,6 +13,7 @@ from .linkage import link, records
 from .mixture import mix
 from .nearest import nearest_in_time
 from .pieces import number_pieces, split_texts
+from .reading import reading_level
 
 #: Folder of the public vocabularies; override with the environment's own.
 TOKENIZERS = os.environ.get("PAGELODE_TOKENIZERS", "/opt/tokenizers")
@@ -95,6 +96,15 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Reading level of every document."""
+    return reading_level(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_levels(spark, sf).where("level < 5").select("doc_id").distinct()
+
+
 _TICKER = r"nullif(regexp_replace(regexp_replace(upper({0}.ticker), '\s+', '', 'g'), '\.(L|AX|TO|V)$', ''), '')"
 _P1 = f"""
 WITH f AS (SELECT filing_id, filing_date AS t, {_TICKER.format("filing_returns")} AS k FROM filing_returns WHERE filing_date IS NOT NULL),
@@ -106,7 +116,7 @@ p AS (
 )
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_pieces, p4_numbered, p6_found, p6_items, p6_annotators, p6_agreement, p7_found, p7_pairs, p9_mixture, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_pieces, p4_numbered, p6_found, p6_items, p6_annotators, p6_agreement, p7_found, p7_pairs, p9_mixture, p9_shares, p10_found, p10_levels)}
 ORACLES = {
     "p6_agreement": """
 WITH v AS (
