@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import clean_ticker, table
 from .consensus import Consensus, consensus, counted_votes
+from .leaks import leaked_passages
 from .linkage import link, records
 from .mixture import mix
 from .nearest import nearest_in_time
@@ -84,6 +85,15 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_pairs(spark, sf).where("confidence >= 0.5").select("company_id", "entity_id")
 
 
+def p8_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents near an item in latent space, with the evidence of a leak."""
+    return leaked_passages(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "text", "item_id", "passage")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_candidates(spark, sf).where("copied_share >= 1 / 3D - 1e-9").select("doc_id", "item_id").distinct()
+
+
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), "doc_id", "source", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -116,7 +126,7 @@ p AS (
 )
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_pieces, p4_numbered, p6_found, p6_items, p6_annotators, p6_agreement, p7_found, p7_pairs, p9_mixture, p9_shares, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_pieces, p4_numbered, p6_found, p6_items, p6_annotators, p6_agreement, p7_found, p7_pairs, p8_found, p8_candidates, p9_mixture, p9_shares, p10_found, p10_levels)}
 ORACLES = {
     "p6_agreement": """
 WITH v AS (
