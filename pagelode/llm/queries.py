@@ -15,6 +15,7 @@ from .mixture import mix
 from .nearest import nearest_in_time
 from .pieces import number_pieces, split_texts
 from .reading import reading_level
+from .scans import scanned_noise
 
 #: Folder of the public vocabularies; override with the environment's own.
 TOKENIZERS = os.environ.get("PAGELODE_TOKENIZERS", "/opt/tokenizers")
@@ -34,6 +35,22 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_pairs(spark, sf).select("filing_id", "window_id").distinct()
 
 
+def _scans(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "report_pages").select(F.lit("page").alias("src"), F.col("docid").alias("item_key"), "report", "page", "text")
+    items = table(spark, sf, "page_items")
+    items = items.select(F.lit("item").alias("src"), F.col("item_id").alias("item_key"), F.col("report_name").alias("report"), F.col("page_number").alias("page"), F.col("page_text").alias("text"))
+    return scanned_noise(pages.unionByName(items))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _scans(spark, sf).select("src", "item_key", F.inline("noise"))
+
+
+def p2_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages in continuous paragraphs."""
+    return _scans(spark, sf).select("src", "item_key", "repaired")
+
+
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of the long texts of pages and documents."""
     pages = table(spark, sf, "report_pages").select(F.lit("page").alias("src"), F.col("docid").alias("item_key"), F.col("text"))
@@ -126,7 +143,7 @@ p AS (
 )
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_pieces, p4_numbered, p6_found, p6_items, p6_annotators, p6_agreement, p7_found, p7_pairs, p8_found, p8_candidates, p9_mixture, p9_shares, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_text, p4_found, p4_pieces, p4_numbered, p6_found, p6_items, p6_annotators, p6_agreement, p7_found, p7_pairs, p8_found, p8_candidates, p9_mixture, p9_shares, p10_found, p10_levels)}
 ORACLES = {
     "p6_agreement": """
 WITH v AS (
