@@ -494,8 +494,8 @@ def scanned_noise(pages: DataFrame) -> DataFrame:
     once = pages.where("item_key IS NOT NULL AND trim(text) <> ''").groupBy("src", "item_key").agg(F.min(F.struct("text", "report", "page")).alias("p")).select("src", "item_key", "p.*")
     once = durable(once.withColumn("page", F.col("page").cast("int")))
     model = once.sparkSession.sparkContext.broadcast(learn(once))
-    last_line = F.rtrim(F.regexp_extract("text", r"([^\n]*\n?[^\n]*\n?[^\n]*\n?[^\n]*\n?[^\n]*)$", 1))
-    open_end = last_line.rlike("[" + _HYPHENS + r"]\s*(\n|$)")
+    # furniture may follow the last body line, so a hyphen at any of the last lines' ends counts
+    open_end = F.substring("text", -600, 600).rlike("[" + _HYPHENS + r"]\s*(\n|$)")
     heads = once.where("report IS NOT NULL AND page IS NOT NULL").select("src", "report", (F.col("page") - 1).alias("page"), F.substring("text", 1, 1500).alias("next_head"))
     heads = heads.groupBy("src", "report", "page").agg(F.min("next_head").alias("next_head"))
     wanted = once.withColumn("report", F.when(open_end, F.col("report")))
