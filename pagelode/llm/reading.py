@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,7 @@ FUNCTION_WORDS = {
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CELL = re.compile(r"(?:\s{2,}|\t|\|)\s*[-–(]?\s*[$€£]?\s*\d")
 _MARK = re.compile(r"^\s*<-{2,}.*-{2,}>\s*$|^[\s\d.,|/#*=_-]+$")
+_BULLET = re.compile(r"^(?:[-*•–]|\d+[.)])\s+")
 _STOP = re.compile(r"[.!?][\"'”’)\]]*(?=\s|$)")
 _LEGAL = re.compile(
     r"(?i)does not constitute|not (?:an? )?(?:offer|invitation|solicitation)|forward-looking statement|no (?:liability|warranty|representation)|all rights reserved|"
@@ -67,7 +70,7 @@ def prose(text: str) -> list[list[str]]:
     Lines broken within a sentence are joined; a line that is followed by a
     capital letter ends a sentence of its own, with or without a full stop.
     """
-    shouted = sum(map(str.isupper, text)) > 0.5 * max(sum(map(str.isalpha, text)), 1)
+    shouted = text.isupper()
     blocks: list[list[str]] = [[]]
     for line in text.split("\n"):
         line = line.strip()
@@ -76,19 +79,20 @@ def prose(text: str) -> list[list[str]]:
             continue
         if _MARK.match(line):
             continue
-        words = _WORD.findall(line)
-        if not words or (len(words) <= 9 and _CELL.search(line)):
-            blocks.append([])
-            continue
-        line = re.sub(r"^(?:[-*•–]|\d+[.)])\s+", "", line)
-        if not shouted and len(words) <= 12 and not line.endswith((".", "!", "?", ",", ";", ":")):
-            capital = sum(w[0].isupper() for w in words)
-            if capital >= 2 and capital >= 0.6 * len(words):
+        if len(line) <= 160:  # longer lines are no table rows or titles
+            words = _WORD.findall(line)
+            if not words or (len(words) <= 9 and _CELL.search(line)):
                 blocks.append([])
                 continue
+            line = _BULLET.sub("", line)
+            if not shouted and len(words) <= 12 and not line.endswith((".", "!", "?", ",", ";", ":")):
+                capital = sum(w[0].isupper() for w in words)
+                if capital >= 2 and capital >= 0.6 * len(words):
+                    blocks.append([])
+                    continue
         last = blocks[-1]
-        if last and not line[:1].isupper() and not re.search(r"[.!?]$", last[-1]):
-            last[-1] = re.sub(r"(?<=\w)[-­‐]$", "", last[-1]) + ("" if re.search(r"\w[-­‐]$", last[-1]) else " ") + line
+        if last and not line[:1].isupper() and not last[-1].endswith((".", "!", "?")):
+            last[-1] = last[-1][:-1] + line if last[-1].endswith(("-", "­", "‐")) else f"{last[-1]} {line}"
         else:
             last.append(line)
     blocks = [b for b in blocks if b]
@@ -96,7 +100,7 @@ def prose(text: str) -> list[list[str]]:
     for i, block in enumerate(blocks):
         if i >= len(blocks) - 2 and i and _LEGAL.search(" ".join(block)):
             continue
-        sentences = [s for line in block for s in _STOP.split(line) if _WORD.search(s)]
+        sentences = [s for line in block for s in _STOP.split(line) if len(s) > 1 and _WORD.search(s)]
         if i == len(blocks) - 1 and len(blocks) == 1 and len(sentences) > 1:
             while len(sentences) > 1 and _LEGAL.search(sentences[-1]):
                 sentences.pop()
@@ -111,17 +115,39 @@ def formula_grade(words: int, sentences: int, syllable_count: int) -> float:
 
 
 def _paragraphs(text: str | None, cache: _Syllables) -> tuple[str | None, list[tuple[list[str], float]]]:
+    """Language of a text, and the words and the grade of each paragraph of prose."""
     out: list[tuple[list[str], float]] = []
     every: list[str] = []
     for sentences in prose(text) if text else []:
-        words = [w for s in sentences for w in _WORD.findall(s.lower().replace("’", "'"))]
+        words = _WORD.findall(" ".join(sentences).lower().replace("’", "'"))
         every += words
         out.append((words, formula_grade(len(words), len(sentences), sum(map(cache.__getitem__, words)))))
     return language(every), out
 
 
-def word_grades(documents: DataFrame, text: str, lang: str, share: float = 1e-4, least: int = 5, quantile: float = 0.15, most: int = 1_000_000) -> dict[str, float]:
-    """Acquisition grade of every known word.
+def prose_table(documents: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    """``doc_id, lang, size, grades, words`` of every row with an id; the words, packed, only of texts in ``lang``."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = _Syllables()
+        for batch in batches:
+            out = []
+            for key, t in zip(batch["__id"], batch["__t"]):
+                found, paragraphs = _paragraphs(t, cache)
+                packed = zlib.compress("\n".join(" ".join(w) for w, _ in paragraphs).encode(), 1) if found == lang else None
+                out.append((key, found, sum(len(w) for w, _ in paragraphs), [g for _, g in paragraphs], packed))
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "size", "grades", "words"])
+
+    docs = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__id IS NOT NULL")
+    return durable(docs.mapInPandas(pack, f"doc_id {dict(docs.dtypes)['__id']}, lang string, size int, grades array<double>, words binary"))
+
+
+def _unpack(packed: bytes) -> list[list[str]]:
+    return [p.split(" ") for p in zlib.decompress(packed).decode().split("\n")]
+
+
+def word_grades(table: DataFrame, share: float = 1e-4, least: int = 5, quantile: float = 0.15, most: int = 1_000_000) -> dict[str, float]:
+    """Acquisition grade of every known word of a prose table.
 
     Each paragraph of prose is a graded text.  A word's rate in each band of
     grades is its number of paragraphs there over the band's words, so that
@@ -132,23 +158,21 @@ def word_grades(documents: DataFrame, text: str, lang: str, share: float = 1e-4,
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, counts = _Syllables(), Counter()
+        counts: Counter = Counter()
         rows = lambda: pd.DataFrame([(w, b, n) for (w, b), n in counts.items()], columns=["word", "band", "n"])
         for batch in batches:
-            for t in batch["__t"]:
-                found, paragraphs = _paragraphs(t, cache)
-                if found == lang:
-                    for words, grade in paragraphs:
-                        band = bisect_right(BANDS, grade)
-                        counts.update((w, band) for w in set(words))
-                        counts[None, band] += len(words)
-                        counts["", -1] += 1
+            for packed, grades in zip(batch["words"], batch["grades"]):
+                for words, grade in zip(_unpack(packed), grades):
+                    band = bisect_right(BANDS, grade)
+                    counts.update(zip(set(words), repeat(band)))
+                    counts[None, band] += len(words)
+                    counts["", -1] += 1
             if len(counts) > 1_000_000:
                 yield rows()
                 counts.clear()
         yield rows()
 
-    table = documents.select(F.col(text).alias("__t")).where("__t <> ''").mapInPandas(count, "word string, band int, n bigint")
+    table = table.where("words IS NOT NULL AND size > 0").select("words", "grades").mapInPandas(count, "word string, band int, n bigint")
     table = durable(table.groupBy("word", "band").agg(F.sum("n").alias("n")))
     size = {r.band: float(r.n) for r in table.where("word IS NULL").collect()}
     paragraphs = table.where("word = ''").agg(F.sum("n")).first()[0] or 0
@@ -186,6 +210,16 @@ def _isotonic(points: list[tuple[float, float, float]]) -> list[tuple[float, flo
     return [(p, pool[2]) for pool in pools for p in dict.fromkeys((pool[0], pool[1]))]
 
 
+def _median(weighted: list[tuple[float, int]]) -> float:
+    """Weighted median of sorted (value, weight)."""
+    half, run = sum(w for _, w in weighted) / 2, 0
+    for value, weight in weighted:
+        run += weight
+        if run >= half:
+            return value
+    return weighted[-1][0]
+
+
 def reading_level(documents: DataFrame, doc_id: str, text: str, lang: str = "en", quantile: float = 0.9, least_words: int = 8) -> DataFrame:
     """Reading grade of every document.
 
@@ -196,27 +230,26 @@ def reading_level(documents: DataFrame, doc_id: str, text: str, lang: str = "en"
     texts in other languages, null or empty texts, and texts with fewer than
     ``least_words`` known words of prose.
     """
-    grades = word_grades(documents, text, lang)
-    shared = documents.sparkSession.sparkContext.broadcast(grades)
+    table = prose_table(documents, doc_id, text, lang)
+    shared = documents.sparkSession.sparkContext.broadcast(word_grades(table))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, known = _Syllables(), shared.value
+        known = shared.value.get
         for batch in batches:
             out = []
-            for key, t in zip(batch["__id"], batch["__t"]):
-                found, paragraphs = _paragraphs(t, cache)
-                words = [w for p, _ in paragraphs for w in p]
-                values = [g for w in words if (g := known.get(w)) is not None]
-                size = sum(len(p) for p, _ in paragraphs)
-                grade = float(np.median(np.repeat([g for _, g in paragraphs], [len(p) for p, _ in paragraphs]))) if size else None
-                good = found == lang and len(values) >= least_words
-                raw = float(np.quantile(values, quantile)) if good else None
-                out.append((key, found, len(words), len(values) / len(words) if words else None, grade, raw))
+            for key, found, size, grades, packed in zip(*(batch[c] for c in ("doc_id", "lang", "size", "grades", "words"))):
+                raw = share = grade = None
+                if size and packed is not None:
+                    paragraphs = _unpack(packed)
+                    values = sorted(g for p in paragraphs for w in p if (g := known(w)) is not None)
+                    share = len(values) / size
+                    raw = values[min(int(quantile * len(values)), len(values) - 1)] if len(values) >= least_words else None
+                    grade = _median(sorted(zip(grades, map(len, paragraphs))))
+                out.append((key, found, size, share, grade, raw))
             yield pd.DataFrame(out, columns=["doc_id", "lang", "words", "known_share", "formula_grade", "raw"])
 
-    docs = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__id IS NOT NULL")
-    kind = dict(docs.dtypes)["__id"]
-    measured = durable(docs.mapInPandas(measure, f"doc_id {kind}, lang string, words int, known_share double, formula_grade double, raw double"))
+    kind = dict(table.dtypes)["doc_id"]
+    measured = durable(table.mapInPandas(measure, f"doc_id {kind}, lang string, words int, known_share double, formula_grade double, raw double"))
     bins = measured.where("raw IS NOT NULL").groupBy((F.round(F.col("raw") * 10) / 10).alias("x")).agg(F.percentile_approx("formula_grade", 0.5).alias("y"), F.count(F.lit(1)).alias("w"))
     steps = _isotonic([(r.x, r.y, float(r.w)) for r in bins.collect()])
     level = F.lit(None).cast("double")
