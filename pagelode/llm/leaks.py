@@ -21,30 +21,29 @@ from pyspark.sql import functions as F
 from ..session import durable
 
 _DIVIDED = re.compile(r"[-‐­¬]\s*\n\s*")
-_DROP = "".join(map(chr, range(33, 127)))
-_DROP = re.sub(r"[A-Za-z0-9|]", "", _DROP) + "‘’“”‚„–—―…·•«»‐‑­¬€£¥₹§°©®™′″‹›"
+_PAGE_MARK = re.compile(r"([-‐­¬]?)\s*<-{2,}\s*Page Split\s*-{2,}>\s*", re.IGNORECASE)
+#: Marks that aren't part of words.
+_MARKS = "‘’“”‚„–—―…·•«»‐‑­¬€£¥₹§°©®™′″‹›"
+_DROP = bytes(c for c in range(33, 127) if not (chr(c).isalnum() or c == ord("|")))
 #: Characters that scanners confuse, each folded into one of its class.
-_FOLD = str.maketrans({**{c: None for c in _DROP}, "0": "o", "1": "l", "i": "l", "|": "l", "5": "s", "9": "g", "e": "c", "†": "t", "�": "a", "ﬁ": "fl", "ﬂ": "fl"})
+_READ = {"†": "t", "�": "a", "ﬁ": "fi", "ﬂ": "fl"}
+_FOLD = bytes.maketrans(b"01i|59e", b"olllsgc")
 
 
-def fold(text: str) -> list[str]:
+def fold(text: str) -> list[bytes]:
     """Words of a text in a form in which case, punctuation, divisions and misread characters don't show."""
-    text = _DIVIDED.sub("", text).lower().translate(_FOLD)
-    return text.replace("rn", "m").replace("vv", "w").replace("cl", "d").replace("ll", "h").split()
-
-
-def _within(a: str, b: str, most: int) -> bool:
-    """Whether two words are at most ``most`` edits apart."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-        if min(row) > most:
-            return False
-    return row[-1] <= most
+    if "<--" in text:
+        text = _PAGE_MARK.sub(lambda m: "" if m[1] else " ", text)
+    text = _DIVIDED.sub("", text).lower()
+    if not text.isascii():
+        for c in _MARKS:
+            if c in text:
+                text = text.replace(c, "")
+        for c, letters in _READ.items():
+            if c in text:
+                text = text.replace(c, letters)
+    raw = text.encode("utf-8", "replace").translate(_FOLD, _DROP)
+    return raw.replace(b"rn", b"m").replace(b"vv", b"w").replace(b"cl", b"d").replace(b"ll", b"h").split()
 
 
 @dataclass
@@ -53,7 +52,7 @@ class Items:
 
     ids: list[int]
     words: list[np.ndarray]
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     terms: int
 
     @classmethod
@@ -65,43 +64,13 @@ class Items:
                     (numbers if re.search(r"\d", raw) else plain).setdefault(w)
         plain = [w for w in plain if w not in numbers]
         vocabulary = {w: i for i, w in enumerate([*plain, *numbers])}
-        words = [np.array([vocabulary.get(w, -1) for w in fold(t)], np.int32) for _, t in rows]
+        words = [np.array([vocabulary.get(w, -1) for w in fold(t)], np.int16) for _, t in rows]
         return cls([int(i) for i, _ in rows], words, vocabulary, len(plain))
 
-    def matcher(self):
-        """Function from a text to the ids of its words; -1 for words of no item."""
-        get, terms, cache = self.vocabulary.get, [w for w, i in self.vocabulary.items() if i < self.terms and len(w) >= 5], {}
-
-        def near(word: str) -> int:
-            if not 5 <= len(word) <= 24:
-                return -1
-            if word not in cache:
-                if len(cache) > 500_000:
-                    cache.clear()
-                most = 1 if len(word) < 9 else 2
-                cache[word] = next((self.vocabulary[t] for t in terms if _within(word, t, most)), -1)
-            return cache[word]
-
-        def ids(text: str, loose: bool) -> np.ndarray:
-            words = fold(text)
-            out = np.array([get(w, -1) for w in words], np.int32)
-            if not loose or not len(out):
-                return out
-            known = out >= 0
-            gaps = np.flatnonzero(~known & (np.convolve(known, np.ones(9), "same") >= 3))
-            drop = []
-            for i in gaps:
-                if out[i] >= 0:
-                    continue
-                both = get(words[i] + words[i + 1], -1) if i + 1 < len(words) else -1
-                if both >= 0:
-                    out[i] = both
-                    drop.append(i + 1)
-                else:
-                    out[i] = near(words[i])
-            return np.delete(out, drop) if drop else out
-
-        return ids
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text's words; -1 for words of no item."""
+        get = self.vocabulary.get
+        return np.array([get(w, -1) for w in fold(text)], np.int16)
 
 
 def _windows(ids: np.ndarray, size: int, stride: int) -> list[np.ndarray]:
@@ -109,18 +78,32 @@ def _windows(ids: np.ndarray, size: int, stride: int) -> list[np.ndarray]:
     return [ids[s : s + size] for s in [*range(0, last, stride), last]]
 
 
-def _dense(windows: list[np.ndarray], idf: np.ndarray, outside: float) -> np.ndarray:
-    """TF-IDF rows of windows, scaled by their whole norm, words of no item included."""
+def _dense(flat: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, outside: float) -> np.ndarray:
+    """TF-IDF of n windows, given as word ids with their rows, scaled by the whole norm, words of no item included."""
     v = len(idf)
-    size = np.fromiter(map(len, windows), np.int64, len(windows))
-    flat = np.concatenate(windows) if len(windows) else np.empty(0, np.int32)
-    row = np.repeat(np.arange(len(windows)), size)
     inside = (flat >= 0) & (flat < v)
-    counts = np.bincount(row[inside] * v + flat[inside], minlength=len(windows) * v).reshape(len(windows), v).astype(np.float32)
+    counts = np.bincount(row[inside] * v + flat[inside], minlength=n * v).reshape(n, v).astype(np.float32)
     counts *= idf
-    other = np.bincount(row[flat < 0], minlength=len(windows)) * outside**2
-    norm = np.sqrt((counts**2).sum(1) + other)
-    return counts / np.maximum(norm, 1e-9)[:, None]
+    other = np.bincount(row[flat < 0], minlength=n) * outside**2
+    norm = np.sqrt(np.einsum("ij,ij->i", counts, counts) + other)
+    return counts / np.maximum(norm, 1e-9).astype(np.float32)[:, None]
+
+
+def _stacked(windows: list[np.ndarray], idf: np.ndarray, outside: float) -> np.ndarray:
+    size = np.fromiter(map(len, windows), np.int64, len(windows))
+    return _dense(np.concatenate(windows), np.repeat(np.arange(len(windows)), size), len(windows), idf, outside)
+
+
+def _grid(batch: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Word ids of a batch of documents with the numbers of their windows, laid end to end within each document."""
+    texts = [np.frombuffer(raw, np.int16) for raw in batch]
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    windows = -(-lengths // size)
+    if not lengths.sum():
+        return np.empty(0, np.int64), np.empty(0, np.int64), 0
+    flat = np.concatenate(texts).astype(np.int64)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return flat, place // size + np.repeat(np.cumsum(windows) - windows, lengths), int(windows.sum())
 
 
 def _power(corpus: DataFrame, basis: np.ndarray, idf: np.ndarray, outside: float, size: int) -> np.ndarray:
@@ -130,21 +113,16 @@ def _power(corpus: DataFrame, basis: np.ndarray, idf: np.ndarray, outside: float
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q, weights, out = shared.value
         total = np.zeros(q.shape, np.float64)
-        rest: list[np.ndarray] = []
         for batch in batches:
-            for raw in batch["ids"]:
-                rest += [w for w in _windows(np.frombuffer(raw, np.int16), size, size) if (w >= 0).any()]
-                if len(rest) >= 4096:
-                    a = _dense(rest, weights, out)
-                    total += a.T @ (a @ q)
-                    rest = []
-        if rest:
-            a = _dense(rest, weights, out)
-            total += a.T @ (a @ q)
+            flat, row, n = _grid(batch["ids"], size)
+            for lo in range(0, n, 8192):
+                i, j = np.searchsorted(row, (lo, lo + 8192))
+                x = _dense(flat[i:j], row[i:j] - lo, min(8192, n - lo), weights, out)
+                total += x.T @ (x @ q)
         yield pd.DataFrame({"term": np.arange(len(total)), "row": list(total)})
 
     n, k = basis.shape
-    sums = corpus.mapInPandas(work, "term int, row array<double>").groupBy("term").agg(F.array(*[F.sum(F.col("row")[i]) for i in range(k)]).alias("row"))
+    sums = corpus.select("ids").mapInPandas(work, "term int, row array<double>").groupBy("term").agg(F.array(*[F.sum(F.col("row")[i]) for i in range(k)]).alias("row"))
     out = np.zeros((n, k))
     for r in sums.collect():
         out[r.term] = r.row
@@ -177,17 +155,22 @@ def copied(document: np.ndarray, item: np.ndarray, least: int) -> int:
 
 
 def subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of words."""
-    row = np.zeros(len(b) + 1, np.int32)
-    for x in a:
+    """Length of the longest common subsequence of words, by bits of one number."""
+    places: dict[int, int] = {}
+    for j, x in enumerate(b.tolist()):
         if x >= 0:
-            hit = row[:-1] + (b == x)
-            row[1:] = np.maximum.accumulate(np.maximum(row[1:], hit))
-    return int(row[-1])
+            places[x] = places.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a.tolist():
+        if m := places.get(x):
+            hit = row & m
+            row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
 
 
 def leaked_passages(
-    documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, rank: int = 96, window: int = 32, stride: int = 16, cosine: float = 0.45, least: int = 8, max_items: int = 20_000
+    documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, rank: int = 96, window: int = 32, stride: int = 16, cosine: float = 0.5, least: int = 8, max_items: int = 20_000
 ) -> DataFrame:
     """Candidate pairs of documents and items with the evidence of a leak.
 
@@ -205,7 +188,7 @@ def leaked_passages(
     if len(rows) > max_items:
         raise ValueError(f"more than {max_items} items")
     held = Items.of([(r[0], r[1]) for r in rows])
-    if held.terms >= 32_000:
+    if len(held.vocabulary) >= 32_000:
         raise ValueError("the items' vocabulary is too large for 16-bit ids")
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__id IS NOT NULL AND __t <> ''")
@@ -216,26 +199,24 @@ def leaked_passages(
     shared = spark.sparkContext.broadcast(held)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, terms = shared.value.matcher(), shared.value.terms
         for batch in batches:
-            coded = (ids(t, False) for t in batch["__t"])
-            # numbers count neither as words of an item nor as other words
-            yield pd.DataFrame({"ids": [np.where(c >= terms, 32_001, c).astype(np.int16).tobytes() for c in coded if len(c)]})
+            yield pd.DataFrame({"doc_id": batch["__id"], "ids": [shared.value.encode(t).tobytes() for t in batch["__t"]]})
 
-    corpus = durable(docs.mapInPandas(encode, "ids binary"))
+    # two bytes a word, of which most are alike
+    corpus = durable(docs.mapInPandas(encode, f"doc_id {kind}, ids binary"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(shared.value.terms + 1, np.int64)
+        v = shared.value.terms
+        n = np.zeros(v + 1, np.int64)
         for batch in batches:
-            for raw in batch["ids"]:
-                for w in _windows(np.frombuffer(raw, np.int16), window, window):
-                    n[-1] += 1
-                    u = np.unique(w)
-                    n[u[(u >= 0) & (u < len(n) - 1)]] += 1
+            flat, row, windows = _grid(batch["ids"], window)
+            inside = (flat >= 0) & (flat < v)
+            n[:-1] += np.bincount(np.unique(row[inside] * v + flat[inside]) % v, minlength=v)
+            n[-1] += windows
         yield pd.DataFrame({"term": np.arange(len(n)), "n": n})
 
     df = np.zeros(held.terms + 1)
-    for r in corpus.mapInPandas(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in corpus.select("ids").mapInPandas(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[r.term] = r.n
     idf = np.log1p(df[-1] / np.maximum(df[:-1], 1)).astype(np.float32)
     outside = float(np.median(idf)) / 2
@@ -243,9 +224,9 @@ def leaked_passages(
     targets, owner = [], []
     for i, w in enumerate(held.words):
         for part in _windows(w, window, stride // 4):
-            targets.append(np.where(part >= held.terms, 32_001, part))
+            targets.append(part)
             owner.append(i)
-    image = _dense(targets, idf, outside) @ space
+    image = _stacked(targets, idf, outside) @ space
     image /= np.maximum(np.linalg.norm(image, axis=1), 1e-9)[:, None]
     owner = np.array(owner)
     first = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -253,44 +234,50 @@ def leaked_passages(
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = shared.value
-        ids = held.matcher()
         weights, out, space, image, first = plan.value
-        energy = np.append(np.append(weights**2, np.zeros(len(held.vocabulary) - held.terms)), out**2)
-        inner = np.append(np.append(weights**2, np.zeros(len(held.vocabulary) - held.terms)), 0)
+        neutral = np.zeros(len(held.vocabulary) - held.terms)
+        inner = np.concatenate([weights**2, neutral, [0.0]])
+        energy = np.concatenate([weights**2, neutral, [out**2]])
         for batch in batches:
-            found: list[tuple] = []
-            starts: list[tuple[int, int]] = []
-            picked: list[np.ndarray] = []
-            for n, t in enumerate(batch["__t"]):
-                w = ids(t, False)
-                if len(w) < least:
-                    continue
-                own, all_ = (np.append(0, np.cumsum(e[w])) for e in (inner, energy))
-                last = max(len(w) - window, 0)
-                at = np.append(np.arange(0, last, stride), last)
-                to = np.minimum(at + window, len(w))
-                # words seen twice weigh up to the window's length more, so the bound counts them so
-                good = (own[to] - own[at]) * 2 >= cosine**2 * np.maximum(all_[to] - all_[at], 1e-9)
-                for s in at[good]:
-                    starts.append((n, s))
-                    picked.append(np.where(w[s : s + window] >= held.terms, 32_001, w[s : s + window]))
+            texts = [np.frombuffer(raw, np.int16) for raw in batch["ids"]]
+            place, owner_, ends, base = [], [], [], 0
+            for n, w in enumerate(texts):
+                if len(w) >= least:
+                    last = max(len(w) - window, 0)
+                    at = np.append(np.arange(0, last, stride), last)
+                    place.append(at + base)
+                    owner_.append(np.full(len(at), n))
+                    ends.append(np.minimum(at + window, len(w)) + base)
+                base += len(w)
+            if not place:
+                continue
+            flat = np.concatenate(texts).astype(np.int64)
+            at, who, to = np.concatenate(place), np.concatenate(owner_), np.concatenate(ends)
+            own, all_ = np.append(0, np.cumsum(inner[flat])), np.append(0, np.cumsum(energy[flat]))
+            # a bound: repeated words may weigh up to their number more than they count here
+            good = (own[to] - own[at]) * 2 >= cosine**2 * (all_[to] - all_[at])
+            at, who, to = at[good], who[good], to[good]
+            offset = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) - np.fromiter(map(len, texts), np.int64, len(texts))
             best: dict[tuple[int, int], list] = {}
-            for lo in range(0, len(picked), 2048):
-                z = _dense(picked[lo : lo + 2048], weights, out) @ space
+            for lo in range(0, len(at), 2048):
+                a, e = at[lo : lo + 2048], to[lo : lo + 2048]
+                size = e - a
+                row = np.repeat(np.arange(len(a)), size)
+                index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
+                z = _dense(flat[index], row, len(a), weights, out) @ space
                 near = np.maximum.reduceat(z @ image.T, first, axis=1)
                 for r, c in zip(*np.nonzero(near >= cosine)):
-                    n, s = starts[lo + r]
+                    n = int(who[lo + r])
+                    s = int(a[r] - offset[n])
                     b = best.setdefault((n, c), [0.0, s, s])
                     b[0], b[1], b[2] = max(b[0], float(near[r, c])), min(b[1], s), max(b[2], s)
-            loose: dict[int, np.ndarray] = {}
+            found: list[tuple] = []
             for (n, c), (near_, lo, hi) in best.items():
-                if n not in loose:
-                    loose[n] = ids(batch["__t"].iloc[n], True)
-                w, item = loose[n], held.words[c]
+                w, item = texts[n], held.words[c]
                 around = w[max(lo - window, 0) : hi + 2 * window]
                 figures = np.unique(item[item >= held.terms])
                 answer = float(np.isin(figures, around).mean()) if len(figures) else None
-                found.append((batch["__id"].iloc[n], held.ids[c], near_, copied(w, item, least) / len(item), subsequence(around, item) / len(item), answer))
+                found.append((batch["doc_id"].iloc[n], held.ids[c], near_, copied(w, item, least) / len(item), subsequence(around, item) / len(item), answer))
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "cosine", "copied_share", "lcs_share", "answer_share"])
 
-    return docs.mapInPandas(search, schema)
+    return corpus.mapInPandas(search, schema)
