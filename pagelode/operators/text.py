@@ -210,7 +210,7 @@ def detection_blocks(reports: DataFrame, key: str, text: str) -> DataFrame:
     flat = reports.select(key, F.posexplode(parts).alias("block", "__b"))
     box = F.regexp_extract("__b", r"(?s)<\|det\|>(.*?)<\|/det\|>", 1)
     return flat.select(
-        key, "block", F.regexp_extract("__b", r"(?s)^(.*?)<\|/ref\|>", 1).alias("kind"), F.from_json(box, "array<array<int>>").alias("boxes"), F.trim(F.regexp_extract("__b", r"(?s)<\|/det\|>(.*)$", 1)).alias("payload")
+        key, "block", F.regexp_extract("__b", r"(?s)^(.*?)<\|/ref\|>", 1).alias("kind"), F.from_json(box, "array<array<int>>").alias("boxes"), F.regexp_extract("__b", r"(?s)<\|/det\|>\s*(.*?)\s*$", 1).alias("payload")
     )
 
 

@@ -57,7 +57,7 @@ def read_number(raw: Column, max_decimals: int = 2) -> Column:
     decimals = r"^([0-9.,]*[0-9])[.,]([0-9]{1," + str(max_decimals) + r"})$"
     whole = F.regexp_replace(F.when(core.rlike(decimals), F.regexp_extract(core, decimals, 1)).otherwise(core), r"[.,]", "")
     part = F.regexp_extract(core, decimals, 2)
-    value = F.concat(whole, F.lit("."), F.when(part != "", part).otherwise("0")).try_cast("double")
+    value = F.when(whole != "", F.concat(whole, F.lit("."), F.when(part != "", part).otherwise("0"))).try_cast("double")
     negative = flat.rlike(r"\(\s*[^()]*[0-9][^()]*\)|[-−–]\s*[£€$₹]?\s*[0-9]")
     return F.when(negative, -value).otherwise(value)
 
