@@ -65,7 +65,8 @@ def cut(text: str, start: int, end: int, limit: int, overlap: int) -> list[tuple
     """Pieces (start, end) that cover text[start:end], at most ``limit`` long, each repeating up to ``overlap`` of the one before."""
     out = []
     while end - start > limit:
-        at = boundary(text, start + overlap + 1, start + limit)
+        # what is left is longer than the overlap, so that no piece lies within the next
+        at = boundary(text, start + overlap + 1, min(start + limit, end - 2 * overlap - 2))
         out.append((start, at))
         back = max(at - overlap, start + 1)
         word = next((i for i in range(back, at) if text[i - 1].isspace() and not text[i].isspace()), None)

@@ -153,6 +153,9 @@ class Model:
         n = self.words.get(key_of(word), 0.0)
         if n > 0:
             return math.log(n / self.total)
+        if re.search(r"\d", word) and _NUMBER.match(word):
+            bare = re.sub(r"^(?:us\$|[a-z]\$)", "", word)
+            return math.log((1e-7 if re.search(r"[oil|sb]", bare) else 1.0) / self.total)
         odd = _ODD.search(word) and sum(map(str.isalpha, word)) >= 3
         return math.log((1e-7 if odd else 0.02) / self.total)
 
