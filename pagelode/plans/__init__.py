@@ -3,23 +3,15 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
-FAMILIES = ("general", "facts", "scoring", "text", "search", "series", "agreement", "models", "readers", "streams")
+FAMILIES = ("general", "facts", "scoring", "text", "search", "series", "agreement", "models", "streams")
 
 
 def registry() -> tuple[dict, dict]:
-    """All queries and their SQL; families of absent subpackages are left out."""
+    """All queries of the library's core and their SQL."""
     queries, oracles = {}, {}
-    names = [f"{__name__}.{n}" for n in FAMILIES if importlib.util.find_spec(f"{__name__}.{n}")]
-    if importlib.util.find_spec("pagelode.llm"):
-        try:
-            importlib.import_module("pagelode.llm.queries")
-            names.append("pagelode.llm.queries")
-        except ImportError:
-            pass
-    for name in names:
-        module = importlib.import_module(name)
+    for name in FAMILIES:
+        module = importlib.import_module(f"{__name__}.{name}")
         queries |= module.QUERIES
         oracles |= module.ORACLES
     return queries, oracles
