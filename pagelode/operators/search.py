@@ -29,7 +29,9 @@ def bm25(documents: DataFrame, questions: DataFrame, doc: str, text: str, questi
     Terms repeated in a question count once each time.  Documents without any
     term count with length 0.
     """
-    keys = list(scope)
+    keys = list(scope) or ["__all"]
+    if not scope:
+        documents, questions = (d.withColumn("__all", F.lit(0)) for d in (documents, questions))
     asked = questions.select(*keys, question, F.explode(terms(F.col(query))).alias("term")).groupBy(*keys, question, "term").agg(F.count(F.lit(1)).alias("qf"))
     words = documents.where(F.col(text).isNotNull()).select(*keys, doc, terms(F.col(text)).alias("__w"))
     stats = words.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.avg(F.size("__w")).alias("__avg"))
@@ -37,13 +39,12 @@ def bm25(documents: DataFrame, questions: DataFrame, doc: str, text: str, questi
     postings = words.select(*keys, doc, F.size("__w").alias("__dl"), F.explode("__w").alias("term")).join(wanted, [*keys, "term"], "left_semi")
     tf = postings.groupBy(*keys, doc, "__dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"))
-    # the statistics are one row per scope
-    with_stats = df.join(F.broadcast(stats), keys) if keys else df.crossJoin(F.broadcast(stats))
+    with_stats = df.join(stats, keys)
     idf = F.log(1 + (F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(with_stats, [*keys, "term"]).select(*keys, question, "term", "qf", idf.alias("idf"), "__avg")
     scored = tf.join(weights, [*keys, "term"])
     part = F.col("qf") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("__dl") / F.col("__avg")))
-    return scored.groupBy(*keys, question, doc).agg(F.sum(part).alias("score"))
+    return scored.groupBy(*keys, question, doc).agg(F.sum(part).alias("score")).select(*scope, question, doc, "score")
 
 
 def top_k(scored: DataFrame, by: Sequence[str], score: str, doc: str, k: int) -> DataFrame:
@@ -83,24 +84,41 @@ def ranking_metrics(run: DataFrame, qrels: DataFrame, question: str, doc: str, k
     )
 
 
+def in_blocks(queries: DataFrame, key: str, size: int) -> list[DataFrame]:
+    """A stated query set cut into blocks of at most about ``size`` rows by hash, small enough to be sent to every task."""
+    n = -(-queries.count() // max(size // 2, 1))
+    return [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
 def cosine_top(vectors: DataFrame, queries: DataFrame, vec_id: str, vector: str, k: int, block: int = 2048) -> DataFrame:
     """For a stated set of query vectors the k nearest of all vectors by cosine, itself left out.
 
-    Blocks of all vectors meet the queries as a matrix product; each block
-    keeps its k best per query, and the blocks' bests are merged.  The queries
-    are sent to every task, and their number is checked.
+    Blocks of queries meet blocks of all vectors as matrix products; each
+    product keeps its k best per query, and these are merged.  Vectors that
+    are null take no part.
     """
-    rows = queries.select(vec_id, vector).limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("too many query vectors for one pass")
-    ids = np.array([r[0] for r in rows], np.int64)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-    q = unit(np.array([r[1] for r in rows], np.float64)) if rows else np.zeros((0, 1))
+    near = None
+    for part in in_blocks(queries.where(F.col(vector).isNotNull()), vec_id, 2 * block):
+        rows = part.select(vec_id, vector).limit(8 * block + 1).collect()
+        if len(rows) > 8 * block:
+            raise ValueError("a block of queries is too large")
+        if rows:
+            one = vectors.select(vec_id, vector).mapInPandas(_nearest(rows, unit, vec_id, vector, k, block), "query_id bigint, neighbour_id bigint, cosine double")
+            near = one if near is None else near.unionByName(one)
+    if near is None:
+        near = vectors.sparkSession.createDataFrame([], "query_id bigint, neighbour_id bigint, cosine double")
+    return top_k(near, ["query_id"], "cosine", "neighbour_id", k)
+
+
+def _nearest(rows, unit, vec_id: str, vector: str, k: int, block: int):
+    ids = np.array([r[0] for r in rows], np.int64)
+    q = unit(np.array([r[1] for r in rows], np.float64))
 
     def work(batches):
         for batch in batches:
             batch = batch[batch[vector].notna()]
-            for lo in range(0, len(batch) if len(ids) else 0, block):
+            for lo in range(0, len(batch), block):
                 part = batch.iloc[lo : lo + block]
                 own = part[vec_id].to_numpy()
                 sim = q @ unit(np.stack(part[vector].to_numpy()).astype(np.float64)).T
@@ -110,8 +128,19 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, vec_id: str, vector: str,
                 i, j = np.nonzero((sim >= kth[:, None]) & (sim > -np.inf))
                 yield pd.DataFrame({"query_id": ids[i], "neighbour_id": own[j], "cosine": sim[i, j]})
 
-    near = vectors.select(vec_id, vector).mapInPandas(work, "query_id bigint, neighbour_id bigint, cosine double")
-    return top_k(near, ["query_id"], "cosine", "neighbour_id", k)
+    return work
+
+
+def max_sim_top(vectors: DataFrame, queries: DataFrame, vec_id: str, tokens: str, k: int, block: int = 1024) -> DataFrame:
+    """For a stated set of queries the k best rows by late interaction, block of queries by block."""
+    out = None
+    for part in in_blocks(queries, vec_id, block):
+        q = part.select(F.col(vec_id).alias("query_id"), F.col(tokens).alias("query"))
+        one = vectors.join(F.broadcast(q), F.col(vec_id) != F.col("query_id")).select("query_id", vec_id, max_sim("query", tokens).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = vectors.select(F.col(vec_id).alias("query_id"), vec_id, F.lit(0.0).alias("score")).limit(0)
+    return top_k(out, ["query_id"], "score", vec_id, k)
 
 
 @pandas_udf(DoubleType())

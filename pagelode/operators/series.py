@@ -57,18 +57,28 @@ def group_means(series: DataFrame, groups: DataFrame, entity: str, group: str, t
     return both.groupBy(group, time).agg(F.avg(value).alias("equal_weighted"), F.sum(F.col("__w") * F.coalesce(F.col(value), F.lit(0.0))).alias("volume_weighted"))
 
 
-def as_of_next(events: DataFrame, calendar: DataFrame, by: Sequence[str], event_time: str, day: str) -> DataFrame:
+def as_of_next(events: DataFrame, calendar: DataFrame, by: Sequence[str], event_time: str, day: str, slot_days: int = 90) -> DataFrame:
     """The first calendar day on or after each event.
 
-    Events and calendar are one sorted stream per series, from which the next
-    calendar day is looked up: no range join arises.
+    Series are cut into slots of time.  Within a slot, events and calendar are
+    one sorted stream from which the next day is looked up; past a slot's last
+    day the first day of the next slot that has one is taken, from a table of
+    one row per slot.  No range join arises, and a hot series is many slots.
     """
     names = [c for c in events.columns if c not in by]
+    slot = F.floor(F.unix_date("__t") / F.lit(slot_days)).cast("int")
     e = events.select(*by, F.col(event_time).cast("date").alias("__t"), F.lit(0).alias("__k"), F.struct(*names).alias("__row"))
-    c = calendar.select(*by, F.col(day).cast("date").alias("__t")).distinct().withColumns({"__k": F.lit(1), "__row": F.lit(None).cast(e.schema["__row"].dataType)})
-    ahead = Window.partitionBy(*by).orderBy("__t", "__k").rowsBetween(0, Window.unboundedFollowing)
-    both = e.unionByName(c).withColumn("next_day", F.first(F.when(F.col("__k") == 1, F.col("__t")), ignorenulls=True).over(ahead))
-    return both.where("__k = 0").select(*by, "__row.*", "next_day")
+    days = calendar.select(*by, F.col(day).cast("date").alias("__t")).where("__t IS NOT NULL").distinct()
+    c = days.withColumns({"__k": F.lit(1), "__row": F.lit(None).cast(e.schema["__row"].dataType)})
+    both = e.unionByName(c).withColumn("__s", slot)
+    ahead = Window.partitionBy(*by, "__s").orderBy("__t", "__k").rowsBetween(0, Window.unboundedFollowing)
+    inside_ = both.withColumn("__in", F.min(F.when(F.col("__k") == 1, F.col("__t"))).over(ahead)).where("__k = 0")
+    firsts = days.withColumn("__s", slot).groupBy(*by, "__s").agg(F.min("__t").alias("__first"))
+    every = firsts.select(*by, "__s", "__first").unionByName(e.withColumn("__s", slot).select(*by, "__s").distinct().withColumn("__first", F.lit(None).cast("date")))
+    every = every.groupBy(*by, "__s").agg(F.min("__first").alias("__first"))
+    later = Window.partitionBy(*by).orderBy("__s").rowsBetween(1, Window.unboundedFollowing)
+    every = every.select(*by, "__s", F.min("__first").over(later).alias("__next"))
+    return inside_.join(every, [*by, "__s"], "left").select(*by, "__row.*", F.coalesce("__in", "__next").alias("next_day"))
 
 
 def latest_within(events: DataFrame, others: DataFrame, by: Sequence[str], key: str, time: str, other_time: str, before_days: int, after_days: int) -> DataFrame:

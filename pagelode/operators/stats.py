@@ -33,7 +33,10 @@ def ols(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 2) -> Dat
 def residuals(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """y less its linear fit on x, per group."""
     fit = ols(df, by, x, y).select(*by, "slope", "intercept")
-    joined = df.join(fit, list(by)) if by else df.crossJoin(F.broadcast(fit))
+    keys = list(by) or ["__all"]
+    if not by:
+        df, fit = df.withColumn("__all", F.lit(0)), fit.withColumn("__all", F.lit(0))
+    joined = df.join(fit, keys).drop("__all")
     return joined.withColumn("residual", F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))
 
 
@@ -90,10 +93,9 @@ def fleiss_kappa(votes: DataFrame, item: Sequence[str], label: str, raters: int)
     counts = vote_counts(votes, item, label)
     full = counts.groupBy(*item).agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("a")).where(F.col("n") == raters)
     shares = counts.join(full.select(*item), list(item), "left_semi").groupBy(label).agg(F.sum("c").alias("c"))
-    chance = shares.agg((F.sum(F.col("c") * F.col("c")) / F.pow(F.sum("c"), F.lit(2))).alias("pe"))
-    seen = full.agg(F.count(F.lit(1)).alias("items"), F.avg(F.col("a") / (raters * (raters - 1))).alias("p"))
-    # both sides are single rows
-    return seen.crossJoin(F.broadcast(chance)).select("items", F.when(F.abs(1 - F.col("pe")) > 1e-12, (F.col("p") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
+    chance = shares.agg(F.lit(0).alias("__all"), (F.sum(F.col("c") * F.col("c")) / F.pow(F.sum("c"), F.lit(2))).alias("pe"))
+    seen = full.agg(F.lit(0).alias("__all"), F.count(F.lit(1)).alias("items"), F.avg(F.col("a") / (raters * (raters - 1))).alias("p"))
+    return seen.join(chance, "__all").select("items", F.when(F.abs(1 - F.col("pe")) > 1e-12, (F.col("p") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
 
 
 def cohen_kappa(pairs: DataFrame, by: Sequence[str], a: str, b: str, categories: Sequence[str], weights: str = "none") -> DataFrame:

@@ -26,10 +26,9 @@ def _run(spark: SparkSession, sf: str) -> DataFrame:
 def _qrels(spark: SparkSession, sf: str) -> DataFrame:
     """Judgements made from the tables: a page that names the question's figure is relevant, with the year highly."""
     q = table(spark, sf, "eval_items").select("query_id", F.replace(F.regexp_extract("query_id", "^[^_]+_(.+)_[0-9]{4}$", 1), F.lit("_"), F.lit(" ")).alias("kpi"), F.regexp_extract("query_id", "([0-9]{4})$", 1).alias("year"))
+    names = [r[0] for r in q.select("kpi").distinct().limit(1000).collect()]  # the items are few and fixed
     words = _pages(spark, sf).select("docid", F.lower("text").alias("t"))
-    names = q.select("kpi").distinct()
-    # at most one row per figure's name: the few dozen names are matched in one pass over the pages
-    held = words.select("docid", "t").join(F.broadcast(names), F.expr("contains(t, kpi)"))
+    held = words.withColumn("kpi", F.explode(F.array_compact(F.array(*[F.when(F.col("t").contains(n), n) for n in sorted(names)]))))
     return q.join(held, "kpi").select("query_id", "docid", F.when(F.expr("contains(t, year)"), 2).otherwise(1).cast("bigint").alias("relevance"))
 
 
@@ -40,8 +39,8 @@ def bm25_top(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_per_exchange(spark: SparkSession, sf: str) -> DataFrame:
     """Rankings within each exchange."""
     pages = _pages(spark, sf).where("exchange IS NOT NULL")
-    scopes = pages.select("exchange").distinct()
-    questions = _questions(spark, sf).crossJoin(F.broadcast(scopes))  # a dozen exchanges
+    scopes = sorted(r[0] for r in pages.select("exchange").distinct().limit(1000).collect())  # a dozen exchanges
+    questions = _questions(spark, sf).withColumn("exchange", F.explode(F.array(*[F.lit(x) for x in scopes])))
     scored = R.bm25(pages, questions, "docid", "text", "query_id", "query_text", ["exchange"], 1.2, 0.75)
     return R.top_k(scored.withColumn("score", F.round("score", 6)), ["exchange", "query_id"], "score", "docid", 3).select("exchange", "query_id", "docid", F.col("rank").cast("bigint"), "score")
 
@@ -65,9 +64,7 @@ def cosine_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 def late_interaction(spark: SparkSession, sf: str) -> DataFrame:
     """MaxSim of a stated set of queries against all rows, each vector read as eight tokens of eight."""
     v = table(spark, sf, "embeddings").select("vec_id", R.as_tokens("embedding", F.lit(8)).alias("tokens"))
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("tokens").alias("query"))
-    scored = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("score", R.max_sim("query", "tokens"))
-    return R.top_k(scored.select("query_id", "vec_id", "score"), ["query_id"], "score", "vec_id", 5)
+    return R.max_sim_top(v, v.where("vec_id % 100 = 0"), "vec_id", "tokens", 5)
 
 
 def sparse_scores(spark: SparkSession, sf: str) -> DataFrame:
