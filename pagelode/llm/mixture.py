@@ -55,7 +55,7 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return have.withColumn("budget", budget).withColumn("quota", F.coalesce(F.col("budget") * F.col("weight"), F.lit(0.0)))
 
 
-def mix(documents: DataFrame, targets: DataFrame, doc_id: str, source: str, text: str, vocabulary: str, seed: int = 1, bucket_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, doc_id: str, source: str, text: str, vocabulary: str, seed: int = 1, bucket_rows: int = 20_000, max_sources: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """The mixture and its shares.
 
     Mixture: ``doc_id, source, copy, tokens, finish`` in the order of the
@@ -68,8 +68,11 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str, source: str, text
 
     Documents without id, known source or tokens take no part.  Running sums
     go over buckets of about ``bucket_rows`` documents, whose totals are
-    summed first, so that no source is sorted in one task.
+    summed first, so that no source is sorted in one task.  The targets, which
+    are sent to every task, are at most ``max_sources``.
     """
+    if targets.limit(max_sources + 1).count() > max_sources:
+        raise ValueError(f"more than {max_sources} target sources")
     known = targets.select(source_name(F.col("source")).alias("source")).where("source IS NOT NULL").distinct()
     docs = documents.select(F.col(doc_id).alias("doc_id"), source_name(F.col(source)).alias("source"), F.col(text).alias("__t"))
     docs = docs.join(F.broadcast(known), "source", "left_semi").where("doc_id IS NOT NULL AND __t <> ''")
