@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,9 +30,11 @@ CONFUSIONS = (
 )
 _ODD = re.compile(r"[0-9|!†�ﬁﬂﬀ]")
 _NUMBER = re.compile(r"^(?:us\$|[a-z]\$|[$£€₹¥])?[0-9oil|sb][0-9oil|sb,.]*%?$")
+_MASK = str.maketrans("0123456789", "#" * 10)
 _DIGITS = str.maketrans({"o": "0", "l": "1", "i": "1", "|": "1", "s": "5", "b": "8"})
 _HYPHENS = "-‐­¬"
 _TAIL = re.compile(r"([^\s]*[^\W\d_�†|][^\s]*?)([" + _HYPHENS + r"])(\s*)$|([^\s]+?)([" + _HYPHENS + r"])(\s*)$")
+_COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _PIECE = re.compile(r"[^\s\-‐­¬–—/]+")
 _EDGE = ".,;:!?\"'()[]{}“”‘’«»*"
 _LEGAL = {"plc", "inc", "ltd", "limited", "corporation", "corp", "company", "holdings", "group"}
@@ -42,6 +45,7 @@ _PAGE_NUMBERS = tuple(
 _SHAPES = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "5": "s", "9": "g", "e": "c", "†": "t", "�": "a", "ﬁ": "fl", "ﬂ": "fl"})
 
 
+@lru_cache(maxsize=200_000)
 def shape(word: str) -> str:
     """A word's letters with confused shapes made equal."""
     return word.lower().translate(_SHAPES).replace("rn", "m").replace("vv", "w").replace("cl", "d").replace("ll", "h")
@@ -51,7 +55,8 @@ _LEGAL_SHAPES = {shape(w) for w in _LEGAL}
 
 
 def key_of(core: str) -> str:
-    return re.sub(r"[0-9]", "#", core.lower())
+    word = core.lower()
+    return word if word.isalpha() else word.translate(_MASK)
 
 
 #: What stands for a front matter number, which no page's own number is compared with.
@@ -60,6 +65,8 @@ ROMAN = -1
 
 def number_on(text: str) -> int | None:
     """The number of a text that is a page number, else None; 0 if it can't be read."""
+    if len(text) > 24:
+        return None
     for p in _PAGE_NUMBERS:
         if m := p.match(text):
             if p is _PAGE_NUMBERS[1]:
@@ -74,6 +81,8 @@ def number_on(text: str) -> int | None:
 def split_number(line: str) -> tuple[str, str | None]:
     """The line without a page number set off by wide space at one end, and the number's text."""
     line = line.strip()
+    if "  " not in line and "\t" not in line:
+        return line, None
     for m in (re.match(r"^(.*\S)\s{2,}(\S+(?:\s\S+){0,3})$", line), re.match(r"^(\S+(?:\s\S+){0,3}?)\s{2,}(\S.*)$", line)):
         if m:
             a, b = (m[1], m[2]) if m.re.pattern.startswith("^(.*") else (m[2], m[1])
@@ -88,7 +97,7 @@ def skeleton(line: str) -> str:
     words, small = line.split(), 0
     for word in words:
         core = word.strip(_EDGE)
-        if re.search(r"\d", word) and len(re.sub(r"[0-9OolI|S.,\-]", "", core)) <= 1:
+        if not core.isalpha() and re.search(r"\d", word) and len(re.sub(r"[0-9OolI|S.,\-]", "", core)) <= 1:
             out.append("#")
         elif word == "|":
             out.append("|")
@@ -105,8 +114,9 @@ def pieces(line: str) -> list[tuple[int, str]]:
     out = []
     for m in _PIECE.finditer(line):
         raw = m[0]
-        core = raw.strip(_EDGE)
-        if core:
+        if raw[0].isalnum() and raw[-1].isalnum():
+            out.append((m.start(), raw))
+        elif core := raw.strip(_EDGE):
             out.append((m.start() + raw.index(core), core))
     return out
 
@@ -234,6 +244,8 @@ class Model:
         if n is not None:
             return n in (page, ROMAN) or not _PAGE_NUMBERS[0].match(line)
         rest, number = split_number(line)
+        if rest.count(" ") > 11:
+            return False  # no header has so many words
         form = skeleton(rest)
         if form in self.headers:
             # a name alone may be the end of a sentence
@@ -376,7 +388,7 @@ def _counted(text: str, page: int | None, counts: Counter) -> None:
         if number_on(line.strip()) is not None:
             continue
         ends = bool(re.search(r"[" + _HYPHENS + r"]\s*$", line))
-        for m in re.finditer(r"[^\W\d_]+(?:-[^\W\d_]+)+", line[:-1] if ends else line):
+        for m in _COMPOUND.finditer(line[:-1] if ends else line) if "-" in line else ():
             if m.end() < len(line.rstrip()) - 1:
                 counts["compound", m[0].lower(), ""] += 1
         words = [key_of(w) for _, w in pieces(line)]
