@@ -54,7 +54,7 @@ class Consensus:
 
 
 def consensus(
-    votes: DataFrame, labels: Sequence[str], correct_prior: float = 2.0, wrong_prior: float = 0.5, class_prior: float = 1.0, rounds: int = 25, tolerance: float = 1e-3, z: float = 3.0, broadcast_annotators: int = 200_000
+    votes: DataFrame, labels: Sequence[str], correct_prior: float = 2.0, wrong_prior: float = 0.5, class_prior: float = 1.0, report_prior: float = 0.5, rounds: int = 25, tolerance: float = 1e-3, z: float = 3.0, broadcast_annotators: int = 200_000
 ) -> Consensus:
     """Fit the model to votes of ``annotator, item, label`` (one per annotator and item).
 
@@ -62,8 +62,9 @@ def consensus(
     how common they are, of the difference that the true label makes to the
     vote: 1 for perfect votes, 0 for votes unrelated to the truth, negative
     for opposed ones.  Leniency, strictness and hesitation leave it positive.
-    ``low`` and ``high`` are its posterior mean less and plus ``z`` posterior
-    standard deviations.  An item's label with equal posteriors is the first
+    It is reported under a symmetric prior of ``report_prior`` a cell, which
+    leans neither way.  ``low`` and ``high`` are its posterior mean less and
+    plus ``z`` posterior standard deviations.  An item's label with equal posteriors is the first
     of ``labels``.  No votes give empty items and annotators.
     """
     k = range(len(labels))
@@ -104,7 +105,10 @@ def consensus(
     per_item = per_item.withColumn("agreement", F.try_divide(agreeing, F.col("votes") * (F.col("votes") - 1)))
     items = per_item.join(q, "i").select("item", pick.alias("label"), best.alias("confidence"), "votes", "agreement")
 
-    mean = {(c, v): F.col(f"a{c}{v}") / rows[c] for c in k for v in k}
+    # a symmetric prior, so that without votes a reliability is 0
+    own = {(c, v): F.col(f"n{c}{v}") + report_prior for c in k for v in k}
+    rows = {c: sum((own[c, v] for v in k), F.lit(0.0)) for c in k}
+    mean = {(c, v): own[c, v] / rows[c] for c in k for v in k}
     pairs = [(c, d, weight[c] * weight[d]) for c in k for d in k if c < d]
     scale = sum(w for *_, w in pairs) * 2
     contrast = {c: [0.0] * len(labels) for c in k}
