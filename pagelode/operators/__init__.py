@@ -1 +1 @@
-"""operators of pagelode."""
+"""Operators: functions from DataFrame to DataFrame with column parameters."""

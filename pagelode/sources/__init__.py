@@ -1 +1 @@
-"""sources of pagelode."""
+"""Readers and sinks."""

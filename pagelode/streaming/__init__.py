@@ -1 +1 @@
-"""streaming of pagelode."""
+"""Operators over streams."""
