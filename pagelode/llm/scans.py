@@ -94,17 +94,18 @@ def split_number(line: str) -> tuple[str, str | None]:
 def skeleton(line: str) -> str:
     """A header's form: numbers, and a company's name, masked; confused shapes made equal."""
     out: list[str] = []
-    words, small = line.split(), 0
+    words, small, ended = line.split(), 0, False
     for word in words:
         core = word.strip(_EDGE)
-        if not core.isalpha() and re.search(r"\d", word) and len(re.sub(r"[0-9OolI|S.,\-]", "", core)) <= 1:
+        if not core.isalpha() and (digits := len(re.findall(r"\d", word))) and len(re.sub(r"[0-9OolI|S.,\-]", "", core)) < min(digits, 2):
             out.append("#")
         elif word == "|":
             out.append("|")
         else:
             out.append(shape(core or word))
             small += word[:1].islower() and core not in _LEGAL
-            if out[-1] in _LEGAL_SHAPES and len(out) <= 8 and "|" not in out and small <= (len(out) > 2 or out[0] == "@"):
+            ended |= word[-1] in ".,;:" and core.lower() not in _LEGAL  # a sentence's end, so no name
+            if out[-1] in _LEGAL_SHAPES and len(out) <= 8 and not ended and "|" not in out and "#" not in out and small <= (len(out) > 2 or out[0] == "@"):
                 out = ["@"]
     return " ".join(out)
 
