@@ -90,27 +90,28 @@ def block_keys(r: DataFrame, wide: bool, common: list[str], year_reach: int = 1,
         crossed.append(F.coalesce(named(keys, "+".join(p)), F.array().cast("array<string>")))
     whole = F.transform("names", lambda n: F.concat(F.lit("name:"), F.concat_ws(" ", F.array_sort(n))))
     keys = F.array_distinct(F.concat(F.coalesce(whole, F.array().cast("array<string>")), *crossed))
-    initials = F.array_distinct(F.transform(telling, lambda w: F.substring(w, 1, 1)))
-    return r.select("id", F.explode(keys).alias("key"), initials.alias("initials"))
+    return r.select("id", F.explode(keys).alias("key"))
 
 
 def candidate_pairs(a: DataFrame, b: DataFrame, common: list[str], most: int = 10_000) -> DataFrame:
     """Distinct pairs of ids that share a key of some pass.
 
-    A key whose block would give more than ``most`` pairs is narrowed by the
-    initial letter of a telling word, for all its records; a pair that agrees
-    in no initial is left to the other passes.
+    A key whose block would give more than ``most`` pairs is cut into a grid of
+    cells of about that many: each record falls by its hash into one row (or
+    column) of the grid and is repeated over its cells, so that every pair of
+    the block meets in exactly one cell.
     """
     ka, kb = block_keys(a, True, common), block_keys(b, False, common)
     sizes = ka.groupBy("key").agg(F.count(F.lit(1)).alias("na")).join(kb.groupBy("key").agg(F.count(F.lit(1)).alias("nb")), "key")
-    big = sizes.where(F.col("na") * F.col("nb") > most).select("key", F.lit(True).alias("big"))
+    side = math.sqrt(most)
+    big = sizes.where(F.col("na") * F.col("nb") > most).select("key", F.ceil(F.col("na") / side).alias("cut_a"), F.ceil(F.col("nb") / side).alias("cut_b"))
 
-    def narrowed(k: DataFrame) -> DataFrame:
-        k = k.join(big, "key", "left")
-        letters = F.when(F.col("big"), F.col("initials")).otherwise(F.array(F.lit("")))
-        return k.select("id", F.explode(letters).alias("initial"), "key").select("id", F.xxhash64("key", "initial").alias("key"))
+    def celled(k: DataFrame, own: str, other: str) -> DataFrame:
+        k = k.join(big, "key", "left").select("id", "key", *[F.coalesce(c, F.lit(1)).cast("bigint").alias(c) for c in ("cut_a", "cut_b")])
+        k = k.select("id", "key", F.pmod(F.xxhash64("id"), own).alias(own), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias(other))
+        return k.select("id", F.xxhash64("key", "cut_a", "cut_b").alias("key"))
 
-    pairs = narrowed(ka).withColumnRenamed("id", "ia").join(narrowed(kb).withColumnRenamed("id", "ib"), "key")
+    pairs = celled(ka, "cut_a", "cut_b").withColumnRenamed("id", "ia").join(celled(kb, "cut_b", "cut_a").withColumnRenamed("id", "ib"), "key")
     return pairs.groupBy("ia", "ib").agg(F.count(F.lit(1)).alias("passes"))
 
 

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pagelode.llm.linkage import core_words, link, records
+from pagelode.llm.linkage import candidate_pairs, core_words, link, records
 
 A = "company_id bigint, company_name string, hq_city string, industry string, founded_year int, revenue_musd double, id string, confidence string"
 B = "entity_id bigint, entity_name string, former_names string, business_city string, sic_description string, incorporated_year int, revenue_usd double, names string"
@@ -63,3 +63,17 @@ def test_hot_block_is_narrowed_not_lost(spark):
     b = [(i, f"{n.upper()} Glass Ltd", None, "Ashgate", "glass", 1950, 1e7, None) for i, n in enumerate(names)]
     got = both(spark, a, b).where("name = 4").collect()
     assert {(r.ia, r.ib) for r in got if r.confidence >= 0.5} >= {(i, i) for i in range(len(names))}
+
+
+def test_hot_block_keeps_every_pair(spark):
+    """Names without a common initial, of trade words only or missing lose nothing in a block beyond the bound."""
+    names = ["Zorvane", "Paper Products plc", None, *(f"{'BCDFGHJKLM'[i % 10]}arn{i}" for i in range(117))]
+    others = ["Quillip", "Paper Products Ltd", None, *(f"{'NPRSTVWXYZ'[i % 10]}olt{i}" for i in range(97))]
+    a = [(i, n, "Ashgate", "Glass Products", 1950, None, None, None) for i, n in enumerate(names)]
+    b = [(1000 + i, n, None, "Ashgate", "glass", 1950, None, None) for i, n in enumerate(others)]
+    ra = records(spark.createDataFrame(a, A), "company_id", "company_name", None, "hq_city", "industry", "founded_year", F.col("revenue_musd") * 1e6)
+    rb = records(spark.createDataFrame(b, B), "entity_id", "entity_name", "former_names", "business_city", "sic_description", "incorporated_year", F.col("revenue_usd"))
+    for most in (10_000, 60):
+        got = candidate_pairs(ra, rb, ["paper", "products"], most).collect()
+        assert sorted((r.ia, r.ib) for r in got) == [(i, 1000 + j) for i in range(120) for j in range(100)]
+        assert {(r.ia, r.ib): r.passes for r in got} == {(r.ia, r.ib): r.passes for r in candidate_pairs(ra, rb, ["paper", "products"], 10**9).collect()}
