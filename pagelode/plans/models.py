@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import match as M
@@ -12,13 +12,30 @@ from ..session import table
 
 
 def value_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Line prices within 0.1 % of another line's price of the same part."""
+    """Line prices within 0.1 % of the price of another order's first line of the same part; ``line_matches`` takes every line as a target."""
     li = table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
     t = li.where("l_linenumber = 1").select("l_partkey", F.col("l_orderkey").alias("target_order"), F.col("l_extendedprice").alias("target"))
     out = M.within(li, t, ["l_partkey"], "l_extendedprice", "target", 0.001).where("l_orderkey <> target_order")
     return out.select("l_partkey", "l_orderkey", F.col("l_linenumber").cast("bigint"), "target_order", F.round("rel_error", 8).alias("rel_error"))
 
 
+def line_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Line prices within 0.1 % of another line's price of the same part.
+
+    Order and line number don't tell lines apart in these tables, so lines
+    that share them are numbered by their other columns; lines that agree in
+    all columns may change places.
+    """
+    li = table(spark, sf, "lineitem")
+    own = ["l_partkey", "l_orderkey", "l_linenumber"]
+    rest = [c for c in li.columns if c not in own]
+    li = li.withColumn("copy", F.row_number().over(Window.partitionBy(*own).orderBy(*rest))).select(*own, "copy", "l_extendedprice")
+    t = li.select("l_partkey", F.col("l_orderkey").alias("target_order"), F.col("l_linenumber").cast("bigint").alias("target_line"), F.col("copy").alias("target_copy"), F.col("l_extendedprice").alias("target"))
+    same = F.col("l_orderkey").eqNullSafe(F.col("target_order")) & F.col("l_linenumber").eqNullSafe(F.col("target_line")) & (F.col("copy") == F.col("target_copy"))
+    out = M.within(li, t, ["l_partkey"], "l_extendedprice", "target", 0.001).where(~same)
+    return out.select("l_partkey", "l_orderkey", F.col("l_linenumber").cast("bigint"), "target_order", "target_line", F.round("rel_error", 8).alias("rel_error"))
+
+
 def scaled_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Quantities against order totals divided by round figures."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
@@ -67,10 +84,13 @@ def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
     return L.tf_idf(d, "item_id", "passage", 5).where("rank <= 5")
 
 
-QUERIES = {f.__name__: f for f in (value_matches, scaled_matches, near_names, page_values, residual_codes, linear_probe, projected, cluster_quality, tfidf_terms)}
+QUERIES = {f.__name__: f for f in (value_matches, line_matches, scaled_matches, near_names, page_values, residual_codes, linear_probe, projected, cluster_quality, tfidf_terms)}
 ORACLES = {
     "value_matches": """SELECT a.l_partkey, a.l_orderkey, CAST(a.l_linenumber AS BIGINT) AS l_linenumber, b.l_orderkey AS target_order, round(abs(a.l_extendedprice - b.l_extendedprice) / abs(b.l_extendedprice), 8) AS rel_error
 FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND b.l_linenumber = 1 AND a.l_orderkey <> b.l_orderkey AND abs(a.l_extendedprice - b.l_extendedprice) / abs(b.l_extendedprice) <= 0.001""",
+    "line_matches": """WITH l AS MATERIALIZED (SELECT *, row_number() OVER () AS i FROM lineitem)
+SELECT a.l_partkey, a.l_orderkey, CAST(a.l_linenumber AS BIGINT) AS l_linenumber, b.l_orderkey AS target_order, CAST(b.l_linenumber AS BIGINT) AS target_line, round(abs(a.l_extendedprice - b.l_extendedprice) / abs(b.l_extendedprice), 8) AS rel_error
+FROM l a JOIN l b ON a.l_partkey = b.l_partkey AND a.i <> b.i AND abs(a.l_extendedprice - b.l_extendedprice) / abs(b.l_extendedprice) <= 0.001""",
     "scaled_matches": """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, o_totalprice AS target, min(d) AS divisor FROM lineitem JOIN orders ON l_orderkey = o_orderkey CROSS JOIN (SELECT unnest([1000.0, 10000.0])::DOUBLE AS d)
 WHERE abs(l_quantity - o_totalprice / d) / (o_totalprice / d) <= 0.01 GROUP BY 1, 2, 3""",
     "near_names": r"""WITH p AS (SELECT docid, min(text) AS text FROM report_pages WHERE text IS NOT NULL GROUP BY 1),
