@@ -63,7 +63,7 @@ def page_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def residual_codes(spark: SparkSession, sf: str) -> DataFrame:
-    return L.residual_codes(table(spark, sf, "embeddings"), "vec_id", "embedding", levels=3, k=8)
+    return L.residual_codes(table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
 def linear_probe(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,8 +80,7 @@ def cluster_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "eval_items")
-    return L.tf_idf(d, "item_id", "passage", 5).where("rank <= 5")
+    return L.tf_idf(table(spark, sf, "documents"), "doc_id", "text", 5)
 
 
 QUERIES = {f.__name__: f for f in (value_matches, line_matches, scaled_matches, near_names, page_values, residual_codes, linear_probe, projected, cluster_quality, tfidf_terms)}
