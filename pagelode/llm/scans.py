@@ -275,11 +275,7 @@ class Model:
         return a not in self.first_parts
 
 
-def _body(model: Model, lines: list[str], page: int | None) -> list[bool]:
-    return [bool(x.strip()) and not model.is_furniture(x, page) for x in lines]
-
-
-def repair(text: str, page: int | None, next_head: str | None, next_page: int | None, model: Model) -> tuple[list[tuple[int, str]], str]:
+def repair(text: str, page: int | None, next_text: str | None, next_page: int | None, model: Model) -> tuple[list[tuple[int, str]], str]:
     """The noisy lines of a page with their kinds, and its text in continuous paragraphs."""
     lines = text.split("\n")
     furniture = [bool(x.strip()) and model.is_furniture(x, page) for x in lines]
@@ -297,9 +293,8 @@ def repair(text: str, page: int | None, next_head: str | None, next_page: int |
         if i in follower:
             nxt = re.match(r"\s*(\S+)", lines[follower[i]])
             head = nxt[1] if nxt else ""
-        elif next_head is not None:
-            heads = next_head.split("\n")
-            first = next((h for h, b in zip(heads, _body(model, heads, next_page)) if b), None)
+        elif next_text is not None:
+            first = next((x for x in next_text.split("\n") if x.strip() and not model.is_furniture(x, next_page)), None)
             head = first.split()[0] if first else None
         else:
             head = None
@@ -504,27 +499,27 @@ def scanned_noise(pages: DataFrame) -> DataFrame:
     0, kind), ``repaired`` is the page in continuous paragraphs.  A page given
     twice counts once, by its first text in order; null and blank texts give
     no row; rows without key are left out; a page whose successor is missing
-    judges a divided last word by itself.  The head of the next page comes by
+    judges a divided last word by itself.  The next page comes whole by
     a join on report and page number, so that no report is gathered in a task.
     """
     once = pages.where("item_key IS NOT NULL AND trim(text) <> ''").groupBy("src", "item_key").agg(F.min(F.struct("text", "report", "page")).alias("p")).select("src", "item_key", "p.*")
     once = durable(once.withColumn("page", F.col("page").cast("int")))
     model = once.sparkSession.sparkContext.broadcast(learn(once))
-    # furniture may follow the last body line, so a hyphen at any of the last lines' ends counts
-    open_end = F.substring("text", -600, 600).rlike("[" + _HYPHENS + r"]\s*(\n|$)")
-    heads = once.where("report IS NOT NULL AND page IS NOT NULL").select("src", "report", (F.col("page") - 1).alias("page"), F.substring("text", 1, 1500).alias("next_head"))
-    heads = heads.groupBy("src", "report", "page").agg(F.min("next_head").alias("next_head"))
+    # any length of furniture may follow the last body line, so a hyphen at any line's end counts
+    open_end = F.col("text").rlike("[" + _HYPHENS + r"]\s*(\n|$)")
+    following = once.where("report IS NOT NULL AND page IS NOT NULL").select("src", "report", (F.col("page") - 1).alias("page"), F.col("text").alias("next_text"))
+    following = following.groupBy("src", "report", "page").agg(F.min("next_text").alias("next_text"))
     wanted = once.withColumn("report", F.when(open_end, F.col("report")))
-    joined = wanted.join(heads, ["src", "report", "page"], "left")
+    joined = wanted.join(following, ["src", "report", "page"], "left")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for batch in batches:
             out = []
-            for src, k, t, p, h in zip(batch["src"], batch["item_key"], batch["text"], batch["page"], batch["next_head"]):
+            for src, k, t, p, h in zip(batch["src"], batch["item_key"], batch["text"], batch["page"], batch["next_text"]):
                 page = None if p is None or p != p else int(p)
                 noise, repaired = repair(t, page, h if isinstance(h, str) else None, None if page is None else page + 1, m)
                 out.append((src, k, [{"line_no": i, "kind": kind} for i, kind in noise], repaired))
             yield pd.DataFrame(out, columns=["src", "item_key", "noise", "repaired"])
 
-    return joined.select("src", "item_key", "text", "page", "next_head").mapInPandas(work, "src string, item_key string, noise array<struct<line_no: bigint, kind: string>>, repaired string")
+    return joined.select("src", "item_key", "text", "page", "next_text").mapInPandas(work, "src string, item_key string, noise array<struct<line_no: bigint, kind: string>>, repaired string")

@@ -52,3 +52,15 @@ def test_empty_and_very_long(spark):
     assert scanned_noise(table(spark, {})).count() == 0
     r = scanned_noise(table(spark, {1: ["word " * 40_000, "", "x" * 50_000]})).first()
     assert [n.kind for n in r.noise] == []
+
+
+def test_divided_word_across_any_length(spark):
+    """Furniture and blanks of any length may stand between the parts of a word divided at a page's end."""
+    pages = {i: [*page(i), "The committee expects the re-entry of the business."] for i in range(1, 40)}
+    head = ["gional business of the market.", *page(0)[2:]]
+    end = "The committee considers the severe weather and the re-"
+    pages[40], pages[41] = [*page(40), end, *[""] * 700, "Page 40"], ["Acme Holdings plc Annual Report 2020  41", *head]
+    pages[42], pages[43] = [*page(42), end], ["Acme Holdings plc Annual Report 2020  43", *[""] * 1600, *head]
+    pages[44], pages[45] = [*page(44), end], ["Acme Holdings plc Annual Report 2020  45", "entry of the business.", *page(0)[2:]]
+    got = {x for x in found(scanned_noise(table(spark, pages))) if x[2] == "hyphen"}
+    assert got == {("R#p40", 14, "hyphen"), ("R#p42", 14, "hyphen")}
