@@ -256,7 +256,7 @@ def dollar_marks(text: Column) -> Column:
 
 
 def heading_sections(pages: DataFrame, report: str, page: str, text: str, phrases: Sequence[str], span: int = 4) -> DataFrame:
-    """Sections that begin under one of the phrases as a heading: start page and the texts of ``span`` pages.
+    """Sections that begin under one of the phrases as a heading: start page and heading, without the texts.
 
     The longest phrase wins, lines of a table of contents are rejected, and a
     heading within the span of an accepted one of the same report is dropped.
