@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,20 +15,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    The files go to the folder of ``spark.checkpoint.dir``, which a cluster
-    shares between executors; a private folder is set only when the session
-    names none, as in local tests.
+    Only a session in one process may do without the setting; it gets a
+    private folder there.  Anywhere else a folder of one machine would lose
+    data with that machine, so its absence is an error.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if spark.sparkContext not in _PRIVATE:
+        import tempfile
+
+        _PRIVATE[spark.sparkContext] = tempfile.mkdtemp(prefix="pagelode-")
+    return _PRIVATE[spark.sparkContext]
+
+
+_PRIVATE: dict = {}
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagelode-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def with_small(df: DataFrame, side: DataFrame, key: str, spread: Sequence[str], most: int = 100_000, salts: int = 64) -> DataFrame:
+    """Left join with ``side``, which has one row per key.
+
+    Up to ``most`` rows it is broadcast.  A larger one is joined by key and
+    salt: each row of ``df`` falls into one of ``salts`` parts of its key by
+    the hash of the ``spread`` columns, and the side is repeated over them, so
+    that a key with a third of all rows is no single task.  Rows without key
+    go past the join.
+    """
+    if side.count() <= most:
+        return df.join(F.broadcast(side), key, "left")
+    known = df.where(F.col(key).isNotNull()).withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    wide = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return known.join(wide, [key, "__salt"], "left").drop("__salt").unionByName(df.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def epoch_us(df: DataFrame, column: str) -> Column:
     """Microseconds since 1970 of a timestamp column, whatever its kind."""
     c = F.col(column)
