@@ -35,20 +35,20 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_pairs(spark, sf).select("filing_id", "window_id").distinct()
 
 
-def _scans(spark: SparkSession, sf: str) -> DataFrame:
+def _scans(spark: SparkSession, sf: str, whole: bool) -> DataFrame:
     pages = table(spark, sf, "report_pages").select(F.lit("page").alias("src"), F.col("docid").alias("item_key"), "report", "page", "text")
     items = table(spark, sf, "page_items")
     items = items.select(F.lit("item").alias("src"), F.col("item_id").alias("item_key"), F.col("report_name").alias("report"), F.col("page_number").alias("page"), F.col("page_text").alias("text"))
-    return scanned_noise(pages.unionByName(items))
+    return scanned_noise(pages.unionByName(items), whole)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _scans(spark, sf).select("src", "item_key", F.inline("noise"))
+    return _scans(spark, sf, False).select("src", "item_key", F.inline("noise"))
 
 
 def p2_text(spark: SparkSession, sf: str) -> DataFrame:
     """Pages in continuous paragraphs."""
-    return _scans(spark, sf).select("src", "item_key", "repaired")
+    return _scans(spark, sf, True).select("src", "item_key", "repaired")
 
 
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:

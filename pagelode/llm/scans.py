@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, with_small
 
 #: Fixed values: (as read, as printed) shapes that scanners confuse in words.
 CONFUSIONS = (
@@ -33,7 +33,8 @@ _NUMBER = re.compile(r"^(?:us\$|[a-z]\$|[$£€₹¥])?[0-9oil|sb][0-9oil|sb,.]*
 _MASK = str.maketrans("0123456789", "#" * 10)
 _DIGITS = str.maketrans({"o": "0", "l": "1", "i": "1", "|": "1", "s": "5", "b": "8"})
 _HYPHENS = "-‐­¬"
-_TAIL = re.compile(r"([^\s]*[^\W\d_�†|][^\s]*?)([" + _HYPHENS + r"])(\s*)$|([^\s]+?)([" + _HYPHENS + r"])(\s*)$")
+_DIGIT = re.compile(r"\d")
+_END = re.compile(r"(\S+?)([" + _HYPHENS + r"])(\s*)$")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _PIECE = re.compile(r"[^\s\-‐­¬–—/]+")
 _EDGE = ".,;:!?\"'()[]{}“”‘’«»*"
@@ -65,15 +66,13 @@ ROMAN = -1
 
 def number_on(text: str) -> int | None:
     """The number of a text that is a page number, else None; 0 if it can't be read."""
-    if len(text) > 24:
+    if len(text) > 24:  # no form is longer
         return None
+    if not _DIGIT.search(text):
+        return ROMAN if _PAGE_NUMBERS[1].match(text) else None
     for p in _PAGE_NUMBERS:
         if m := p.match(text):
-            if p is _PAGE_NUMBERS[1]:
-                return ROMAN
             digits = m[1].lower().translate(_DIGITS)
-            if not re.search(r"\d", text):
-                continue
             return int(digits) if digits.isdigit() else 0
     return None
 
@@ -91,22 +90,27 @@ def split_number(line: str) -> tuple[str, str | None]:
     return line, None
 
 
+def element(word: str) -> str:
+    """What a word contributes to a header's form."""
+    core = word.strip(_EDGE)
+    if not core.isalpha() and (digits := len(_DIGIT.findall(word))) and len(re.sub(r"[0-9OolI|S.,\-]", "", core)) < min(digits, 2):
+        return "#"
+    return "|" if word == "|" else shape(core or word)
+
+
 def skeleton(line: str) -> str:
     """A header's form: numbers, and a company's name, masked; confused shapes made equal."""
     out: list[str] = []
-    words, small, ended = line.split(), 0, False
-    for word in words:
+    small, ended = 0, False
+    for word in line.split():
+        out.append(element(word))
+        if out[-1] in "#|":
+            continue
         core = word.strip(_EDGE)
-        if not core.isalpha() and (digits := len(re.findall(r"\d", word))) and len(re.sub(r"[0-9OolI|S.,\-]", "", core)) < min(digits, 2):
-            out.append("#")
-        elif word == "|":
-            out.append("|")
-        else:
-            out.append(shape(core or word))
-            small += word[:1].islower() and core not in _LEGAL
-            ended |= word[-1] in ".,;:" and core.lower() not in _LEGAL  # a sentence's end, so no name
-            if out[-1] in _LEGAL_SHAPES and len(out) <= 8 and not ended and "|" not in out and "#" not in out and small <= (len(out) > 2 or out[0] == "@"):
-                out = ["@"]
+        small += word[:1].islower() and core not in _LEGAL
+        ended |= word[-1] in ".,;:" and core.lower() not in _LEGAL  # a sentence's end, so no name
+        if out[-1] in _LEGAL_SHAPES and len(out) <= 8 and not ended and "|" not in out and "#" not in out and small <= (len(out) > 2 or out[0] == "@"):
+            out = ["@"]
     return " ".join(out)
 
 
@@ -122,6 +126,25 @@ def pieces(line: str) -> list[tuple[int, str]]:
     return out
 
 
+class Traits(dict):
+    """Of a word between blanks: 1 if noise explains none of its parts, plus 2 if it ends a company's name, plus 4 if a known header begins so."""
+
+    CLEAN, NAME, FIRST = {1, 3, 5, 7}, {2, 3, 6, 7}, {4, 5, 6, 7}
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+
+    def __missing__(self, word: str) -> int:
+        e, m = element(word), self.model
+        n = all(len(m.candidates(core)) == 1 for _, core in pieces(word)) + 2 * (e in _LEGAL_SHAPES) + 4 * (e in m.firsts)
+        if len(self) < 400_000:
+            self[word] = n
+        return n
+
+    def __reduce__(self) -> tuple:
+        return Traits, (self.model,)
+
+
 @dataclass
 class Model:
     """What the pages taught: word and word-pair counts, compounds, header forms and confusion probabilities."""
@@ -135,6 +158,16 @@ class Model:
     confusion: dict[tuple[str, str], float] = field(default_factory=dict)
     cache: dict = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.settle()
+
+    def settle(self) -> None:
+        """Bounds that follow from what is known: first elements and words of a header, letters of a word."""
+        self.firsts = {h.partition(" ")[0] for h in self.headers}
+        self.header_words = max((h.count(" ") + 1 for h in self.headers), default=0) + 7  # a name's mask stands for up to eight words
+        self.letters = max(map(len, self.words), default=0) + 2  # two confusions take two letters at most
+        self.traits = Traits(self)
+
     def variants(self, word: str, edits: int = 2) -> dict[str, tuple[float, tuple[int, ...]]]:
         """Words that confusions turn into ``word``: log probability and the places of the misread characters."""
         found: dict[str, tuple[float, tuple[int, ...]]] = {}
@@ -152,8 +185,7 @@ class Model:
                         marks = (*places, (at + len(read), at))
                         if new not in found or found[new][0] < score:
                             found[new] = (score, tuple(m[1] for m in marks))
-                        if len(after) < 400:
-                            after[marks] = (new, score)
+                        after[marks] = (new, score)
                         at = word.find(read, at + 1)
             front = after
         found.pop(word, None)
@@ -195,8 +227,8 @@ class Model:
                 return [*out, (m[1] + m[2].translate(_DIGITS), 0.0, marks)] if marks else out
         elif self.words.get(word, 0.0) > 0:
             return out  # words that noise explains aren't known
-        if not any(c.isalpha() or c in "†�|ﬁﬂ" for c in word):
-            return out
+        if len(word) > self.letters or not any(c.isalpha() or c in "†�|ﬁﬂ" for c in word):
+            return out  # no known word is so long
         for v, (log, marks) in self.variants(word).items():
             n = self.words.get(key_of(v), 0.0)
             if n > 0 and not _ODD.search(v):
@@ -237,7 +269,8 @@ class Model:
             path.append(k)
         return [(states[i][k][0], states[i][k][2]) for i, k in enumerate(reversed(path))]
 
-    def is_furniture(self, line: str, page: int | None) -> bool:
+    def is_furniture(self, line: str, traits: set[int], page: int | None, own: frozenset[str] = frozenset()) -> bool:
+        """Whether a line, whose words have these traits, belongs to the printed page; ``own`` are header forms of the page's report."""
         line = line.strip()
         if not line:
             return False
@@ -245,14 +278,16 @@ class Model:
         if n is not None:
             return n in (page, ROMAN) or not _PAGE_NUMBERS[0].match(line)
         rest, number = split_number(line)
-        if rest.count(" ") > 11:
-            return False  # no header has so many words
-        form = skeleton(rest)
-        if form in self.headers:
-            # a name alone may be the end of a sentence
-            return form != "@" or not rest[:1].islower() or bool(_ODD.search(rest.split()[0]))
+        words = rest.split()
+        if len(words) > self.header_words and not own:
+            return False
+        if own or self.traits[words[0]] in Traits.FIRST or not traits.isdisjoint(Traits.NAME):
+            form = skeleton(rest)
+            if form in self.headers or form in own:
+                # a name alone may be the end of a sentence
+                return form != "@" or not rest[:1].islower() or bool(_ODD.search(words[0]))
         # a page number beside a form that is too rare to be known
-        return number is not None and number_on(number) in (page, ROMAN) and page is not None and len(rest.split()) <= 9 and not re.search(r"\d\s*$", rest)
+        return number is not None and page is not None and len(words) <= 9 and number_on(number) in (page, ROMAN) and not re.search(r"\d\s*$", rest)
 
     def divided(self, tail: str, mark: str, blank: str, head: str | None) -> bool:
         """Whether a line's last word goes on in the next body line."""
@@ -275,75 +310,73 @@ class Model:
         return a not in self.first_parts
 
 
-def repair(text: str, page: int | None, next_text: str | None, next_page: int | None, model: Model) -> tuple[list[tuple[int, str]], str]:
-    """The noisy lines of a page with their kinds, and its text in continuous paragraphs."""
+def _bare_first(line: str) -> str:
+    """First word of a line up to a hyphen or slash."""
+    words = line.split(None, 1)
+    return re.split(r"[" + _HYPHENS + r"/]", words[0])[0] if words else ""
+
+
+@dataclass
+class Repaired:
+    """A page's noisy lines by kind, its first body word, whether its last body line ends with a hyphen, and its text in paragraphs."""
+
+    noise: list[tuple[int, str]]
+    head: str | None
+    open: bool
+    text: str | None
+
+
+def repair(text: str, page: int | None, head: str | None, model: Model, own: frozenset[str] = frozenset(), whole: bool = True) -> Repaired:
+    """Find and mend a page's noise.  ``head`` is the next page's first body word, null when that page is missing; ``whole`` asks for the text too."""
     lines = text.split("\n")
-    furniture = [bool(x.strip()) and model.is_furniture(x, page) for x in lines]
+    trait = model.traits.__getitem__
+    traits = [set(map(trait, x.split())) for x in lines]
+    furniture = [model.is_furniture(x, t, page, own) for x, t in zip(lines, traits)]
     noise = [(i, "furniture") for i, f in enumerate(furniture) if f]
-    body = [i for i, x in enumerate(lines) if x.strip() and not furniture[i]]
+    body = [i for i, x in enumerate(lines) if not furniture[i] and x.strip()]
     follower = dict(zip(body, body[1:]))
     glyph: set[int] = set()
     fixed: dict[int, str] = {}
     joins: set[int] = set()
-    cut: dict[int, int] = {}
+    open_end = False
     for i in body:
-        m = re.search(r"(\S+?)([" + _HYPHENS + r"])(\s*)$", lines[i])
-        if not m:
+        if lines[i].rstrip()[-1] not in _HYPHENS or not (m := _END.search(lines[i])):
             continue
         if i in follower:
-            nxt = re.match(r"\s*(\S+)", lines[follower[i]])
-            head = nxt[1] if nxt else ""
-        elif next_text is not None:
-            first = next((x for x in next_text.split("\n") if x.strip() and not model.is_furniture(x, next_page)), None)
-            head = first.split()[0] if first else None
+            after: str | None = _bare_first(lines[follower[i]])
         else:
-            head = None
-        if head is not None:
-            head = re.split(r"[" + _HYPHENS + r"/]", head)[0]
-        if model.divided(re.split(r"[(/]", m[1])[-1], m[2], m[3], head):
+            after, open_end = head, True
+        if model.divided(re.split(r"[(/]", m[1])[-1], m[2], m[3], after):
             joins.add(i)
-    for i in joins:
-        noise.append((i, "hyphen"))
+    noise += [(i, "hyphen") for i in joins]
+    led = {follower[i] for i in joins if i in follower}
     for i in body:
-        found = pieces(lines[i])
-        if not found:
-            fixed[i] = lines[i]
+        if i not in joins and i not in led and traits[i] <= Traits.CLEAN:
             continue
-        words = [w for _, w in found]
-        before = next((b for b in joins if follower.get(b) == i), None)
-        skip_last, skip_first = i in joins, before is not None
-        decoded = model.decode(words)
-        text_i, edits = lines[i], []
+        found = pieces(lines[i])
+        decoded = model.decode([w for _, w in found]) if found else []
+        edits = []
         for n, ((at, core), (best, marks)) in enumerate(zip(found, decoded)):
-            if n == len(found) - 1 and skip_last:
-                tail = core
+            if n == len(found) - 1 and i in joins:
                 if i in follower:
-                    nxt = pieces(lines[follower[i]])
-                    whole = tail + (nxt[0][1] if nxt else "")
-                    best, marks = model.decode([whole])[0]
-                    if any(k < len(tail) for k in marks):
+                    rest = pieces(lines[follower[i]])
+                    _, marks = model.decode([core + (rest[0][1] if rest else "")])[0]
+                    if any(k < len(core) for k in marks):
                         glyph.add(i)
-                    if any(k >= len(tail) for k in marks):
+                    if any(k >= len(core) for k in marks):
                         glyph.add(follower[i])
-                    cut[i] = at
-                    fixed[i] = best
-                elif _ODD.search(tail) and sum(map(str.isalpha, tail)) >= 2:
+                elif _ODD.search(core) and sum(map(str.isalpha, core)) >= 2:
                     glyph.add(i)
-                continue
-            if n == 0 and skip_first:
-                continue
-            if marks:
+            elif marks and not (n == 0 and i in led):
                 glyph.add(i)
                 edits.append((at, core, _cased(core, best)))
-        joined = fixed.pop(i, None)
-        for at, core, new in reversed(edits):
-            text_i = text_i[:at] + new + text_i[at + len(core) :]
-        if i in joins:
-            text_i = re.sub(r"[" + _HYPHENS + r"]\s*$", "", text_i)
-        del joined
-        fixed[i] = text_i
+        if whole:
+            line = lines[i]
+            for at, core, new in reversed(edits):
+                line = line[:at] + new + line[at + len(core) :]
+            fixed[i] = re.sub(r"[" + _HYPHENS + r"]\s*$", "", line) if i in joins else line
     noise += [(i, "glyph") for i in glyph]
-    return sorted(noise), _paragraphs(lines, furniture, fixed, joins)
+    return Repaired(sorted(noise), _bare_first(lines[body[0]]) if body else None, open_end, _paragraphs(lines, furniture, fixed, joins) if whole else None)
 
 
 def _cased(old: str, new: str) -> str:
@@ -370,80 +403,104 @@ def _paragraphs(lines: list[str], furniture: list[bool], fixed: dict[int, str],
     return "".join(out)
 
 
-def _counted(text: str, page: int | None, counts: Counter) -> None:
-    lines = text.split("\n")
-    broken = False
-    before = None
-    for line in lines:
-        if not line.strip():
-            continue
-        rest, number = split_number(line)
-        if number is not None and page is not None and number_on(number) == page:
-            counts["header", skeleton(rest), ""] += 1
-            continue
-        if number_on(line.strip()) is not None:
-            continue
-        ends = bool(re.search(r"[" + _HYPHENS + r"]\s*$", line))
-        for m in _COMPOUND.finditer(line[:-1] if ends else line) if "-" in line else ():
-            if m.end() < len(line.rstrip()) - 1:
-                counts["compound", m[0].lower(), ""] += 1
-        words = [key_of(w) for _, w in pieces(line)]
-        if broken:
-            words = words[1:]
-            before = None
-        if ends:
-            words = words[:-1]
-        for w in words:
-            counts["word", w, ""] += 1
-            if before is not None:
-                counts["pair", before, w] += 1
-            before = w
-        broken = ends
-        if ends:
-            before = None
-
-
-def learn(pages: DataFrame, share: float = 2e-6, least: int = 3, header_share: float = 5e-4, most: int = 1_500_000) -> Model:
-    """Count words, word pairs, compounds and header forms over all pages of ``text, page``; estimate confusions.
-
-    A word, pair or compound is known with at least ``least`` occurrences and a
-    ``share`` of all words, so that there are at most 1/share of each; a header
-    form needs that share of pages.  ``most`` is checked.
+class _Keys(dict):
+    """Keys of the words of a token between blanks."""
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        keys = tuple(key_of(w) for _, w in pieces(token))
+        if len(self) < 400_000:
+            self[token] = keys
+        return keys
+
+
+class Tally:
+    """Counts over pages: words, word pairs, compounds, and header forms by report."""
+
+    def __init__(self) -> None:
+        self.keys, self.words, self.pairs, self.compounds, self.headers, self.pages = _Keys(), Counter(), Counter(), Counter(), Counter(), 0
+
+    def add(self, text: str, page: int | None, report: str | None) -> None:
+        self.pages += 1
+        keys = self.keys
+        flat: list[str] = []  # "" parts words that don't follow each other
+        broken = False
+        for line in text.split("\n"):
+            end = line.rstrip()
+            if not end:
+                continue
+            rest, number = split_number(line)
+            if number is not None and page is not None and number_on(number) == page:
+                self.headers[skeleton(rest), report] += 1
+                continue
+            if len(end) <= 60 and number_on(line.strip()) is not None:
+                continue
+            ends = end[-1] in _HYPHENS
+            if "-" in line:
+                for m in _COMPOUND.finditer(line[:-1] if ends else line):
+                    if m.end() < len(end) - 1:
+                        self.compounds[m[0].lower()] += 1
+            words = [k for t in line.split() for k in keys[t]]
+            if broken:
+                flat.append("")
+                del words[:1]
+            if ends:
+                words[-1:] = [""]
+            flat += words
+            broken = ends
+        self.words.update(flat)
+        self.pairs.update(zip(flat, flat[1:]))
+
+    def rows(self) -> pd.DataFrame:
+        """``kind, a, b, n``; the counts begin anew."""
+        out = [("word", w, "", n) for w, n in self.words.items() if w] + [("pair", a, b, n) for (a, b), n in self.pairs.items() if a and b]
+        out += [("compound", c, "", n) for c, n in self.compounds.items()] + [("header", f, r, n) for (f, r), n in self.headers.items()] + [("pages", "", "", self.pages)]
+        self.__init__()
+        return pd.DataFrame(out, columns=["kind", "a", "b", "n"])
+
+
+def learn(pages: DataFrame, share: float = 5e-7, least: int = 3, pair_share: float = 2e-6, header_share: float = 5e-4, report_pages: int = 3) -> tuple[Model, DataFrame]:
+    """The model of ``text, page, report``, counted over all pages, and the header forms of single reports.
+
+    A word or compound is known with at least ``least`` occurrences and a
+    ``share`` of all words, a word pair with ``pair_share``, so that there are
+    at most 1/share of each.  A header form stands beside the page's own
+    number; on ``header_share`` of all pages it is known everywhere, on
+    ``report_pages`` pages of one report in that report, however many others
+    there are.  The second result has ``report, forms``.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
-        rows = lambda: pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "a", "b", "n"])
+        tally = Tally()
         for batch in batches:
-            for t, p in zip(batch["text"], batch["page"]):
-                _counted(t, None if p is None or p != p else int(p), counts)
-                counts["pages", "", ""] += 1
-            if len(counts) > 1_000_000:
-                yield rows()
-                counts.clear()
-        yield rows()
-
-    raw = pages.select("text", "page").mapInPandas(count, "kind string, a string, b string, n bigint")
+            for t, p, r in zip(batch["text"], batch["page"], batch["report"]):
+                tally.add(t, _whole(p), r if isinstance(r, str) else None)
+            if len(tally.words) + len(tally.pairs) > 1_000_000:
+                yield tally.rows()
+        yield tally.rows()
+
+    raw = pages.select("text", "page", "report").mapInPandas(count, "kind string, a string, b string, n bigint")
     table = durable(raw.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
     sums = {r.kind: r.n for r in table.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     total = float(sums.get("word", 0) or 1)
-    bar, header_bar = max(least, share * total), max(least, header_share * (sums.get("pages", 0) or 0))
-    known = table.where(F.when(F.col("kind") == "header", F.col("n") >= header_bar).otherwise(F.col("n") >= bar) & (F.col("kind") != "pages"))
-    rows = known.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} known words and pairs")
+    bar = F.greatest(F.lit(float(least)), F.when(F.col("kind") == "pair", pair_share * total).otherwise(share * total))
     model = Model(total=total)
-    for r in rows:
-        if r.kind == "word":
-            model.words[r.a] = float(r.n)
-        elif r.kind == "pair":
-            model.pairs[r.a, r.b] = float(r.n)
-        elif r.kind == "compound":
-            model.compounds[r.a] = float(r.n)
-        elif r.a:
-            model.headers.add(r.a)
+    for r in table.where(F.col("kind").isin("word", "pair", "compound") & (F.col("n") >= bar)).toArrow().to_pylist():
+        if r["kind"] == "word":
+            model.words[r["a"]] = float(r["n"])
+        elif r["kind"] == "pair":
+            model.pairs[r["a"], r["b"]] = float(r["n"])
+        else:
+            model.compounds[r["a"]] = float(r["n"])
+    headers = table.where("kind = 'header' AND a <> ''")
+    common = headers.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, header_share * (sums.get("pages", 0) or 0)))
+    model.headers = {r.a for r in common.collect()}
+    own = headers.where((F.col("n") >= report_pages) & F.col("b").isNotNull()).join(common.select("a"), "a", "left_anti")
     model.first_parts = {c.rpartition("-")[0] for c in model.compounds} | {c.partition("-")[0] for c in model.compounds}
-    return _confused(model, table.where("kind = 'word'").select(F.col("a").alias("word"), "n"))
+    return _confused(model, table.where("kind = 'word'").select(F.col("a").alias("word"), "n")), own.groupBy(F.col("b").alias("report")).agg(F.collect_set("a").alias("forms"))
+
+
+def _whole(page: float | None) -> int | None:
+    return None if page is None or page != page else int(page)
 
 
 def _confused(model: Model, types: DataFrame) -> Model:
@@ -488,38 +545,59 @@ def _confused(model: Model, types: DataFrame) -> Model:
         if n <= 4 * expected + 2 and expected > 0.05 or _ODD.search(w):
             noise[w] = True
     model.words = {w: n for w, n in model.words.items() if w not in noise}
+    model.settle()
     return model
 
 
-def scanned_noise(pages: DataFrame) -> DataFrame:
+def scanned_noise(pages: DataFrame, whole: bool = True) -> DataFrame:
     """Noise and repaired text of every page.
 
     ``pages`` has ``src, item_key, report, page, text``.  Returns ``src,
     item_key, noise, repaired``: ``noise`` lists the noisy lines (line_no from
-    0, kind), ``repaired`` is the page in continuous paragraphs.  A page given
-    twice counts once, by its first text in order; null and blank texts give
-    no row; rows without key are left out; a page whose successor is missing
-    judges a divided last word by itself.  The next page comes whole by
-    a join on report and page number, so that no report is gathered in a task.
+    0, kind), ``repaired`` is the page in continuous paragraphs (null unless
+    ``whole``).  A page given twice counts once, by the smallest hash of its
+    text; in the corpus counts each copy counts.  Null and blank texts give no
+    row; rows without key are left out; a page whose successor is missing
+    judges a divided last word by itself.
+
+    Texts are read where they lie.  Only the pages whose last body line ends
+    with a hyphen travel, to meet the first body word of the next page by
+    report and page number, and no report is gathered in a task.
     """
-    once = pages.where("item_key IS NOT NULL AND trim(text) <> ''").groupBy("src", "item_key").agg(F.min(F.struct("text", "report", "page")).alias("p")).select("src", "item_key", "p.*")
-    once = durable(once.withColumn("page", F.col("page").cast("int")))
-    model = once.sparkSession.sparkContext.broadcast(learn(once))
-    # any length of furniture may follow the last body line, so a hyphen at any line's end counts
-    open_end = F.col("text").rlike("[" + _HYPHENS + r"]\s*(\n|$)")
-    following = once.where("report IS NOT NULL AND page IS NOT NULL").select("src", "report", (F.col("page") - 1).alias("page"), F.col("text").alias("next_text"))
-    following = following.groupBy("src", "report", "page").agg(F.min("next_text").alias("next_text"))
-    wanted = once.withColumn("report", F.when(open_end, F.col("report")))
-    joined = wanted.join(following, ["src", "report", "page"], "left")
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    given = pages.where("item_key IS NOT NULL AND trim(text) <> ''").withColumn("page", F.col("page").cast("int"))
+    learnt, own = learn(given)
+    model = given.sparkSession.sparkContext.broadcast(learnt)
+    given = with_small(given, durable(own), "report", ("src", "item_key"))
+    noise_type = "array<struct<line_no: bigint, kind: string>>"
+    noted = lambda r: [{"line_no": i, "kind": kind} for i, kind in r.noise]
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = model.value
+        for batch in batches:
+            out = []
+            for src, k, r, p, t, forms in zip(*(batch[c] for c in ("src", "item_key", "report", "page", "text", "forms"))):
+                done = repair(t, _whole(p), None, m, frozenset() if forms is None else frozenset(forms), whole)
+                out.append((src, k, r, p, done.head, noted(done), done.text, t if done.open else None, forms if done.open else None))
+            yield pd.DataFrame(out, columns=["src", "item_key", "report", "page", "head", "noise", "repaired", "text", "forms"])
+
+    parts = f"report string, page double, head string, noise {noise_type}, repaired string, text string, forms array<string>"
+    seen = given.select("src", "item_key", "report", F.col("page").cast("double").alias("page"), "text", "forms")
+    seen = seen.mapInPandas(first, f"src string, item_key string, {parts}")
+    columns = [c for c in seen.columns if c not in ("src", "item_key")]
+    digest = F.xxhash64(F.to_json(F.struct("noise", "head", "text", "repaired")))
+    once = durable(seen.groupBy("src", "item_key").agg(F.min(F.struct(digest.alias("digest"), *columns)).alias("p")).select("src", "item_key", *[f"p.{c}" for c in columns]))
+    heads = once.where("report IS NOT NULL AND page IS NOT NULL AND head IS NOT NULL").groupBy("src", "report", (F.col("page") - 1).alias("page")).agg(F.min("head").alias("next"))
+    opened = once.where("text IS NOT NULL").drop("head").join(heads, ["src", "report", "page"])
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for batch in batches:
             out = []
-            for src, k, t, p, h in zip(batch["src"], batch["item_key"], batch["text"], batch["page"], batch["next_text"]):
-                page = None if p is None or p != p else int(p)
-                noise, repaired = repair(t, page, h if isinstance(h, str) else None, None if page is None else page + 1, m)
-                out.append((src, k, [{"line_no": i, "kind": kind} for i, kind in noise], repaired))
+            for src, k, p, t, forms, head in zip(*(batch[c] for c in ("src", "item_key", "page", "text", "forms", "next"))):
+                done = repair(t, _whole(p), head, m, frozenset() if forms is None else frozenset(forms), whole)
+                out.append((src, k, noted(done), done.text))
             yield pd.DataFrame(out, columns=["src", "item_key", "noise", "repaired"])
 
-    return joined.select("src", "item_key", "text", "page", "next_text").mapInPandas(work, "src string, item_key string, noise array<struct<line_no: bigint, kind: string>>, repaired string")
+    mended = opened.select("src", "item_key", "page", "text", "forms", "next").mapInPandas(again, f"src string, item_key string, noise {noise_type}, repaired string")
+    alone = once.where("text IS NOT NULL").join(heads.select("src", "report", "page"), ["src", "report", "page"], "left_anti")
+    return once.where("text IS NULL").select(mended.columns).unionByName(alone.select(mended.columns)).unionByName(mended)

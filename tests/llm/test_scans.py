@@ -1,4 +1,5 @@
-from pagelode.llm.scans import number_on, scanned_noise
+from pagelode.llm.scans import learn, number_on, scanned_noise
+from pagelode.session import with_small
 
 SENTENCES = [
     "The committee considers the severe weather and the legal settlement of the regional business to be closed.",
@@ -64,3 +65,30 @@ def test_divided_word_across_any_length(spark):
     pages[44], pages[45] = [*page(44), end], ["Acme Holdings plc Annual Report 2020  45", "entry of the business.", *page(0)[2:]]
     got = {x for x in found(scanned_noise(table(spark, pages))) if x[2] == "hyphen"}
     assert got == {("R#p40", 14, "hyphen"), ("R#p42", 14, "hyphen")}
+
+
+def test_header_of_one_report_in_a_large_corpus(spark):
+    """A header form on a few pages of one report is known there, however many other pages there are, and nowhere else."""
+    pages = {i: page(i) for i in range(1, 200)}
+    rows = [("page", f"Q#p{i}", "Q", i, "\n".join([f"Borealis review of our harbours  {i}", *page(i)[1:], "Borealis review of our harbours"]), None) for i in range(1, 6)]
+    rows += [("page", "S#p1", "S", 1, "\n".join([*page(1)[1:], "Borealis review of our harbours"]), None)]
+    model, own = learn(table(spark, pages, rows), header_share=0.1)
+    assert "borealis" not in " ".join(model.headers) and [r.report for r in own.collect()] == ["Q"]
+    got = found(scanned_noise(table(spark, {i: p for i, p in pages.items() if i < 40}, rows * 1)))
+    assert {x[1] for x in got if x[0] == "Q#p1" and x[2] == "furniture"} == {0, 14}
+
+
+def test_long_words_and_pages_given_twice(spark):
+    """A word longer than any known one has no reading but its own; copies of a page count once."""
+    rows = [("page", "A#p1", "A", 1, "settlernent" * 400 + "\nthe legal business", None)] * 2
+    got = scanned_noise(table(spark, {i: page(i) for i in range(1, 30)}, rows))
+    assert got.where("item_key = 'A#p1'").count() == 1
+    assert not {x for x in found(got) if x[0] == "A#p1"}
+
+
+def test_side_table_beyond_the_broadcast(spark):
+    """The salted join gives what the broadcast gives, rows without key included."""
+    left = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else "cold") for i in range(60)], "id int, k string")
+    side = spark.createDataFrame([("hot", 1), ("none", 2)], "k string, v int")
+    a, b = ({tuple(r[c] for c in ("id", "k", "v")) for r in with_small(left, side, "k", ["id"], most).collect()} for most in (10, 0))
+    assert a == b and len(a) == 60
