@@ -34,6 +34,7 @@ _MASK = str.maketrans("0123456789", "#" * 10)
 _DIGITS = str.maketrans({"o": "0", "l": "1", "i": "1", "|": "1", "s": "5", "b": "8"})
 _HYPHENS = "-‐­¬"
 _DIGIT = re.compile(r"\d")
+_FIGURE = re.compile(r"[0-9](?:[0-9.,]*[0-9])?\Z")
 _END = re.compile(r"(\S+?)([" + _HYPHENS + r"])(\s*)$")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _PIECE = re.compile(r"[^\s\-‐­¬–—/]+")
@@ -116,6 +117,8 @@ def skeleton(line: str) -> str:
 
 def pieces(line: str) -> list[tuple[int, str]]:
     """Words of a line with their places, without punctuation at their edges."""
+    if line.isalnum():
+        return [(0, line)]
     out = []
     for m in _PIECE.finditer(line):
         raw = m[0]
@@ -135,7 +138,10 @@ class Traits(dict):
         self.model = model
 
     def __missing__(self, word: str) -> int:
-        e, m = element(word), self.model
+        m = self.model
+        if _FIGURE.match(word):
+            return 1 + 4 * ("#" in m.firsts)
+        e = element(word)
         n = all(len(m.candidates(core)) == 1 for _, core in pieces(word)) + 2 * (e in _LEGAL_SHAPES) + 4 * (e in m.firsts)
         if len(self) < 400_000:
             self[word] = n
@@ -157,6 +163,7 @@ class Model:
     headers: set[str] = field(default_factory=set)
     confusion: dict[tuple[str, str], float] = field(default_factory=dict)
     cache: dict = field(default_factory=dict)
+    logs: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.settle()
@@ -167,6 +174,7 @@ class Model:
         self.header_words = max((h.count(" ") + 1 for h in self.headers), default=0) + 7  # a name's mask stands for up to eight words
         self.letters = max(map(len, self.words), default=0) + 2  # two confusions take two letters at most
         self.traits = Traits(self)
+        self.logs = {}
 
     def variants(self, word: str, edits: int = 2) -> dict[str, tuple[float, tuple[int, ...]]]:
         """Words that confusions turn into ``word``: log probability and the places of the misread characters."""
@@ -193,6 +201,14 @@ class Model:
 
     def plausible(self, word: str) -> float:
         """Log probability of a word by itself."""
+        log = self.logs.get(word)
+        if log is None:
+            log = self._plausible(word)
+            if len(self.logs) < 400_000:
+                self.logs[word] = log
+        return log
+
+    def _plausible(self, word: str) -> float:
         n = self.words.get(key_of(word), 0.0)
         if n > 0:
             return math.log(n / self.total)
@@ -242,8 +258,9 @@ class Model:
     def follow(self, before: str, word: str) -> float:
         """Log likelihood of a word after another."""
         alone = math.exp(self.plausible(word))
-        n = self.words.get(key_of(before), 0.0) if key_of(word) in self.words else 0.0
-        both = self.pairs.get((key_of(before), key_of(word)), 0.0) / n if n else 0.0
+        before, word = key_of(before), key_of(word)
+        n = self.words.get(before, 0.0) if word in self.words else 0.0
+        both = self.pairs.get((before, word), 0.0) / n if n else 0.0
         return math.log(0.6 * min(both, 1.0) + 0.4 * alone)
 
     def decode(self, words: list[str]) -> list[tuple[str, tuple[int, ...]]]:
@@ -254,6 +271,9 @@ class Model:
         score = [self.plausible(w) + log for w, log, _ in states[0]]
         back: list[list[int]] = []
         for i in range(1, len(states)):
+            if len(states[i]) == len(states[i - 1]) == 1:  # nothing to choose
+                back.append([0])
+                continue
             row, links = [], []
             for w, log, _ in states[i]:
                 options = [score[k] + self.follow(states[i - 1][k][0], w) for k in range(len(states[i - 1]))]
@@ -351,25 +371,29 @@ def repair(text: str, page: int | None, head: str | None, model: Model, own: fro
     noise += [(i, "hyphen") for i in joins]
     led = {follower[i] for i in joins if i in follower}
     for i in body:
-        if i not in joins and i not in led and traits[i] <= Traits.CLEAN:
+        clean = traits[i] <= Traits.CLEAN
+        if clean and i not in joins:
             continue
-        found = pieces(lines[i])
-        decoded = model.decode([w for _, w in found]) if found else []
         edits = []
-        for n, ((at, core), (best, marks)) in enumerate(zip(found, decoded)):
-            if n == len(found) - 1 and i in joins:
-                if i in follower:
-                    rest = pieces(lines[follower[i]])
-                    _, marks = model.decode([core + (rest[0][1] if rest else "")])[0]
-                    if any(k < len(core) for k in marks):
-                        glyph.add(i)
-                    if any(k >= len(core) for k in marks):
-                        glyph.add(follower[i])
-                elif _ODD.search(core) and sum(map(str.isalpha, core)) >= 2:
+        if not clean:
+            found = pieces(lines[i])
+            decoded = model.decode([w for _, w in found])
+            first, last = int(i in led), len(found) - (i in joins)
+            for (at, core), (best, marks) in zip(found[first:last], decoded[first:last]):
+                if marks:
+                    glyph.add(i)
+                    edits.append((at, core, _cased(core, best)))
+        if i in joins and (tail := pieces(lines[i].split()[-1])):
+            core = tail[-1][1]
+            if i in follower:
+                rest = pieces(lines[follower[i]].split(None, 1)[0])
+                _, marks = model.decode([core + (rest[0][1] if rest else "")])[0]
+                if any(k < len(core) for k in marks):
                     glyph.add(i)
-            elif marks and not (n == 0 and i in led):
+                if any(k >= len(core) for k in marks):
+                    glyph.add(follower[i])
+            elif _ODD.search(core) and sum(map(str.isalpha, core)) >= 2:
                 glyph.add(i)
-                edits.append((at, core, _cased(core, best)))
         if whole:
             line = lines[i]
             for at, core, new in reversed(edits):
@@ -407,7 +431,7 @@ class _Keys(dict):
     """Keys of the words of a token between blanks."""
 
     def __missing__(self, token: str) -> tuple[str, ...]:
-        keys = tuple(key_of(w) for _, w in pieces(token))
+        keys = (token.translate(_MASK),) if _FIGURE.match(token) else tuple(key_of(w) for _, w in pieces(token))
         if len(self) < 400_000:
             self[token] = keys
         return keys
@@ -428,25 +452,30 @@ class Tally:
             end = line.rstrip()
             if not end:
                 continue
-            rest, number = split_number(line)
-            if number is not None and page is not None and number_on(number) == page:
-                self.headers[skeleton(rest), report] += 1
-                continue
-            if len(end) <= 60 and number_on(line.strip()) is not None:
-                continue
+            if "  " in end or "\t" in end:
+                rest, number = split_number(line)
+                if number is not None and page is not None and number_on(number) == page:
+                    self.headers[skeleton(rest), report] += 1
+                    continue
+            if len(end) <= 24 or line[0].isspace():
+                if number_on(line.strip()) is not None:
+                    continue
             ends = end[-1] in _HYPHENS
             if "-" in line:
                 for m in _COMPOUND.finditer(line[:-1] if ends else line):
                     if m.end() < len(end) - 1:
                         self.compounds[m[0].lower()] += 1
-            words = [k for t in line.split() for k in keys[t]]
-            if broken:
-                flat.append("")
-                del words[:1]
-            if ends:
-                words[-1:] = [""]
-            flat += words
-            broken = ends
+            if ends or broken:
+                words = [k for t in end.split() for k in keys[t]]
+                if broken:
+                    words[:1] = [""]
+                if ends:
+                    words[-1:] = [""]
+                flat += words
+                broken = ends
+            else:
+                for t in end.split():
+                    flat += keys[t]
         self.words.update(flat)
         self.pairs.update(zip(flat, flat[1:]))
 
