@@ -101,10 +101,14 @@ def candidate_pairs(a: DataFrame, b: DataFrame, common: list[str], most: int = 1
     column) of the grid and is repeated over its cells, so that every pair of
     the block meets in exactly one cell.
     """
-    ka, kb = block_keys(a, True, common), block_keys(b, False, common)
+    ka, kb = (k.select("id", F.xxhash64("key").alias("key")) for k in (block_keys(a, True, common), block_keys(b, False, common)))
+    # eight bytes a key; both sides are read twice below
+    ka, kb = durable(ka), durable(kb)
     sizes = ka.groupBy("key").agg(F.count(F.lit(1)).alias("na")).join(kb.groupBy("key").agg(F.count(F.lit(1)).alias("nb")), "key")
     side = math.sqrt(most)
-    big = sizes.where(F.col("na") * F.col("nb") > most).select("key", F.ceil(F.col("na") / side).alias("cut_a"), F.ceil(F.col("nb") / side).alias("cut_b"))
+    big = durable(sizes.where(F.col("na") * F.col("nb") > most).select("key", F.ceil(F.col("na") / side).alias("cut_a"), F.ceil(F.col("nb") / side).alias("cut_b")))
+    if big.isEmpty():
+        return ka.withColumnRenamed("id", "ia").join(kb.withColumnRenamed("id", "ib"), "key").select("ia", "ib").distinct()
 
     def celled(k: DataFrame, own: str, other: str) -> DataFrame:
         k = k.join(big, "key", "left").select("id", "key", *[F.coalesce(c, F.lit(1)).cast("bigint").alias(c) for c in ("cut_a", "cut_b")])
@@ -112,7 +116,7 @@ def candidate_pairs(a: DataFrame, b: DataFrame, common: list[str], most: int = 1
         return k.select("id", F.xxhash64("key", "cut_a", "cut_b").alias("key"))
 
     pairs = celled(ka, "cut_a", "cut_b").withColumnRenamed("id", "ia").join(celled(kb, "cut_b", "cut_a").withColumnRenamed("id", "ib"), "key")
-    return pairs.groupBy("ia", "ib").agg(F.count(F.lit(1)).alias("passes"))
+    return pairs.select("ia", "ib").distinct()
 
 
 def _similar(x: Column, y: Column) -> Column:
@@ -180,71 +184,64 @@ def compare(pairs: DataFrame, a: DataFrame, b: DataFrame, common: list[str]) ->
     )
 
 
-def chance_levels(a: DataFrame, b: DataFrame) -> dict[str, list[float]]:
-    """Probability of each level for a random pair, from the attributes' distributions over all records."""
-
-    def meeting(column: str) -> float:
-        x = a.where(f"{column} IS NOT NULL").groupBy(column).agg(F.count(F.lit(1)).alias("x"))
-        y = b.where(f"{column} IS NOT NULL").groupBy(column).agg(F.count(F.lit(1)).alias("y"))
-        both = x.join(y, column).agg(F.sum(F.col("x") * F.col("y").cast("double"))).first()[0] or 0.0
-        return both / max((x.agg(F.sum("x")).first()[0] or 0) * (y.agg(F.sum("y")).first()[0] or 0), 1)
-
-    bucket = lambda d, w: d.withColumn("revenue_bucket", F.floor(F.col("revenue") / w))
-    city, industry, full, year = (meeting(c) for c in ("city", "industry", "industry_full", "year"))
-    a2, b2 = bucket(a, 0.06), bucket(b, 0.06)
-    x = a2.where("revenue_bucket IS NOT NULL").groupBy("revenue_bucket").count()
-    y = b2.where("revenue_bucket IS NOT NULL").groupBy("revenue_bucket").count().withColumnRenamed("count", "n")
-    row = x.join(y, "revenue_bucket").agg(F.sum(F.col("count") * F.col("n").cast("double"))).first()[0] or 0.0
-    revenue = row / max(a.where("revenue IS NOT NULL").count() * b.where("revenue IS NOT NULL").count(), 1)
-    na, nb = (d.select(F.concat_ws(" ", F.array_sort(F.element_at("names", 1))).alias("n")).where("n <> ''").groupBy("n").count() for d in (a.where("size(names) > 0"), b.where("size(names) > 0")))
-    same = na.join(nb.withColumnRenamed("count", "m"), "n").agg(F.sum(F.col("count") * F.col("m").cast("double"))).first()[0] or 0.0
-    exact = max(same, 1.0) / max(a.count() * b.count(), 1)
-    def spread(*upper: float) -> list[float]:
-        upper = [max(u, 1e-9) for u in upper]
-        return [max(1 - sum(upper), 1e-6), *upper]
-
-    return {
-        "name": spread(1 / 600, exact * 8, exact * 8, exact),
-        "city": spread(city, city),
-        "industry": spread(max(industry - full, 1e-6), full),
-        "year": spread(4 * year, 2 * year, year),
-        "revenue": spread(7 * revenue / 3, revenue, revenue),
-    }
+def random_pairs(a: DataFrame, b: DataFrame, size_a: int, size_b: int, per_record: int = 4) -> DataFrame:
+    """Pairs that chance alone brings together, about ``per_record`` for each record of the larger source.
+
+    Both sources fall into buckets by a hash of the id, so all records are
+    alike in their chance to meet, a bucket's size depends on no attribute,
+    and the number of pairs grows with the records, not with their square.
+    """
+    buckets = max(1, min(size_a, size_b) // per_record)
+    bucket = F.pmod(F.xxhash64(F.lit("chance"), "id"), F.lit(buckets)).alias("bucket")
+    return a.select(bucket, F.col("id").alias("ia")).join(b.select(bucket, F.col("id").alias("ib")), "bucket").select("ia", "ib")
 
 
-def fit(vectors: list[tuple], by_chance: dict[str, list[float]], pairs: float, rounds: int = 50) -> tuple[dict[str, np.ndarray], dict[str, list[float]], float]:
+def fit(vectors: list[tuple], chance: list[tuple], pairs: float, rounds: int = 50) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], float]:
     """EM over the counts of comparison vectors: match and non-match probabilities of the levels, and the share of matches among all pairs.
 
-    Non-match probabilities are those of chance, because non-matches among the
-    candidates were selected by agreement; only that of the same name, all
-    pairs of which are candidates, is estimated, for chance would count the
-    matches' own agreement.
+    ``vectors`` counts the candidates, ``chance`` the random pairs.  In every
+    round the non-match probabilities of all levels come from the random
+    pairs, each weighted by its own posterior of being no match.  Levels of
+    the name that agree in a word are too rare there; for them the
+    candidates' expected non-matches count, over all pairs, divided by the
+    probability that such a pair becomes a candidate at all: surely for equal
+    names, else when one of the other attributes agrees too.
     """
-    u = {c: list(p) for c, p in by_chance.items()}
     names = list(LEVELS)
-    levels = np.array([v[:-1] for v in vectors], int).reshape(-1, len(names))
-    n = np.array([v[-1] for v in vectors], float)
+    split = lambda rows: (np.array([v[:-1] for v in rows], int).reshape(-1, len(names)), np.array([v[-1] for v in rows], float))
+    (levels, n), (random, r) = split(vectors), split(chance)
+    count = lambda lv, w, i, k: np.array([w[lv[:, i] == x].sum() for x in range(k)])
     # pairs with the same name start as matches
     same = n * (levels[:, 0] == LEVELS["name"] - 1)
     m = {"name": np.array([0.02, 0.08, 0.1, 0.2, 0.6])}
     for i, c in enumerate(names[1:], 1):
-        mass = np.array([same[levels[:, i] == k].sum() for k in range(LEVELS[c])]) + 0.5
+        mass = count(levels, same, i, LEVELS[c]) + 0.5
         m[c] = mass / mass.sum()
     prior = min(max(same.sum(), 1.0) / max(pairs, 1.0), 0.5)
-    u["name"][-1] = 0.5 / max(pairs, 1.0)
-    for _ in range(rounds):
+    u: dict[str, np.ndarray] = {}
+    q, p = np.ones(len(r)), np.where(same > 0, 1.0, 0.0)
+    for step in range(rounds):
+        for i, c in enumerate(names):
+            mass = count(random, q * r, i, LEVELS[c]) + 0.5
+            u[c] = mass / mass.sum()
+        agree = 1 - np.prod([1 - u[c][-1] for c in names[1:]])
+        for k in range(2, LEVELS["name"]):
+            left = ((1 - p) * n)[levels[:, 0] == k].sum() + 0.5
+            u["name"][k] = left / max(pairs, 1.0) / (1.0 if k == LEVELS["name"] - 1 else max(agree, 1e-6))
+        u["name"][:2] *= max(1 - u["name"][2:].sum(), 0.5) / u["name"][:2].sum()
         odds = posterior_odds(levels, m, u, prior)
         p = odds / (1 + odds)
-        total = (p * n).sum()
-        prior = min(max(total / max(pairs, 1.0), 1e-15), 0.5)
+        prior = min(max((p * n).sum() / max(pairs, 1.0), 1e-15), 0.5)
         for i, c in enumerate(names):
-            mass = np.array([(p * n)[levels[:, i] == k].sum() for k in range(LEVELS[c])])
+            mass = count(levels, p * n, i, LEVELS[c])
             m[c] = (mass + 0.5) / (mass.sum() + 0.5 * LEVELS[c])
-        u["name"][-1] = (((1 - p) * same).sum() + 0.5) / max(pairs, 1.0)
+        if len(r):
+            odds = posterior_odds(random, m, u, prior)
+            q = 1 / (1 + odds)
     return m, u, prior
 
 
-def posterior_odds(levels: np.ndarray, m: dict[str, np.ndarray], u: dict[str, list[float]], prior: float) -> np.ndarray:
+def posterior_odds(levels: np.ndarray, m: dict[str, np.ndarray], u: dict[str, np.ndarray], prior: float) -> np.ndarray:
     log = np.full(len(levels), math.log(prior / (1 - prior)))
     for i, c in enumerate(LEVELS):
         weight = np.append(np.log(m[c]) - np.log(np.array(u[c])), 0.0)  # the last is for -1
@@ -272,7 +269,8 @@ def link(a: DataFrame, b: DataFrame, common_share: float = 0.002) -> DataFrame:
     scored = compared.withColumn("confidence", F.lit(None).cast("double"))
     if not vectors:
         return scored
-    m, u, prior = fit(vectors, chance_levels(a, b), float(size_a) * size_b)
+    chance = [tuple(r) for r in compare(random_pairs(a, b, size_a, size_b), a, b, common).groupBy(*LEVELS).count().collect()]
+    m, u, prior = fit(vectors, chance, float(size_a) * size_b)
     log = F.lit(math.log(prior / (1 - prior)))
     for c in LEVELS:
         weights = [float(x) for x in np.log(m[c]) - np.log(np.array(u[c]))]

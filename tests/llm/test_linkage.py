@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pagelode.llm.linkage import candidate_pairs, core_words, link, records
+from pagelode.llm.linkage import candidate_pairs, core_words, link, random_pairs, records
 
 A = "company_id bigint, company_name string, hq_city string, industry string, founded_year int, revenue_musd double, id string, confidence string"
 B = "entity_id bigint, entity_name string, former_names string, business_city string, sic_description string, incorporated_year int, revenue_usd double, names string"
@@ -76,4 +76,12 @@ def test_hot_block_keeps_every_pair(spark):
     for most in (10_000, 60):
         got = candidate_pairs(ra, rb, ["paper", "products"], most).collect()
         assert sorted((r.ia, r.ib) for r in got) == [(i, 1000 + j) for i in range(120) for j in range(100)]
-        assert {(r.ia, r.ib): r.passes for r in got} == {(r.ia, r.ib): r.passes for r in candidate_pairs(ra, rb, ["paper", "products"], 10**9).collect()}
+
+
+def test_random_pairs_take_every_record(spark):
+    """Chance pairs draw on nearly all records of both sources, about as many as asked for, whatever their attributes."""
+    left, right = (spark.range(k).select(F.col("id"), F.lit("same").alias("city")) for k in (3_000, 2_000))
+    got = random_pairs(left, right, 3_000, 2_000).cache()
+    assert got.select("ia").distinct().count() > 2_700 and got.select("ib").distinct().count() > 1_900
+    assert 0.5 < got.count() / (4 * 3_000) < 1.5
+    assert random_pairs(left.limit(0), right, 0, 2_000).count() == 0
