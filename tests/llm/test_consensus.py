@@ -70,3 +70,25 @@ def test_single_vote_and_none(spark):
     assert one.items.first().label == "ok" and one.items.first().agreement is None and one.summary.first().alpha is None
     empty = consensus(spark.createDataFrame([], "annotator string, item string, label string"), LABELS)
     assert empty.items.count() == 0 and empty.annotators.count() == 0
+
+
+def test_hot_item_is_split_without_change(spark):
+    """An item with a third of all votes, split by annotator, changes no result."""
+    rows, _, _ = world(5, 60)
+    rows += [(f"h{j}", "hot", LABELS[j % 7 == 0]) for j in range(900)]
+    df = spark.createDataFrame(rows, "annotator string, item string, label string").cache()
+    plain, split = consensus(df, LABELS, rounds=4), consensus(df, LABELS, rounds=4, hot_share=0.05, hot_least=100)
+    for part in ("items", "annotators"):
+        a, b = (getattr(c, part).toPandas() for c in (plain, split))
+        key = a.columns[0]
+        a, b = (d.sort_values(key).reset_index(drop=True) for d in (a, b))
+        assert list(a[key]) == list(b[key])
+        for c in a.select_dtypes("number"):
+            assert np.allclose(a[c].astype(float), b[c].astype(float), equal_nan=True)
+
+
+def test_interval_holds_the_posterior(spark):
+    """The quantiles are those of draws from the annotator's fitted rows."""
+    rows, _, _ = world(7, 80)
+    r = consensus(spark.createDataFrame(rows, "annotator string, item string, label string"), LABELS).annotators.where("annotator = 'a20'").first()
+    assert r.low < r.reliability < r.high <= 1.05 and r.votes == 60
