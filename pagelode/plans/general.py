@@ -9,6 +9,10 @@ from ..operators import units, wide
 from ..session import table
 
 
+#: The column types that the table's description states; every other attribute is money or a decimal.
+KPI_TYPES = {"shares_outstanding": "bigint", "employees": "bigint", "fiscal_year_end": "date", "reporting_currency": "string", "restated": "boolean"}
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return units.misscaled(units.common_units(table(spark, sf, "candidates"), table(spark, sf, "report_notes")))
 
@@ -20,7 +24,7 @@ def p3_values(spark: SparkSession, sf: str) -> DataFrame:
 def _kpis(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "kpis_long")
     entity = {"ticker": F.nullif(F.upper(F.trim("ticker")), F.lit("")), "year": F.col("year").cast("bigint")}
-    return wide.wide_from_long(rows, entity, F.col("kpi"), F.col("value"), recency=[F.col("loaded_at"), F.col("source")])
+    return wide.wide_from_long(rows, entity, F.col("kpi"), F.col("value"), lambda a: KPI_TYPES.get(a, "double"), [F.col("loaded_at"), F.col("source")])
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

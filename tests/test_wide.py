@@ -7,7 +7,11 @@ from pagelode.operators import wide as W
 COLUMNS = "ticker string, year int, kpi string, value string, loaded_at int, signature string"
 
 
+TYPES = {"employees": "bigint", "restated": "boolean", "fiscal_year_end": "date", "reporting_currency": "string"}
+
+
 def table(spark, rows, **more):
+    more.setdefault("types", lambda a: TYPES.get(a, "double"))
     entity = {"ticker": F.upper(F.trim("ticker")), "year": F.col("year").cast("bigint")}
     return W.wide_from_long(spark.createDataFrame(rows, COLUMNS), entity, F.col("kpi"), F.col("value"), recency=[F.col("loaded_at")], **more)
 
@@ -58,3 +62,23 @@ def test_signatures(spark):
     rows = [("A", 1, "x", "1", 1, None), ("B", 1, "x", "2", 1, None), ("C", 1, "y", "1", 1, None)]
     got = {tuple(r.signature): (r.entities, r.attributes) for r in W.characteristic_sets(table(spark, rows)).collect()}
     assert got == {("x",): (2, 1), ("y",): (1, 1)}
+
+
+def test_types_from_values(spark):
+    values = {"money": ["1,234.5", "(7)", "$3"], "staff": ["12", "1,000", "7.0"], "flag": ["Y", "false"], "day": ["2020-01-02", "12/31/2020"], "code": ["USD", "12x"], "gone": ["N/A", None]}
+    rows = [("A", 2020, a, v, 1, None) for a, vs in values.items() for v in vs]
+    got = dict(table(spark, rows, types=None).dtypes)
+    assert [got[a] for a in ("money", "staff", "flag", "day", "code", "gone")] == ["double", "bigint", "boolean", "date", "string", "string"]
+
+
+def test_frequent_sets_are_tables_of_their_own(spark):
+    """Whether a set has its own table or not changes no row; many spellings are named row by row."""
+    rows = [(f"E{i}", 2020, a, str(i), 1, None) for i in range(30) for a in (("x", "y") if i % 2 else ("x", "z") if i % 3 else (f"k{i}", "x"))]
+    want = {r.ticker: r.asDict() for r in table(spark, rows, tables=0).collect()}
+    for tables in (1, 16):
+        assert {r.ticker: r.asDict() for r in table(spark, rows, tables=tables).collect()} == want
+    assert want["E1"]["x"] == 1.0 and want["E1"]["z"] is None and len(want) == 30
+    df = spark.createDataFrame(rows, COLUMNS)
+    assert W.attribute_spellings(df, F.col("kpi"), most=2) is None
+    a, b = ({tuple(r) for r in W.cells(df, {"ticker": F.col("ticker")}, F.col("kpi"), F.col("value"), {a: "double" for a in want["E0"] if a[0] in "xyzk"}, [], s).collect()} for s in (None, W.attribute_spellings(df, F.col("kpi"))))
+    assert a == b and len(a) == 60
