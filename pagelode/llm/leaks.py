@@ -54,6 +54,7 @@ class Items:
     words: list[np.ndarray]
     vocabulary: dict[bytes, int]
     terms: int
+    kind: type = np.int16
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
@@ -64,13 +65,14 @@ class Items:
                     (numbers if re.search(r"\d", raw) else plain).setdefault(w)
         plain = [w for w in plain if w not in numbers]
         vocabulary = {w: i for i, w in enumerate([*plain, *numbers])}
-        words = [np.array([vocabulary.get(w, -1) for w in fold(t)], np.int16) for _, t in rows]
-        return cls([int(i) for i, _ in rows], words, vocabulary, len(plain))
+        kind = np.int16 if len(vocabulary) < 32_000 else np.int32
+        words = [np.array([vocabulary.get(w, -1) for w in fold(t)], kind) for _, t in rows]
+        return cls([int(i) for i, _ in rows], words, vocabulary, len(plain), kind)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text's words; -1 for words of no item."""
         get = self.vocabulary.get
-        return np.array([get(w, -1) for w in fold(text)], np.int16)
+        return np.array([get(w, -1) for w in fold(text)], self.kind)
 
 
 def _windows(ids: np.ndarray, size: int, stride: int) -> list[np.ndarray]:
@@ -78,25 +80,50 @@ def _windows(ids: np.ndarray, size: int, stride: int) -> list[np.ndarray]:
     return [ids[s : s + size] for s in [*range(0, last, stride), last]]
 
 
-def _dense(flat: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, outside: float) -> np.ndarray:
-    """TF-IDF of n windows, given as word ids with their rows, scaled by the whole norm, words of no item included."""
-    v = len(idf)
-    inside = (flat >= 0) & (flat < v)
-    counts = np.bincount(row[inside] * v + flat[inside], minlength=n * v).reshape(n, v).astype(np.float32)
-    counts *= idf
-    other = np.bincount(row[flat < 0], minlength=n) * outside**2
-    norm = np.sqrt(np.einsum("ij,ij->i", counts, counts) + other)
-    return counts / np.maximum(norm, 1e-9).astype(np.float32)[:, None]
+@dataclass
+class Sparse:
+    """TF-IDF of windows as (row, word, weight) sorted by row, scaled by the whole norm, words of no item included."""
 
+    row: np.ndarray
+    word: np.ndarray
+    weight: np.ndarray
+    n: int
 
-def _stacked(windows: list[np.ndarray], idf: np.ndarray, outside: float) -> np.ndarray:
+    @classmethod
+    def of(cls, flat: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, outside: float) -> Sparse:
+        v = len(idf)
+        inside = (flat >= 0) & (flat < v)
+        key, count = np.unique(row[inside] * v + flat[inside], return_counts=True)
+        at, word = np.divmod(key, v)
+        weight = count * idf[word]
+        norm = np.bincount(at, weight**2, n) + np.bincount(row[flat < 0], minlength=n) * outside**2
+        return cls(at, word, weight / np.maximum(np.sqrt(norm), 1e-9)[at], n)
+
+    def times(self, basis: np.ndarray) -> np.ndarray:
+        """The windows' images under a basis with one row a word."""
+        out = np.zeros((self.n, basis.shape[1]), basis.dtype)
+        if len(self.row):
+            first = np.flatnonzero(np.diff(self.row, prepend=-1))
+            out[self.row[first]] = np.add.reduceat(basis[self.word] * self.weight.astype(basis.dtype)[:, None], first, axis=0)
+        return out
+
+    def gather(self, image: np.ndarray, into: np.ndarray) -> None:
+        """Add the transpose times ``image`` into ``into``, word by word."""
+        if len(self.row):
+            order = np.argsort(self.word, kind="stable")
+            word = self.word[order]
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            into[word[first]] += np.add.reduceat(image[self.row[order]] * self.weight.astype(image.dtype)[order][:, None], first, axis=0)
+
+
+def _stacked(windows: list[np.ndarray], idf: np.ndarray, outside: float) -> Sparse:
     size = np.fromiter(map(len, windows), np.int64, len(windows))
-    return _dense(np.concatenate(windows), np.repeat(np.arange(len(windows)), size), len(windows), idf, outside)
+    return Sparse.of(np.concatenate(windows).astype(np.int64), np.repeat(np.arange(len(windows)), size), len(windows), idf, outside)
 
 
-def _grid(batch: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _grid(batch: pd.Series, size: int, kind: type) -> tuple[np.ndarray, np.ndarray, int]:
     """Word ids of a batch of documents with the numbers of their windows, laid end to end within each document."""
-    texts = [np.frombuffer(raw, np.int16) for raw in batch]
+    texts = [np.frombuffer(raw, kind) for raw in batch]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     windows = -(-lengths // size)
     if not lengths.sum():
@@ -106,7 +133,7 @@ def _grid(batch: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray, int]:
     return flat, place // size + np.repeat(np.cumsum(windows) - windows, lengths), int(windows.sum())
 
 
-def _power(corpus: DataFrame, basis: np.ndarray, idf: np.ndarray, outside: float, size: int) -> np.ndarray:
+def _power(corpus: DataFrame, basis: np.ndarray, idf: np.ndarray, outside: float, size: int, kind: type) -> np.ndarray:
     """A'A times a basis, where A holds the TF-IDF rows of all windows of the corpus."""
     shared = corpus.sparkSession.sparkContext.broadcast((basis.astype(np.float32), idf, outside))
 
@@ -114,11 +141,11 @@ def _power(corpus: DataFrame, basis: np.ndarray, idf: np.ndarray, outside: float
         q, weights, out = shared.value
         total = np.zeros(q.shape, np.float64)
         for batch in batches:
-            flat, row, n = _grid(batch["ids"], size)
+            flat, row, n = _grid(batch["ids"], size, kind)
             for lo in range(0, n, 8192):
                 i, j = np.searchsorted(row, (lo, lo + 8192))
-                x = _dense(flat[i:j], row[i:j] - lo, min(8192, n - lo), weights, out)
-                total += x.T @ (x @ q)
+                x = Sparse.of(flat[i:j], row[i:j] - lo, min(8192, n - lo), weights, out)
+                x.gather(x.times(q), total)
         yield pd.DataFrame({"term": np.arange(len(total)), "row": list(total)})
 
     n, k = basis.shape
@@ -129,22 +156,24 @@ def _power(corpus: DataFrame, basis: np.ndarray, idf: np.ndarray, outside: float
     return out
 
 
-def latent_space(corpus: DataFrame, idf: np.ndarray, outside: float, size: int, rank: int, seed: int = 1) -> np.ndarray:
+def latent_space(corpus: DataFrame, idf: np.ndarray, outside: float, size: int, rank: int, kind: type = np.int16, seed: int = 1) -> np.ndarray:
     """Leading right singular vectors by a randomised range finder, one power round and a Rayleigh-Ritz step."""
     n = len(idf)
     k = min(rank + 8, n)
     start, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, k)))
-    q, _ = np.linalg.qr(_power(corpus, start, idf, outside, size))
-    small = q.T @ _power(corpus, q, idf, outside, size)
+    q, _ = np.linalg.qr(_power(corpus, start, idf, outside, size, kind))
+    small = q.T @ _power(corpus, q, idf, outside, size, kind)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     return (q @ vectors[:, np.argsort(values)[::-1][:rank]]).astype(np.float32)
 
 
-def copied(document: np.ndarray, item: np.ndarray, least: int) -> int:
-    """Words of the item that lie in stretches of at least ``least`` words that the document shares."""
-    i, j = np.nonzero((document[:, None] == item[None, :]) & (item >= 0)[None, :])
-    if not len(i):
+def copied(document: np.ndarray, places: dict[int, np.ndarray], least: int) -> int:
+    """Words of an item, given by the places of each word, that lie in stretches of at least ``least`` words that the document shares."""
+    at = [(i, places[w]) for i, w in enumerate(document.tolist()) if w in places]
+    if not at:
         return 0
+    size = np.fromiter((len(p) for _, p in at), np.int64, len(at))
+    i, j = np.repeat(np.fromiter((x for x, _ in at), np.int64, len(at)), size), np.concatenate([p for _, p in at])
     order = np.lexsort((i, i - j))
     i, j = i[order], j[order]
     new = np.ones(len(i), bool)
@@ -154,6 +183,11 @@ def copied(document: np.ndarray, item: np.ndarray, least: int) -> int:
     return len(np.unique(j[long]))
 
 
+def places_of(item: np.ndarray) -> dict[int, np.ndarray]:
+    """Where each word of an item stands in it."""
+    return {int(w): np.flatnonzero(item == w) for w in np.unique(item) if w >= 0}
+
+
 def subsequence(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence of words, by bits of one number."""
     places: dict[int, int] = {}
@@ -170,16 +204,20 @@ def subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def leaked_passages(
-    documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, rank: int = 96, window: int = 32, stride: int = 16, cosine: float = 0.5, least: int = 8, max_items: int = 20_000
+    documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, rank: int = 96, window: int = 32, stride: int = 16, cosine: float = 0.5, least: int = 8, copied_least: float = 1 / 3, order_least: float = 0.6, answer_least: float = 0.75, max_items: int = 20_000
 ) -> DataFrame:
     """Candidate pairs of documents and items with the evidence of a leak.
 
-    Returns ``doc_id, item_id, cosine, copied_share, lcs_share, answer_share``
-    for every document with a window near an item's window: the share of the
-    item's words copied in stretches of at least ``least`` words, the longest
-    common subsequence around the near windows as a share of the item, and the
-    share of the item's numbers found there (null for items without numbers).
-    Every document is read whole and in every window.  Null and empty texts or
+    Returns ``doc_id, item_id, cosine, copied_share, lcs_share, answer_share,
+    verdict`` for every document with a window near an item's window: the share
+    of the item's words copied in stretches of at least ``least`` words, the
+    longest common subsequence around the near windows as a share of the item,
+    and the share of the item's numbers found there (null for items without
+    numbers).  ``verdict`` is ``copy`` when at least ``copied_least`` of the
+    item is copied; else ``paraphrase`` when ``order_least`` of its words come
+    in its order and ``answer_least`` of its numbers are there; else
+    ``similar``, a text on the same subject with other facts.  Every document
+    is read whole and in every window, and every window meets every item.  Null and empty texts or
     passages and rows without id give nothing; repeated rows are reported
     again.  The items' number is checked against ``max_items``; all of them
     are sent to every task.
@@ -188,12 +226,10 @@ def leaked_passages(
     if len(rows) > max_items:
         raise ValueError(f"more than {max_items} items")
     held = Items.of([(r[0], r[1]) for r in rows])
-    if len(held.vocabulary) >= 32_000:
-        raise ValueError("the items' vocabulary is too large for 16-bit ids")
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__id IS NOT NULL AND __t <> ''")
     kind = dict(docs.dtypes)["__id"]
-    schema = f"doc_id {kind}, item_id bigint, cosine double, copied_share double, lcs_share double, answer_share double"
+    schema = f"doc_id {kind}, item_id bigint, cosine double, copied_share double, lcs_share double, answer_share double, verdict string"
     if not held.ids or not held.terms:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(held)
@@ -209,7 +245,7 @@ def leaked_passages(
         v = shared.value.terms
         n = np.zeros(v + 1, np.int64)
         for batch in batches:
-            flat, row, windows = _grid(batch["ids"], window)
+            flat, row, windows = _grid(batch["ids"], window, shared.value.kind)
             inside = (flat >= 0) & (flat < v)
             n[:-1] += np.bincount(np.unique(row[inside] * v + flat[inside]) % v, minlength=v)
             n[-1] += windows
@@ -220,13 +256,13 @@ def leaked_passages(
         df[r.term] = r.n
     idf = np.log1p(df[-1] / np.maximum(df[:-1], 1)).astype(np.float32)
     outside = float(np.median(idf)) / 2
-    space = latent_space(corpus, idf, outside, window, rank)
+    space = latent_space(corpus, idf, outside, window, rank, held.kind)
     targets, owner = [], []
     for i, w in enumerate(held.words):
         for part in _windows(w, window, stride // 4):
             targets.append(part)
             owner.append(i)
-    image = _stacked(targets, idf, outside) @ space
+    image = _stacked(targets, idf, outside).times(space)
     image /= np.maximum(np.linalg.norm(image, axis=1), 1e-9)[:, None]
     owner = np.array(owner)
     first = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -235,11 +271,9 @@ def leaked_passages(
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = shared.value
         weights, out, space, image, first = plan.value
-        neutral = np.zeros(len(held.vocabulary) - held.terms)
-        inner = np.concatenate([weights**2, neutral, [0.0]])
-        energy = np.concatenate([weights**2, neutral, [out**2]])
+        stands = [places_of(w) for w in held.words]
         for batch in batches:
-            texts = [np.frombuffer(raw, np.int16) for raw in batch["ids"]]
+            texts = [np.frombuffer(raw, held.kind) for raw in batch["ids"]]
             place, owner_, ends, base = [], [], [], 0
             for n, w in enumerate(texts):
                 if len(w) >= least:
@@ -253,10 +287,6 @@ def leaked_passages(
                 continue
             flat = np.concatenate(texts).astype(np.int64)
             at, who, to = np.concatenate(place), np.concatenate(owner_), np.concatenate(ends)
-            own, all_ = np.append(0, np.cumsum(inner[flat])), np.append(0, np.cumsum(energy[flat]))
-            # a bound: repeated words may weigh up to their number more than they count here
-            good = (own[to] - own[at]) * 2 >= cosine**2 * (all_[to] - all_[at])
-            at, who, to = at[good], who[good], to[good]
             offset = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) - np.fromiter(map(len, texts), np.int64, len(texts))
             best: dict[tuple[int, int], list] = {}
             for lo in range(0, len(at), 2048):
@@ -264,10 +294,16 @@ def leaked_passages(
                 size = e - a
                 row = np.repeat(np.arange(len(a)), size)
                 index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
-                z = _dense(flat[index], row, len(a), weights, out) @ space
-                near = np.maximum.reduceat(z @ image.T, first, axis=1)
+                x = Sparse.of(flat[index], row, len(a), weights, out)
+                # an image is no longer than its window's part in the items' words, so a shorter one is near nothing
+                able = np.flatnonzero(np.bincount(x.row, x.weight**2, len(a)) >= cosine**2 * (1 - 1e-6))
+                if not len(able):
+                    continue
+                image_ = x.times(space)[able]
+                near = np.maximum.reduceat(image_ @ image.T, first, axis=1)
+                a, whose = a[able], who[lo : lo + 2048][able]
                 for r, c in zip(*np.nonzero(near >= cosine)):
-                    n = int(who[lo + r])
+                    n = int(whose[r])
                     s = int(a[r] - offset[n])
                     b = best.setdefault((n, c), [0.0, s, s])
                     b[0], b[1], b[2] = max(b[0], float(near[r, c])), min(b[1], s), max(b[2], s)
@@ -277,7 +313,9 @@ def leaked_passages(
                 around = w[max(lo - window, 0) : hi + 2 * window]
                 figures = np.unique(item[item >= held.terms])
                 answer = float(np.isin(figures, around).mean()) if len(figures) else None
-                found.append((batch["doc_id"].iloc[n], held.ids[c], near_, copied(w, item, least) / len(item), subsequence(around, item) / len(item), answer))
-            yield pd.DataFrame(found, columns=["doc_id", "item_id", "cosine", "copied_share", "lcs_share", "answer_share"])
+                share, order = copied(w, stands[c], least) / len(item), subsequence(around, item) / len(item)
+                verdict = "copy" if share >= copied_least - 1e-9 else "paraphrase" if order >= order_least and (answer is None or answer >= answer_least) else "similar"
+                found.append((batch["doc_id"].iloc[n], held.ids[c], near_, share, order, answer, verdict))
+            yield pd.DataFrame(found, columns=["doc_id", "item_id", "cosine", "copied_share", "lcs_share", "answer_share", "verdict"])
 
     return corpus.mapInPandas(search, schema)

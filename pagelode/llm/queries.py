@@ -108,7 +108,7 @@ def p8_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p8_candidates(spark, sf).where("copied_share >= 1 / 3D - 1e-9").select("doc_id", "item_id").distinct()
+    return p8_candidates(spark, sf).where("verdict = 'copy'").select("doc_id", "item_id").distinct()
 
 
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,6 @@
 import numpy as np
 
-from pagelode.llm.leaks import copied, fold, leaked_passages, subsequence
+from pagelode.llm.leaks import Sparse, copied, fold, leaked_passages, places_of, subsequence
 
 WORDS = [a + b for a in "bcdfghjklmnpqrstvz" for b in ("aron", "elim", "itok", "oved", "ugas", "anor", "epil", "idax", "ozun")]
 
@@ -27,8 +27,9 @@ def test_fold():
 
 def test_copied_and_subsequence():
     a, b = np.arange(20), np.arange(20)
-    assert copied(a, b, 8) == 20 and copied(np.delete(a, 10), b, 8) == 19 and copied(np.delete(a, [5, 13]), b, 8) == 0
-    assert copied(np.full(5, -1), b, 8) == 0 and subsequence(np.delete(a, [5, 13]), b) == 18 and subsequence(a, b[::-1]) == 1
+    p = places_of(b)
+    assert copied(a, p, 8) == 20 and copied(np.delete(a, 10), p, 8) == 19 and copied(np.delete(a, [5, 13]), p, 8) == 0
+    assert copied(np.full(5, -1), p, 8) == 0 and subsequence(np.delete(a, [5, 13]), b) == 18 and subsequence(a, b[::-1]) == 1
 
 
 def test_leaks_against_all_texts(spark):
@@ -51,6 +52,36 @@ def test_leaks_against_all_texts(spark):
     near = {(r.doc_id, r.item_id): r for r in found(spark, docs, items).collect()}
     assert near[4, 4].copied_share == 0 and near[4, 4].lcs_share > 0.7
     assert near[1, 1].answer_share == 1.0
+    # no stretch is copied, but the order of the words and the numbers are the item's
+    assert near[4, 4].verdict == "paraphrase" and near[1, 1].verdict == "copy"
+
+
+def test_other_facts_are_no_paraphrase(spark):
+    """The item's sentence with other numbers and every sixth word replaced is only similar."""
+    words = passage(1).split()
+    numbers = [k for k, w in enumerate(words) if any(c.isdigit() for c in w)]
+    assert numbers
+    other = [("9" * len(w) if k in numbers else "plain1" if k % 6 == 0 else w) for k, w in enumerate(words)]
+    same = [("plain1" if k % 6 == 0 and k not in numbers else w) for k, w in enumerate(words)]
+    docs = [(i, plain(i), None, None) for i in range(100, 160)] + [(1, " ".join(other), None, None), (2, " ".join(same), None, None)]
+    got = {r.doc_id: r.verdict for r in found(spark, docs, [(1, passage(1), None)]).collect()}
+    assert got.get(1, "similar") == "similar" and got[2] == "paraphrase"
+
+
+def test_sparse_is_the_dense_matrix():
+    rng = np.random.default_rng(1)
+    flat, row, idf = rng.integers(-1, 14, 400), np.sort(rng.integers(0, 30, 400)), rng.random(10) + 0.5
+    x = Sparse.of(flat, row, 30, idf, 0.7)
+    dense = np.zeros((30, 10))
+    for w, r in zip(flat, row):
+        if 0 <= w < 10:
+            dense[r, w] += idf[w]
+    norm = np.sqrt((dense**2).sum(1) + 0.49 * np.bincount(row[flat < 0], minlength=30))
+    dense /= np.maximum(norm, 1e-9)[:, None]
+    basis, total = rng.random((10, 4)), np.zeros((10, 4))
+    assert np.allclose(x.times(basis), dense @ basis)
+    x.gather(x.times(basis), total)
+    assert np.allclose(total, dense.T @ dense @ basis)
 
 
 def test_empty(spark):
