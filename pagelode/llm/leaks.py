@@ -88,19 +88,50 @@ class Sparse:
     word: np.ndarray
     weight: np.ndarray
     n: int
+    table: np.ndarray | None = None
 
     @classmethod
     def of(cls, flat: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, outside: float) -> Sparse:
-        v = len(idf)
-        inside = (flat >= 0) & (flat < v)
-        key, count = np.unique(row[inside] * v + flat[inside], return_counts=True)
-        at, word = np.divmod(key, v)
-        weight = count * idf[word]
-        norm = np.bincount(at, weight**2, n) + np.bincount(row[flat < 0], minlength=n) * outside**2
+        if not len(flat):
+            return cls(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), n)
+        size = np.bincount(row, minlength=n)
+        # every window's words in order, so that equal words stand together; -2 fills up and stands for words that don't count
+        table = np.full((n, size.max()), -2, np.int16 if len(idf) < 32_000 else np.int32)
+        table[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = np.where(flat < len(idf), flat, -2)
+        table.sort(axis=1)
+        new = np.ones(table.shape, bool)
+        new[:, 1:] = table[:, 1:] != table[:, :-1]
+        start = np.flatnonzero(new.ravel())
+        count = np.diff(start, append=table.size)
+        word, at = table.ravel()[start].astype(np.int64), start // table.shape[1]
+        norm = np.zeros(n)
+        norm += np.bincount(at[word == -1], count[word == -1] * outside**2, n)
+        keep = word >= 0
+        at, word = at[keep], word[keep]
+        weight = count[keep] * idf[word]
+        norm += np.bincount(at, weight**2, n)
         return cls(at, word, weight / np.maximum(np.sqrt(norm), 1e-9)[at], n)
 
+    def part(self, rows: np.ndarray) -> Sparse:
+        """Some rows only, in order."""
+        to = np.full(self.n, -1)
+        to[rows] = np.arange(len(rows))
+        keep = to[self.row] >= 0
+        return Sparse(to[self.row[keep]], self.word[keep], self.weight[keep], len(rows))
+
+    def dense(self, terms: int) -> np.ndarray | None:
+        """The rows written out, if there are few enough words for that to be the faster way."""
+        if terms > 8192:
+            return None
+        if self.table is None:
+            self.table = np.zeros((self.n, terms), np.float32)
+            self.table[self.row, self.word] = self.weight
+        return self.table
+
     def times(self, basis: np.ndarray) -> np.ndarray:
         """The windows' images under a basis with one row a word."""
+        if (table := self.dense(len(basis))) is not None:
+            return table @ basis
         out = np.zeros((self.n, basis.shape[1]), basis.dtype)
         if len(self.row):
             first = np.flatnonzero(np.diff(self.row, prepend=-1))
@@ -109,7 +140,9 @@ class Sparse:
 
     def gather(self, image: np.ndarray, into: np.ndarray) -> None:
         """Add the transpose times ``image`` into ``into``, word by word."""
-        if len(self.row):
+        if (table := self.dense(len(into))) is not None:
+            into += table.T @ image
+        elif len(self.row):
             order = np.argsort(self.word, kind="stable")
             word = self.word[order]
             first = np.flatnonzero(np.diff(word, prepend=-1))
@@ -142,9 +175,9 @@ def _power(corpus: DataFrame, basis: np.ndarray, idf: np.ndarray, outside: float
         total = np.zeros(q.shape, np.float64)
         for batch in batches:
             flat, row, n = _grid(batch["ids"], size, kind)
-            for lo in range(0, n, 8192):
-                i, j = np.searchsorted(row, (lo, lo + 8192))
-                x = Sparse.of(flat[i:j], row[i:j] - lo, min(8192, n - lo), weights, out)
+            for lo in range(0, n, 4096):
+                i, j = np.searchsorted(row, (lo, lo + 4096))
+                x = Sparse.of(flat[i:j], row[i:j] - lo, min(4096, n - lo), weights, out)
                 x.gather(x.times(q), total)
         yield pd.DataFrame({"term": np.arange(len(total)), "row": list(total)})
 
@@ -299,7 +332,7 @@ def leaked_passages(
                 able = np.flatnonzero(np.bincount(x.row, x.weight**2, len(a)) >= cosine**2 * (1 - 1e-6))
                 if not len(able):
                     continue
-                image_ = x.times(space)[able]
+                image_ = x.part(able).times(space)
                 near = np.maximum.reduceat(image_ @ image.T, first, axis=1)
                 a, whose = a[able], who[lo : lo + 2048][able]
                 for r, c in zip(*np.nonzero(near >= cosine)):
