@@ -14,7 +14,7 @@ from .linkage import link, records
 from .mixture import mix
 from .nearest import nearest_in_time
 from .pieces import number_pieces, split_texts
-from .reading import reading_level
+from .reading import held_out_error, reading_level
 from .scans import scanned_noise
 
 #: Folder of the public vocabularies; override with the environment's own.
@@ -132,6 +132,11 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_levels(spark, sf).where("level < 5").select("doc_id").distinct()
 
 
+def p10_error(spark: SparkSession, sf: str) -> DataFrame:
+    """Error of the levels against the formula, on documents held apart from the fit."""
+    return held_out_error(reading_level(table(spark, sf, "documents"), "doc_id", "text", folds=2))
+
+
 _TICKER = r"nullif(regexp_replace(regexp_replace(upper({0}.ticker), '\s+', '', 'g'), '\.(L|AX|TO|V)$', ''), '')"
 _P1 = f"""
 WITH f AS (SELECT filing_id, filing_date AS t, {_TICKER.format("filing_returns")} AS k FROM filing_returns WHERE filing_date IS NOT NULL),
@@ -143,7 +148,7 @@ p AS (
 )
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_text, p4_found, p4_pieces, p4_numbered, p6_found, p6_items, p6_annotators, p6_agreement, p7_found, p7_pairs, p8_found, p8_candidates, p9_mixture, p9_shares, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_text, p4_found, p4_pieces, p4_numbered, p6_found, p6_items, p6_annotators, p6_agreement, p7_found, p7_pairs, p8_found, p8_candidates, p9_mixture, p9_shares, p10_found, p10_levels, p10_error)}
 ORACLES = {
     "p6_agreement": """
 WITH v AS (

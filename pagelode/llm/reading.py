@@ -125,8 +125,11 @@ def _paragraphs(text: str | None, cache: _Syllables) -> tuple[str | None, list[t
     return language(every), out
 
 
-def prose_table(documents: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
-    """``doc_id, lang, size, grades, words`` of every row with an id; the words, packed, only of texts in ``lang``."""
+def prose_table(documents: DataFrame, doc_id: str, text: str, lang: str, folds: int = 1) -> DataFrame:
+    """``doc_id, fold, lang, size, grades, words`` of every row with an id; the words, packed, only of texts in ``lang``.
+
+    The fold comes from the text, so that copies fall into one.
+    """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _Syllables()
@@ -135,19 +138,19 @@ def prose_table(documents: DataFrame, doc_id: str, text: str, lang: str) -> Data
             for key, t in zip(batch["__id"], batch["__t"]):
                 found, paragraphs = _paragraphs(t, cache)
                 packed = zlib.compress("\n".join(" ".join(w) for w, _ in paragraphs).encode(), 1) if found == lang else None
-                out.append((key, found, sum(len(w) for w, _ in paragraphs), [g for _, g in paragraphs], packed))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "size", "grades", "words"])
+                out.append((key, zlib.crc32((t or "").encode("utf-8", "replace")) % folds, found, sum(len(w) for w, _ in paragraphs), [g for _, g in paragraphs], packed))
+            yield pd.DataFrame(out, columns=["doc_id", "fold", "lang", "size", "grades", "words"])
 
     docs = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__id IS NOT NULL")
-    return durable(docs.mapInPandas(pack, f"doc_id {dict(docs.dtypes)['__id']}, lang string, size int, grades array<double>, words binary"))
+    return durable(docs.mapInPandas(pack, f"doc_id {dict(docs.dtypes)['__id']}, fold int, lang string, size int, grades array<double>, words binary"))
 
 
 def _unpack(packed: bytes) -> list[list[str]]:
     return [p.split(" ") for p in zlib.decompress(packed).decode().split("\n")]
 
 
-def word_grades(table: DataFrame, share: float = 1e-4, least: int = 5, quantile: float = 0.15, most: int = 1_000_000) -> dict[str, float]:
-    """Acquisition grade of every known word of a prose table.
+def word_grades(table: DataFrame, folds: int = 1, share: float = 1e-5, least: int = 5, quantile: float = 0.15, most: int = 1_000_000) -> list[dict[str, float]]:
+    """Acquisition grade of every known word of a prose table, for each fold.
 
     Each paragraph of prose is a graded text.  A word's rate in each band of
     grades is its number of paragraphs there over the band's words, so that
@@ -158,43 +161,48 @@ def word_grades(table: DataFrame, share: float = 1e-4, least: int = 5, quantile:
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
-        rows = lambda: pd.DataFrame([(w, b, n) for (w, b), n in counts.items()], columns=["word", "band", "n"])
+        counts: list[Counter] = [Counter() for _ in range(folds)]
+        rows = lambda: pd.DataFrame([(f, w, b, n) for f in range(folds) for (w, b), n in counts[f].items()], columns=["fold", "word", "band", "n"])
         for batch in batches:
-            for packed, grades in zip(batch["words"], batch["grades"]):
+            for fold, packed, grades in zip(batch["fold"], batch["words"], batch["grades"]):
+                own = counts[fold]
                 for words, grade in zip(_unpack(packed), grades):
                     band = bisect_right(BANDS, grade)
-                    counts.update(zip(set(words), repeat(band)))
-                    counts[None, band] += len(words)
-                    counts["", -1] += 1
-            if len(counts) > 1_000_000:
+                    own.update(zip(set(words), repeat(band)))
+                    own[None, band] += len(words)
+                    own["", -1] += 1
+            if sum(map(len, counts)) > 1_000_000:
                 yield rows()
-                counts.clear()
+                for c in counts:
+                    c.clear()
         yield rows()
 
-    table = table.where("words IS NOT NULL AND size > 0").select("words", "grades").mapInPandas(count, "word string, band int, n bigint")
-    table = durable(table.groupBy("word", "band").agg(F.sum("n").alias("n")))
-    size = {r.band: float(r.n) for r in table.where("word IS NULL").collect()}
-    paragraphs = table.where("word = ''").agg(F.sum("n")).first()[0] or 0
-    bar = max(least, share * paragraphs)
-    known = table.where("word <> ''").groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("band", "n")).alias("bands")).where(F.col("total") >= bar)
-    rows = known.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} known words")
-    low = np.array([0.0, *BANDS])
-    high = np.array([*BANDS, BANDS[-1] + 6])
-    total = sum(size.values()) or 1.0
-    # a band with little text is no graded text: its rates are damped
-    weight = np.array([1 / (size.get(b, 0.0) + 1e-4 * total) for b in range(len(high))])
-    out = {}
-    for r in rows:
-        rate = np.zeros(len(high))
-        for b in r.bands:
-            rate[b.band] = b.n * weight[b.band]
-        run = np.cumsum(rate) / rate.sum()
-        b = int(np.searchsorted(run, quantile))
-        before = run[b - 1] if b else 0.0
-        out[r.word] = float(low[b] + (high[b] - low[b]) * (quantile - before) / max(run[b] - before, 1e-12))
+    bands = range(len(BANDS) + 1)
+    table = table.where("words IS NOT NULL AND size > 0").select("fold", "words", "grades").mapInPandas(count, "fold int, word string, band int, n bigint")
+    table = durable(table.groupBy("fold", "word", "band").agg(F.sum("n").alias("n")))
+    low = [0.0, *BANDS]
+    high = [*BANDS, BANDS[-1] + 6]
+    out = []
+    for fold in range(folds):
+        own = table.where(F.col("fold") == fold)
+        size = {r.band: float(r.n) for r in own.where("word IS NULL").collect()}
+        paragraphs = own.where("word = ''").agg(F.sum("n")).first()[0] or 0
+        total = sum(size.values()) or 1.0
+        # a band with little text is no graded text: its rates are damped
+        rate = [F.sum(F.when(F.col("band") == b, F.col("n") / (size.get(b, 0.0) + 1e-4 * total)).otherwise(0.0)).alias(f"r{b}") for b in bands]
+        known = own.where("word <> ''").groupBy("word").agg(F.sum("n").alias("seen"), *rate).where(F.col("seen") >= max(least, share * paragraphs))
+        whole = sum((F.col(f"r{b}") for b in bands), F.lit(0.0)) * quantile
+        grade, before = F.lit(high[-1]), F.lit(0.0)
+        steps = []
+        for b in bands:
+            steps.append((before + F.col(f"r{b}") >= whole, low[b] + (high[b] - low[b]) * (whole - before) / F.greatest(F.col(f"r{b}"), F.lit(1e-300))))
+            before = before + F.col(f"r{b}")
+        for reached, value in reversed(steps):
+            grade = F.when(reached, value).otherwise(grade)
+        rows = known.select("word", grade.alias("grade")).limit(most + 1).toArrow()
+        if rows.num_rows > most:
+            raise ValueError(f"more than {most} known words")
+        out.append(dict(zip(rows["word"].to_pylist(), rows["grade"].to_pylist())))
     return out
 
 
@@ -220,41 +228,53 @@ def _median(weighted: list[tuple[float, int]]) -> float:
     return weighted[-1][0]
 
 
-def reading_level(documents: DataFrame, doc_id: str, text: str, lang: str = "en", quantile: float = 0.9, least_words: int = 8) -> DataFrame:
+def reading_level(documents: DataFrame, doc_id: str, text: str, lang: str = "en", quantile: float = 0.9, least_words: int = 8, folds: int = 1) -> DataFrame:
     """Reading grade of every document.
 
     Returns ``doc_id, lang, words, known_share, formula_grade, level`` for
     each row with an id.  ``lang`` is read from the text; ``level`` is the
     ``quantile`` of the grades of the prose's known words, calibrated to the
-    formula's scale by an isotonic fit over all documents.  It is null for
-    texts in other languages, null or empty texts, and texts with fewer than
-    ``least_words`` known words of prose.
+    formula's scale by an isotonic fit over all documents.  With two ``folds``
+    the words' grades and the fit that a document is measured with come from
+    the other half of the documents, so that its error is that of texts held
+    apart.  The level is null for texts in other languages, null or empty
+    texts, and texts with fewer than ``least_words`` known words of prose.
     """
-    table = prose_table(documents, doc_id, text, lang)
-    shared = documents.sparkSession.sparkContext.broadcast(word_grades(table))
+    if folds not in (1, 2):
+        raise ValueError("one fold or two")
+    table = prose_table(documents, doc_id, text, lang, folds)
+    shared = documents.sparkSession.sparkContext.broadcast(word_grades(table, folds))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value.get
+        known_by = [words.get for words in shared.value]
         for batch in batches:
             out = []
-            for key, found, size, grades, packed in zip(*(batch[c] for c in ("doc_id", "lang", "size", "grades", "words"))):
+            for key, fold, found, size, grades, packed in zip(*(batch[c] for c in ("doc_id", "fold", "lang", "size", "grades", "words"))):
                 raw = share = grade = None
+                known = known_by[(fold + 1) % folds]
                 if size and packed is not None:
                     paragraphs = _unpack(packed)
                     values = sorted(g for p in paragraphs for w in p if (g := known(w)) is not None)
                     share = len(values) / size
                     raw = values[min(int(quantile * len(values)), len(values) - 1)] if len(values) >= least_words else None
                     grade = _median(sorted(zip(grades, map(len, paragraphs))))
-                out.append((key, found, size, share, grade, raw))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "words", "known_share", "formula_grade", "raw"])
+                out.append((key, fold, found, size, share, grade, raw))
+            yield pd.DataFrame(out, columns=["doc_id", "fold", "lang", "words", "known_share", "formula_grade", "raw"])
 
     kind = dict(table.dtypes)["doc_id"]
-    measured = durable(table.mapInPandas(measure, f"doc_id {kind}, lang string, words int, known_share double, formula_grade double, raw double"))
-    bins = measured.where("raw IS NOT NULL").groupBy((F.round(F.col("raw") * 10) / 10).alias("x")).agg(F.percentile_approx("formula_grade", 0.5).alias("y"), F.count(F.lit(1)).alias("w"))
-    steps = _isotonic([(r.x, r.y, float(r.w)) for r in bins.collect()])
+    measured = durable(table.mapInPandas(measure, f"doc_id {kind}, fold int, lang string, words int, known_share double, formula_grade double, raw double"))
+    bins = measured.where("raw IS NOT NULL").groupBy("fold", (F.round(F.col("raw") * 10) / 10).alias("x")).agg(F.percentile_approx("formula_grade", 0.5).alias("y"), F.count(F.lit(1)).alias("w")).collect()
     level = F.lit(None).cast("double")
-    if steps:
-        xs, ys = F.array(*[F.lit(float(x)) for x, _ in steps]), F.array(*[F.lit(float(y)) for _, y in steps])
-        at = F.size(F.filter(xs, lambda x: x <= F.round(F.col("raw") * 10) / 10 + 1e-9))
-        level = F.when(F.col("raw").isNotNull(), F.get(ys, F.greatest(at - 1, F.lit(0))))
+    for fold in range(folds):
+        steps = _isotonic([(r.x, r.y, float(r.w)) for r in bins if r.fold == (fold + 1) % folds])
+        if steps:
+            xs, ys = F.array(*[F.lit(float(x)) for x, _ in steps]), F.array(*[F.lit(float(y)) for _, y in steps])
+            at = F.size(F.filter(xs, lambda x: x <= F.round(F.col("raw") * 10) / 10 + 1e-9))
+            level = F.when((F.col("fold") == fold) & F.col("raw").isNotNull(), F.get(ys, F.greatest(at - 1, F.lit(0)))).otherwise(level)
     return measured.select("doc_id", "lang", "words", "known_share", "formula_grade", level.alias("level"))
+
+
+def held_out_error(levels: DataFrame) -> DataFrame:
+    """``documents, mean_error, within_one``: how far levels with two folds are from the documents' own formula grades."""
+    off = F.abs(F.col("level") - F.col("formula_grade"))
+    return levels.where("level IS NOT NULL AND formula_grade IS NOT NULL").agg(F.count(F.lit(1)).alias("documents"), F.avg(off).alias("mean_error"), F.avg((off <= 1).cast("double")).alias("within_one"))

@@ -1,6 +1,6 @@
 import random
 
-from pagelode.llm.reading import _isotonic, language, prose, reading_level
+from pagelode.llm.reading import _isotonic, held_out_error, language, prose, reading_level
 
 EASY = "We sold the red hats. Kids like the new bikes. The man put the cups on a low shelf. We had a good week. The rain was bad.".split(". ")
 HARD = "The determination of contractual consideration necessitates probabilistic evaluation of macroeconomic contingencies. Indemnification obligations consequently survive notwithstanding applicable regulatory determinations. Remeasurement of actuarial liabilities necessitates comprehensive disclosure.".split(". ")
@@ -40,3 +40,10 @@ def test_levels(spark):
 
 def test_empty(spark):
     assert reading_level(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text").count() == 0
+
+
+def test_held_out_error(spark):
+    rows = [(i, text(EASY, i)) for i in range(60)] + [(100 + i, text(HARD, i)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    r = held_out_error(reading_level(docs, "doc_id", "text", folds=2)).first()
+    assert r.documents > 100 and r.mean_error < 3
