@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, with_small
 
 #: Factors between the units in use and the common unit.
 CONVERSIONS = (0.01, 1.0, 1e2, 1e3, 1e5, 1e6, 1e7, 1e9, 1e12)
@@ -83,8 +83,9 @@ def pairwise_scales(links: DataFrame, min_links: int = 5, min_agreement: float =
 
     ``links`` has one row per entity recorded in two sources: ``a, b, va, vb``.
     Returns ``a, b, scale, offset, links, agreement``: the snapped median of
-    vb/va, the median of vb - scale*va, and the share of links within 1 % of
-    the scale.  Pairs with few links or little agreement are left out.  The
+    vb/va, the median of vb - scale*va (0 when it is under 1 % of the median
+    of vb, as rounding leaves it), and the share of links within 1 % of the
+    scale.  Pairs with few links or little agreement are left out.  The
     log ratios are counted in bins of 1/200 decade first, so that a pair with
     a third of all links stays small.
     """
@@ -106,29 +107,32 @@ def pairwise_scales(links: DataFrame, min_links: int = 5, min_agreement: float =
     offset = (
         usable.join(F.broadcast(out.select("a", "b", "scale")), ["a", "b"])
         .groupBy("a", "b")
-        .agg(F.percentile_approx(F.col("vb") - F.col("scale") * F.col("va"), 0.5).alias("offset"))
+        .agg(F.percentile_approx(F.col("vb") - F.col("scale") * F.col("va"), 0.5).alias("shift"), F.percentile_approx(F.abs("vb"), 0.5).alias("level"))
+        .select("a", "b", F.when(F.abs("shift") > 0.01 * F.col("level"), F.col("shift")).otherwise(0.0).alias("offset"))
     )
     return out.join(offset, ["a", "b"]).select("a", "b", "scale", "offset", "links", "agreement")
 
 
-def propagate(edges: DataFrame, anchor: str, conversions: tuple[float, ...] = CONVERSIONS, max_sources: int = 100_000) -> dict[str, float]:
-    """Scale of every source that the graph ties to the anchor.
+def propagate(edges: DataFrame, anchor: str, conversions: tuple[float, ...] = CONVERSIONS, max_sources: int = 100_000) -> dict[str, tuple[float, float]]:
+    """Scale and offset, into the anchor's unit, of every source that the graph ties to the anchor.
 
     Sources are spellings of units; their number doesn't grow with the rows,
     and the bound is checked.  The strongest edges are followed first.
     """
-    rows = edges.select("a", "b", "scale", "links", "agreement").limit(max_sources + 1).collect()
+    rows = edges.select("a", "b", "scale", "offset", "links", "agreement").limit(max_sources + 1).collect()
     if len(rows) > max_sources:
         raise ValueError(f"more than {max_sources} pairs of sources")
-    known = {anchor: 1.0}
+    known = {anchor: (1.0, 0.0)}
     todo = sorted(rows, key=lambda r: (-r.links * r.agreement, r.a, r.b))
     moved = True
     while moved:
         moved = False
         for r in todo:
-            for here, there, factor in ((r.a, r.b, r.scale), (r.b, r.a, 1 / r.scale)):
+            # b = scale * a + offset
+            for here, there, factor, shift in ((r.a, r.b, r.scale, r.offset), (r.b, r.a, 1 / r.scale, -r.offset / r.scale)):
                 if there in known and here not in known:
-                    known[here] = min(conversions, key=lambda c: abs(math.log10(c) - math.log10(known[there] * factor)))
+                    scale, offset = known[there]
+                    known[here] = (min(conversions, key=lambda c: abs(math.log10(c) - math.log10(scale * factor))), scale * shift + offset)
                     moved = True
             if moved:
                 break
@@ -146,7 +150,9 @@ def common_units(candidates: DataFrame, notes: DataFrame, min_links: int = 5) ->
     estimated from the rows that carry a stored value, by way of the source
     graph; units too rare for an estimate take their known reading.  Rows
     whose number can't be read keep a null value; null texts state no unit; a
-    report without a note has none.
+    report without a note has none, and of several notes the first unit word
+    in the alphabet counts.  An offset is applied where it is more than one
+    per cent of the source's median value.
     """
     raw = F.col("raw_number")
     per_share = F.lower("kpi").like("eps%")
@@ -155,7 +161,8 @@ def common_units(candidates: DataFrame, notes: DataFrame, min_links: int = 5) ->
     at = F.instr(F.col("snippet"), raw)
     label = F.when(at > 0, F.expr("substring(snippet, 1, instr(snippet, raw_number) - 1)"))
     heading = F.when(per_share | (shares & F.lower("page_heading").rlike(r"(except|excluding|other than)( for)?( the)?( number of)? shares?\b")), None).otherwise(F.col("page_heading"))
-    money_note = notes.where(F.col("report_name").isNotNull()).select("report_name", unit_word(F.col("units_note")).alias("note_unit")).where("note_unit IS NOT NULL").dropDuplicates(["report_name"])
+    money_note = notes.where(F.col("report_name").isNotNull()).select("report_name", unit_word(F.col("units_note")).alias("note_unit"))
+    money_note = durable(money_note.where("note_unit IS NOT NULL").groupBy("report_name").agg(F.min("note_unit").alias("note_unit")))
     read = candidates.select(
         "candidate_id",
         "normalized_value",
@@ -166,7 +173,9 @@ def common_units(candidates: DataFrame, notes: DataFrame, min_links: int = 5) ->
         unit_word(heading).alias("u3"),
     )
     inside = F.coalesce("u1", "u2", "u3").isNotNull()
-    read = read.withColumn("report_name", F.when(~inside, F.col("report_name"))).join(money_note, "report_name", "left")
+    # only rows that state no unit themselves look for a note
+    stated = read.where(inside | F.col("report_name").isNull()).withColumn("note_unit", F.lit(None).cast("string"))
+    read = stated.unionByName(with_small(read.where(~inside & F.col("report_name").isNotNull()), money_note, "report_name", ["candidate_id"]))
     source = F.coalesce(
         F.concat(F.lit("inline:"), "u1"), F.concat(F.lit("label:"), "u2"), F.concat(F.lit("heading:"), "u3"), F.concat(F.lit("note:"), "note_unit"), F.lit("written:")
     )
@@ -176,13 +185,14 @@ def common_units(candidates: DataFrame, notes: DataFrame, min_links: int = 5) ->
     )
     scales = propagate(pairwise_scales(links, min_links), "stored")
     place, unit = F.split_part("source", F.lit(":"), F.lit(1)), F.split_part("source", F.lit(":"), F.lit(2))
-    estimated = F.lit(None).cast("double")
+    estimated, shift = F.lit(None).cast("double"), F.lit(0.0)
     found = {k: v for k, v in scales.items() if k != "stored"}
     if found:
-        estimated = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(found.items()) for x in kv]), F.col("source"))
+        looked_up = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in sorted(found.items()) for x in (k, v[i])]), F.col("source"))
+        estimated, shift = looked_up(0), F.coalesce(looked_up(1), shift) if any(v[1] for v in found.values()) else shift
     scale = F.coalesce(estimated, known_scale(unit), F.lit(1.0))
     return read.select(
-        "candidate_id", "normalized_value", "number", place.alias("unit_place"), F.nullif(unit, F.lit("")).alias("unit"), (F.col("number") * scale).alias("common_value")
+        "candidate_id", "normalized_value", "number", place.alias("unit_place"), F.nullif(unit, F.lit("")).alias("unit"), (F.col("number") * scale + shift).alias("common_value")
     )
 
 

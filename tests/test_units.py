@@ -63,7 +63,25 @@ def test_graph_propagates(spark):
     links = [("a", "stored", 1.0 + i, (1.0 + i) * 1000) for i in range(9)] + [("b", "a", 2.0 + i, (2.0 + i) * 1e3) for i in range(9)] + [("c", "stored", 1.0, 2.0)]
     edges = U.pairwise_scales(spark.createDataFrame(links, "a string, b string, va double, vb double"))
     known = U.propagate(edges, "stored")
-    assert known == {"stored": 1.0, "a": 1000.0, "b": 1e6}
+    assert {k: v[0] for k, v in known.items()} == {"stored": 1.0, "a": 1000.0, "b": 1e6} and not any(v[1] for v in known.values())
+
+
+def test_offsets_are_carried_along(spark):
+    """stored = a + 50 and a = 1000 b + 20, so stored = 1000 b + 70; an offset under a hundredth is rounding."""
+    links = [("a", "stored", 1e3 + i, 1e3 + i + 50.0) for i in range(-4, 5)] + [("b", "a", 1.0 + i / 1e3, 1e3 + i + 20.0) for i in range(-4, 5)] + [("d", "stored", 1e3 + i, 1e3 + i + 1.0) for i in range(9)]
+    known = U.propagate(U.pairwise_scales(spark.createDataFrame(links, "a string, b string, va double, vb double"), min_agreement=0), "stored")
+    assert known["a"] == (1.0, 50.0) and known["d"] == (1.0, 0.0)
+    assert known["b"][0] == 1000.0 and abs(known["b"][1] - 70.0) < 1e-6
+
+
+def test_notes_beyond_the_broadcast_and_two_notes(spark):
+    """Of several notes of a report the first unit word counts, in every run."""
+    body, note = rows()
+    twice = [*note, *[(n[0], "figures in thousands") for n in note[:1]]]
+    one, two = (
+        {r.candidate_id: r.common_value for r in U.common_units(spark.createDataFrame(b, COLUMNS), spark.createDataFrame(twice, "report_name string, units_note string")).collect()} for b in (body, body[::-1])
+    )
+    assert one == two
 
 
 def test_empty(spark):
