@@ -9,11 +9,11 @@ up afterwards to give each piece its place.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,14 +136,17 @@ def number_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def split_files(spark: SparkSession, paths: list[str], limit: int = 4_000, overlap: int = 200, span: int = 8_000_000) -> DataFrame:
-    """Pieces of giant UTF-8 files on a shared folder, read by byte ranges only.
+    """Pieces of giant UTF-8 files, given by path or URI of a file system or object store, read by byte ranges only.
 
     Returns ``path, range_no, range_piece, byte_start, byte_end, char_start,
     piece``.  Each worker opens its range with halos; the characters before a
     range come from a prefix sum over the ranges' lengths.  An empty file
     gives no piece; bytes that aren't UTF-8 are kept as replacement marks.
     """
-    sizes = [(p, os.path.getsize(p)) for p in paths]
+    sizes = []
+    for p in paths:
+        store, name = FileSystem.from_uri(p)
+        sizes.append((p, store.get_file_info(name).size or 0))
     ranges = [(p, i, i * span, min((i + 1) * span, size), i == (size - 1) // span) for p, size in sizes if size for i in range((size - 1) // span + 1)]
     table = spark.createDataFrame(ranges, "path string, range_no int, lo bigint, hi bigint, closing boolean").repartition(max(1, len(ranges)), "path", "range_no")
 
@@ -151,7 +154,8 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = 4_000, overl
         for batch in batches:
             for r in batch.itertuples(index=False):
                 lead = 4 * (overlap + 2) if r.lo else 0
-                with open(r.path, "rb") as f:
+                store, name = FileSystem.from_uri(r.path)
+                with store.open_input_file(name) as f:
                     f.seek(r.lo - lead)
                     raw = f.read(r.hi - r.lo + lead + (0 if r.closing else 4 * (limit + overlap)))
                 skip = next((i for i in range(min(4, len(raw))) if raw[i] & 0xC0 != 0x80), 0) if lead else 0
@@ -165,9 +169,10 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = 4_000, overl
                 text = raw[skip:head].decode("utf-8", "replace") + raw[head:tail].decode("utf-8", "replace")
                 second = len(text)
                 text += raw[tail:].decode("utf-8", "ignore" if not r.closing else "replace")
-                out = []
+                out, at, byte = [], 0, r.lo - lead + skip
                 for i, (a, b) in enumerate(_range_pieces(text, 0, first, second, limit, overlap, not r.lo, r.closing)):
-                    byte = r.lo - lead + skip + len(text[:a].encode())
+                    byte += len(text[at:a].encode())
+                    at = a
                     out.append((r.path, r.range_no, i, byte, byte + len(text[a:b].encode()), a - first, second - first, text[a:b]))
                 yield pd.DataFrame(out, columns=["path", "range_no", "range_piece", "byte_start", "byte_end", "rel", "chars", "piece"])
 
@@ -176,3 +181,13 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = 4_000, overl
     lengths = pieces.groupBy("path", "range_no").agg(F.max("chars").alias("c"))
     base = lengths.select("path", "range_no", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
     return pieces.join(base, ["path", "range_no"]).select("path", "range_no", "range_piece", "byte_start", "byte_end", (F.col("base") + F.col("rel")).alias("char_start"), "piece")
+
+
+def coverage(pieces: DataFrame, keys: list[str], limit: int = 4_000, overlap: int = 200) -> DataFrame:
+    """Per text: its length by the last piece, the characters that its pieces cover, and whether every piece keeps the limit and the overlap."""
+    own = Window.partitionBy(*keys).orderBy("start", "end")
+    rows = pieces.select(*keys, "start", "end", F.char_length("piece").alias("__n")).distinct().withColumn("__before", F.lag("end").over(own))
+    back = F.coalesce(F.col("__before") - F.col("start"), F.lit(0))
+    new = F.col("end") - F.greatest(F.col("start"), F.coalesce("__before", F.lit(0)))
+    fits = (F.col("__n") <= limit) & (F.col("__n") == F.col("end") - F.col("start"))
+    return rows.groupBy(*keys).agg(F.max("end").alias("chars"), F.sum(new).alias("covered"), F.min(fits).alias("within_limit"), F.min(back.between(0, overlap)).alias("within_overlap"))

@@ -13,7 +13,7 @@ from .leaks import leaked_passages
 from .linkage import link, records
 from .mixture import mix
 from .nearest import nearest_in_time
-from .pieces import number_pieces, split_texts
+from .pieces import coverage, number_pieces, split_texts
 from .reading import held_out_error, reading_level
 from .scans import scanned_noise
 
@@ -67,6 +67,11 @@ def p4_numbered(spark: SparkSession, sf: str) -> DataFrame:
     return number_pieces(p4_pieces(spark, sf), ["src", "item_key"]).select("src", "item_key", "piece_no", "start", "end", "piece")
 
 
+def p4_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the pieces of each long text cover it within the limits."""
+    return coverage(p4_pieces(spark, sf), ["src", "item_key"])
+
+
 def _consensus(spark: SparkSession, sf: str) -> Consensus:
     labels = ["ok", "not_ok", "uncertain"]
     return consensus(counted_votes(table(spark, sf, "annotations"), "annotator", "item_id", "overall_status", "updated_at_utc", labels), labels)
@@ -148,7 +153,7 @@ p AS (
 )
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_text, p4_found, p4_pieces, p4_numbered, p6_found, p6_items, p6_annotators, p6_agreement, p7_found, p7_pairs, p8_found, p8_candidates, p9_mixture, p9_shares, p10_found, p10_levels, p10_error)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_text, p4_found, p4_pieces, p4_numbered, p4_cover, p6_found, p6_items, p6_annotators, p6_agreement, p7_found, p7_pairs, p8_found, p8_candidates, p9_mixture, p9_shares, p10_found, p10_levels, p10_error)}
 ORACLES = {
     "p6_agreement": """
 WITH v AS (
@@ -166,6 +171,9 @@ SELECT items, CAST(n AS BIGINT) AS votes, round(1 - o / ((a * (n - a) + b * (n -
     "p4_found": """
 SELECT DISTINCT 'page' AS src, docid AS item_key FROM report_pages WHERE length(text) > 4000
 UNION ALL SELECT DISTINCT 'document', CAST(doc_id AS VARCHAR) FROM documents WHERE length(text) > 4000""",
+    "p4_cover": """
+SELECT DISTINCT 'page' AS src, docid AS item_key, length(text) AS chars, length(text) AS covered, true AS within_limit, true AS within_overlap FROM report_pages WHERE length(text) > 4000
+UNION ALL SELECT DISTINCT 'document', CAST(doc_id AS VARCHAR), length(text), length(text), true, true FROM documents WHERE length(text) > 4000""",
     "p1_found": _P1 + "SELECT filing_id, window_id FROM p WHERE n = 1",
     "p1_pairs": _P1 + "SELECT filing_id, window_id, offset_us FROM p WHERE n = 1",
 }
