@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,17 +61,26 @@ def align(truth: DataFrame, pred: DataFrame, keys: Sequence[str], scope: DataFra
     return truth.join(pred, list(keys), "full")
 
 
-def wrong_bucket(pred: Column, truth: Column, neighbours: Sequence[tuple[str, Column]], tolerance: float, factors: Sequence[float] = (1e3, 1e6, 1e9, 1e-3, 1e-6, 1e-9), low: float = 0.5, high: float = 2.0) -> Column:
-    """Why a wrong value is wrong: a neighbouring year's, the sign, the scale, another scope, or else."""
-    close = lambda a, b: F.coalesce(F.abs(a - b) <= tolerance * F.abs(b), F.lit(False))
-    out = F.when(F.lit(False), F.lit(""))
-    for name, value in neighbours:
-        out = out.when(close(pred, value), f"year_shift_{name}")
-    out = out.when(close(-pred, truth), "sign")
+#: Factors by which a value may be out of scale, in the order tried.
+SCALE_FACTORS = (1e3, 1e6, 1e9, 1e-3, 1e-6, 1e-9)
+
+
+def wrong_bucket(pred: Column, truth: Column, neighbours: Sequence[tuple[int, Column]], tolerance: float, zero_eps: float = 0.5, factors: Sequence[float] = SCALE_FACTORS) -> Column:
+    """Why a wrong value is wrong: year_shift(k), sign_error, scale_error(x1ek), scope_factor or other.
+
+    ``neighbours`` are the truths of the years by their distance, tried in
+    order.  Values near zero match as everywhere; sign and scale need a truth
+    other than zero; the scope factor is a ratio from 0.5 to 2 of either sign.
+    """
+    close = lambda a, b: F.coalesce(matches(a, b, tolerance, zero_eps), F.lit(False))
+    out = F.when(pred.isNull(), "other")
+    for k, value in neighbours:
+        out = out.when(close(pred, value), f"year_shift({k:+d})")
+    known = F.coalesce(truth != 0, F.lit(False))
+    out = out.when(known & close(pred, -truth), "sign_error")
     for f in factors:
-        out = out.when(close(pred, truth * f), "scale")
-    ratio = F.try_divide(pred, truth)
-    return out.when(ratio.between(low, high), "scope").otherwise("other")
+        out = out.when(known & close(pred, truth * f), f"scale_error(x1e{round(math.log10(f)):+d})")
+    return out.when(known & F.abs(F.try_divide(pred, truth)).between(0.5, 2.0), "scope_factor").otherwise("other")
 
 
 def cell_metrics(scored: DataFrame, by: Sequence[str], status: str = "status", error: str = "rel_error") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -64,9 +65,14 @@ def ranking_metrics(run: DataFrame, qrels: DataFrame, question: str, doc: str, k
     The ideal ranking is over the judged documents; gain is the grade.
     Questions without a relevant document are left out.
     """
-    judged = qrels.where("relevance > 0").groupBy(question).agg(F.count(F.lit(1)).alias("n_rel"), F.slice(F.reverse(F.array_sort(F.collect_list("relevance"))), 1, k).alias("ideal"))
-    gain = lambda g, i: g / F.log2(i + F.lit(2.0))
-    ideal = F.aggregate(F.transform("ideal", lambda g, i: gain(g, i)), F.lit(0.0), lambda s, x: s + x)
+    # the ideal gain needs only how often each grade was given: places are filled from the highest grade down
+    reach = F.array(*[F.lit(sum(1 / math.log2(i + 2) for i in range(n))) for n in range(k + 1)])
+    counts = qrels.where("relevance > 0").groupBy(question, "relevance").agg(F.count(F.lit(1)).alias("n"))
+    above = Window.partitionBy(question).orderBy(F.desc("relevance")).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.least(F.coalesce(F.sum("n").over(above), F.lit(0)), F.lit(k))
+    filled = counts.select(question, "relevance", "n", start.cast("int").alias("lo")).withColumn("hi", F.least(F.col("lo") + F.col("n"), F.lit(k)).cast("int"))
+    judged = filled.groupBy(question).agg(F.sum("n").alias("n_rel"), F.sum(F.col("relevance") * (F.get(reach, F.col("hi")) - F.get(reach, F.col("lo")))).alias("ideal"))
+    ideal = F.col("ideal")
     hits = run.where(F.col("rank") <= k).join(qrels.where("relevance > 0").select(question, doc, "relevance"), [question, doc])
     nth = F.row_number().over(Window.partitionBy(question).orderBy("rank"))
     found = hits.withColumn("__i", nth).groupBy(question).agg(
@@ -131,16 +137,73 @@ def _nearest(rows, unit, vec_id: str, vector: str, k: int, block: int):
     return work
 
 
-def max_sim_top(vectors: DataFrame, queries: DataFrame, vec_id: str, tokens: str, k: int, block: int = 1024) -> DataFrame:
-    """For a stated set of queries the k best rows by late interaction, block of queries by block."""
-    out = None
-    for part in in_blocks(queries, vec_id, block):
-        q = part.select(F.col(vec_id).alias("query_id"), F.col(tokens).alias("query"))
-        one = vectors.join(F.broadcast(q), F.col(vec_id) != F.col("query_id")).select("query_id", vec_id, max_sim("query", tokens).alias("score"))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        out = vectors.select(F.col(vec_id).alias("query_id"), vec_id, F.lit(0.0).alias("score")).limit(0)
-    return top_k(out, ["query_id"], "score", vec_id, k)
+def max_sim_top(vectors: DataFrame, queries: DataFrame, vec_id: str, tokens: str, k: int, block: int = 256) -> DataFrame:
+    """For a stated set of queries the k best other rows by late interaction.
+
+    The queries go in blocks of a checked size, and each block meets all rows
+    in one product a batch.  Rows or queries without tokens score 0.
+    """
+    best = None
+    for part in in_blocks(queries.where(F.col(tokens).isNotNull()), vec_id, block):
+        rows = part.select(vec_id, tokens).limit(8 * block + 1).collect()
+        if len(rows) > 8 * block:
+            raise ValueError("a block of queries is too large")
+        if rows:
+            one = vectors.select(vec_id, tokens).mapInPandas(_interacting(rows, vec_id, tokens, k), f"query_id bigint, {vec_id} bigint, score double")
+            best = one if best is None else best.unionByName(one)
+    if best is None:
+        best = vectors.sparkSession.createDataFrame([], f"query_id bigint, {vec_id} bigint, score double")
+    return top_k(best, ["query_id"], "score", vec_id, k)
+
+
+def _interacting(rows, vec_id: str, tokens: str, k: int):
+    ids = np.array([r[0] for r in rows], np.int64)
+    asked = [np.array(r[1], np.float64) for r in rows]
+    full = [i for i, q in enumerate(asked) if len(q)]
+    stacked = np.concatenate([asked[i] for i in full]) if full else None
+    starts = np.cumsum([0, *[len(asked[i]) for i in full[:-1]]]) if full else None
+
+    def work(batches):
+        for batch in batches:
+            batch = batch[batch[tokens].notna()]
+            own = batch[vec_id].to_numpy()
+            held = [np.stack(d).astype(np.float64) if len(d) else np.empty((0, 0)) for d in batch[tokens]]
+            some = [j for j, d in enumerate(held) if len(d)]
+            score = np.zeros((len(ids), len(own)))
+            if full and some:
+                first = np.cumsum([0, *[len(held[j]) for j in some[:-1]]])
+                dots = np.maximum.reduceat(stacked @ np.concatenate([held[j] for j in some]).T, first, axis=1)
+                score[np.ix_(full, some)] = np.add.reduceat(dots, starts, axis=0)
+            score[ids[:, None] == own[None, :]] = -np.inf
+            if not len(own):
+                continue
+            n = min(k, score.shape[1])
+            kth = np.partition(score, -n, axis=1)[:, -n]
+            i, j = np.nonzero((score >= kth[:, None]) & (score > -np.inf))
+            yield pd.DataFrame({"query_id": ids[i], vec_id: own[j], "score": score[i, j]})
+
+    return work
+
+
+def target_reports(qrels: DataFrame, question: str, doc: str, relevance: str, mark: str = "#") -> DataFrame:
+    """The judged report of each question: ``question, target_report`` and the judgements' page and grade within it.
+
+    The target is the report whose trailing year is the question's; of several
+    the one with the strongest judgement, then the smaller name.  Questions
+    without such a report are left out.
+    """
+    year = lambda c: F.nullif(F.regexp_extract(c, r"([0-9]{4})$", 1), F.lit(""))
+    split = qrels.select(question, F.substring_index(doc, mark, 1).alias("target_report"), F.substring_index(doc, mark, -1).alias("page"), F.col(relevance).alias("relevance"))
+    same = split.where(year(F.col(question)) == year(F.col("target_report")))
+    strongest = same.groupBy(question, "target_report").agg(F.max("relevance").alias("__top"))
+    chosen = strongest.groupBy(question).agg(F.min(F.struct((-F.col("__top")).alias("t"), F.col("target_report").alias("r")))["r"].alias("target_report"))
+    return same.join(chosen, [question, "target_report"], "left_semi")
+
+
+def eligible(targets: DataFrame, questions: DataFrame, reports: DataFrame, question: str, report: str, threshold: int = 1) -> DataFrame:
+    """Questions with text whose target report is there and has a page of at least the threshold's grade."""
+    relevant = targets.where(F.col("relevance") >= threshold).select(question, F.col("target_report").alias(report)).distinct()
+    return relevant.join(questions.select(question), question, "left_semi").join(reports.select(report), report, "left_semi").select(question, report)
 
 
 @pandas_udf(DoubleType())

@@ -118,11 +118,63 @@ def separation(curve: DataFrame, group: str, a: str, b: str) -> DataFrame:
     return curve.groupBy("day").agg(F.abs(pick(a) - pick(b)).alias("separation"))
 
 
-def session_of(utc: Column, zone: str = "America/New_York") -> Column:
-    """non_trading (weekend), pre_market before 09:30, intraday up to 16:00, else after_hours, in exchange time."""
-    local = F.from_utc_timestamp(utc, zone)
+def session_of(local: Column, trading: Column) -> Column:
+    """non_trading_day, pre_market before 09:30, intraday up to 16:00, else after_hours, of a time on the exchange's clock."""
     minute = F.hour(local) * 60 + F.minute(local) + F.second(local) / 60
-    return F.when(F.dayofweek(local).isin(1, 7), "non_trading").when(minute < 570, "pre_market").when(minute <= 960, "intraday").otherwise("after_hours")
+    return F.when(~F.coalesce(trading, F.lit(False)), "non_trading_day").when(minute < 570, "pre_market").when(minute <= 960, "intraday").otherwise("after_hours")
+
+
+def filing_windows(filings: DataFrame, calendar: DataFrame, by: Sequence[str], key: str, accepted: str, day: str, zone: str = "America/New_York") -> DataFrame:
+    """``key, filing_window_class, t0, t1, t5`` of each filing by its series' own trading days.
+
+    t1 is the day of a filing before the close of a trading day, else the next
+    trading day; t0 is the trading day before t1, t5 the fourth after it.
+    Without t0 or t1 the class is null too.  A holiday is any day that the
+    calendar lacks.
+    """
+    local = F.from_utc_timestamp(F.col(accepted), zone)
+    days = with_ordinal(calendar.select(*by, F.col(day).cast("date").alias("__d")).where("__d IS NOT NULL").distinct(), by, "__d")
+    f = filings.where(F.col(accepted).isNotNull()).select(*by, key, local.alias("__at"), local.cast("date").alias("__d"))
+    f = f.join(days.select(*by, "__d", F.lit(True).alias("__open")), [*by, "__d"], "left").withColumn("__class", session_of(F.col("__at"), F.col("__open")))
+    start = F.when(F.col("__class").isin("pre_market", "intraday"), F.col("__d")).otherwise(F.date_add("__d", 1))
+    f = as_of_next(f.select(*by, key, "__class", start.alias("__from")), days, by, "__from", "__d").withColumnRenamed("next_day", "t1")
+    f = f.join(days.withColumnRenamed("__d", "t1"), [*by, "t1"], "left")
+    for name, shift in (("t0", -1), ("t5", 4)):
+        f = f.join(days.select(*by, F.col("__d").alias(name), (F.col("ordinal") - shift).alias("ordinal")), [*by, "ordinal"], "left")
+    whole = F.col("t0").isNotNull()
+    return f.select(*by, key, *[F.when(whole, F.col(c)).alias(n) for c, n in (("__class", "filing_window_class"), ("t0", "t0"), ("t1", "t1"), ("t5", "t5"))])
+
+
+def against(rows: DataFrame, other: DataFrame, keys: Sequence[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Left join with another series and the differences ``name = own - other's``; null where either is missing."""
+    joined = rows.join(other, list(keys), "left")
+    return joined.withColumns({name: F.col(own) - F.col(others) for name, (own, others) in pairs.items()})
+
+
+def filing_returns(windows: DataFrame, stock: DataFrame, benchmark: DataFrame, industry: DataFrame, by: Sequence[str], sector: Sequence[str], day: str) -> DataFrame:
+    """Returns, abnormal returns and industry-adjusted figures of each filing's window.
+
+    ``stock`` has ``return_1, return_5, volume, volatility`` by series and day,
+    ``benchmark`` has ``returns`` by day, ``industry`` what ``stock`` has, by
+    sector and day; ``windows`` has the sector.  Forward returns are read at
+    t0, the rest at t1 and t5.
+    """
+
+    def at(rows: DataFrame, series: DataFrame, keys: Sequence[str], when: str, columns: dict[str, str]) -> DataFrame:
+        side = series.select(*keys, F.col(day).alias(when), *[F.col(c).alias(n) for n, c in columns.items()])
+        return rows.join(side, [*keys, when], "left")
+
+    out = windows
+    for keys, series, lead in ((by, stock, ""), (sector, industry, "industry_")):
+        out = at(out, series, keys, "t0", {f"{lead}r_1d": "return_1", f"{lead}r_5d": "return_5"})
+        for when in ("t1", "t5"):
+            out = at(out, series, keys, when, {f"{lead}volume_{when}": "volume", f"{lead}volatility_{when}": "volatility"})
+    for when, n in (("t1", "1d"), ("t5", "5d")):
+        out = at(out, benchmark, [], when, {f"spy_r_{n}": "returns"})
+    late = F.col("t5").isNotNull()
+    out = out.withColumns({c: F.when(late, F.col(c)) for c in ("r_5d", "industry_r_5d")})
+    out = out.withColumns({f"a_{n}": F.col(f"r_{n}") - F.col(f"spy_r_{n}") for n in ("1d", "5d")} | {f"unbiased_a_{n}": F.col(f"r_{n}") - F.col(f"industry_r_{n}") for n in ("1d", "5d")})
+    return out.withColumns({f"unbiased_{c}": F.col(c) - F.col(f"industry_{c}") for c in ("volume_t1", "volume_t5", "volatility_t1", "volatility_t5")})
 
 
 def central_change(series: DataFrame, by: Sequence[str], time: str, value: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 PAGE_MARK = r"(?i)<---\s*page split\s*--->"
 
@@ -50,43 +50,63 @@ def snippet(text: Column, most: int = 220) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most - 3)), F.lit("..."))).otherwise(flat)
 
 
-#: A number in parentheses, or one with sign, currency and unit letter; two alternatives in place of a conditional group.
-_TOKEN = re.compile(
-    r"\(\s*[-+]?\$?\s*(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\s*(?:[kKmMbB]|mm|bn)?\s*\)|(?<![\w.,])[-+]?\$?\s*(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[kKmMbB]n?|mm)?(?![\w]|[.,]\d)"
-)
-_FACTORS = {"k": 1e3, "m": 1e6, "mm": 1e6, "b": 1e9, "bn": 1e9}
+#: Unit words of numbers and page notes with their multipliers.
+UNIT_WORDS = (("thousand", 1e3), ("thousands", 1e3), ("k", 1e3), ("million", 1e6), ("millions", 1e6), ("mm", 1e6), ("m", 1e6), ("billion", 1e9), ("billions", 1e9), ("bn", 1e9), ("b", 1e9))
 
+_GAP = r"[\s\u00a0]*"
+_FIGURE = r"(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
+_SUFFIX = r"(?:bn|billions?|mm|millions?|thousands?|k|m|b)"
+_SIGNED = f"-?{_GAP}\\$?{_GAP}{_FIGURE}{_GAP}{_SUFFIX}?{_GAP}"
+#: A number, in brackets or bare, that no letter, digit, slash, point or hyphen touches; a percent sign is taken along to tell percentages.
+_NUMBER = f"(?i)(?<![A-Za-z0-9_/.\\-])(?:\\({_GAP}{_SIGNED}\\)|{_SIGNED})(?![A-Za-z0-9_/.\\-])%?"
 
-def number_tokens_of(line: str) -> list[tuple[int, int, str, float]]:
-    """Numbers of a line as (start, end, raw, value): percentages and bare years left out, brackets and minus negative."""
-    out = []
-    for m in _TOKEN.finditer(line):
-        raw = m[0]
-        if line[m.end() :].lstrip(" ").startswith("%"):
-            continue
-        body = re.sub(r"[()\s$,+-]", "", raw).lower()
-        unit = re.search(r"[a-z]+$", body)
-        value = float(body[: unit.start()] if unit else body)
-        if not unit and re.fullmatch(r"(?:19|20)\d\d", raw):
-            continue
-        value *= _FACTORS.get(unit[0], 1.0) if unit else 1.0
-        out.append((m.start(), m.end(), raw, -value if raw.startswith("(") or "-" in raw else value))
-    return out
 
+def unit_multiplier(word: Column) -> Column:
+    """Multiplier of a unit word, a final stop aside; null for any other word."""
+    bare = F.rtrim(F.lower(word), F.lit("."))
+    return F.coalesce(*[F.when(bare == w, F.lit(m)) for w, m in UNIT_WORDS], F.lit(None).cast("double"))
+
+
+def number_tokens(line: Column) -> Column:
+    """Numbers of a text as an array of ``raw, value, inline_multiplier``, in SQL only.
+
+    Percentages, bare years from 1900 to 2100, both ends of ranges and digits
+    within words take no part.  A number in brackets or with a minus is
+    negative; a unit word behind it is its own multiplier, by which ``value``
+    isn't multiplied.  Null texts give null.
+    """
+
+    def parsed(token: Column) -> Column:
+        raw = F.btrim(token, F.lit(" \t\n\r\u00a0"))
+        figure = F.regexp_extract(raw, _FIGURE, 0)
+        suffix = F.regexp_extract(raw, f"(?i){_FIGURE}{_GAP}({_SUFFIX})", 1)
+        value = F.replace(figure, F.lit(","), F.lit("")).try_cast("double")
+        return F.struct(raw.alias("raw"), F.when(raw.rlike(r"^\(|^-"), -value).otherwise(value).alias("value"), unit_multiplier(suffix).alias("inline_multiplier"))
 
-@pandas_udf(ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("raw", StringType()).add("value", DoubleType())))
-def number_tokens(lines: pd.Series) -> pd.Series:
-    """Numbers of each line, Arrow batch by batch; null lines have none."""
-    return lines.map(lambda x: [dict(zip(("start", "end", "raw", "value"), t)) for t in number_tokens_of(x)] if isinstance(x, str) else [])
+    counts = lambda t: ~F.endswith(t, F.lit("%")) & ~F.regexp_replace(t, r"[()$\-\s\u00a0]", "").rlike(r"^(19\d\d|20\d\d|2100)$")
+    return F.transform(F.filter(F.regexp_extract_all(line, F.lit(_NUMBER), F.lit(0)), counts), parsed)
+
+
+#: The ways in which a page or line states its unit.
+UNIT_NOTES = (
+    r"(?i)\([^)]*?\b(?:\$|usd|us\$|u\.s\.\$)?\s*(?:in\s+)?(thousands?|millions?|billions?)\b[^)]*\)",
+    r"(?i)\bdollars?\s+in\s+(thousands?|millions?|billions?)\b",
+    r"(?i)\ball\s+dollar\s+amounts?\s+(?:are\s+)?(?:stated|presented|shown)\s+in\s+(thousands?|millions?|billions?)\b",
+    r"(?i)\bin\s+(thousands?|millions?|billions?)\b",
+)
 
 
 def unit_hints(text: Column) -> Column:
-    """All unit multipliers that a text states: thousands, millions, billions, lakhs, crores, hundredths."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\b(thousands?|millions?|billions?|lakhs?|crores?|'000s?|000s)\b|\b(mn|bn|mm)\b"), F.lit(0))
-    factor = lambda w: (
-        F.when(w.rlike("^(thousand|'?000)"), 1e3).when(w.rlike("^(million|mn|mm)"), 1e6).when(w.rlike("^(billion|bn)"), 1e9).when(w.rlike("^lakh"), 1e5).otherwise(1e7)
-    )
-    return F.transform(words, factor)
+    """All unit multipliers that a text states as its unit; a unit word in running text is none."""
+    words = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in UNIT_NOTES]))
+    return F.coalesce(F.transform(words, unit_multiplier), F.array().cast("array<double>"))
+
+
+def line_context(lines: DataFrame, page: Sequence[str], line: str, text: str, reach: int = 1) -> DataFrame:
+    """Adds ``context``: each line with the lines up to ``reach`` before and after it, joined by blanks."""
+    w = Window.partitionBy(*page).orderBy(line)
+    around = [F.lag(text, k).over(w) for k in range(reach, 0, -1)] + [F.col(text)] + [F.lead(text, k).over(w) for k in range(1, reach + 1)]
+    return lines.withColumn("context", F.concat_ws(" ", *around))
 
 
 def resolve_unit(levels: Sequence[tuple[str, Column]], default: float = 1.0) -> Column:
@@ -142,14 +162,20 @@ def _has(pattern: str):
     return lambda p: p.rlike(pattern)
 
 
-def page_reasons(text: Column, headings: str, aliases: Sequence[str], dense_rows: int = 3) -> Column:
-    """Why a page may hold figures: tables, dense numeric rows, a financial heading, two or more aliases."""
-    lines = F.split(text, "\n")
-    numbers = lambda x: F.regexp_count(x, F.lit(r"[0-9][0-9,.]*"))
-    dense = F.size(F.filter(lines, lambda x: numbers(x) >= 2)) >= dense_rows
+def page_reasons(text: Column, headings: Sequence[str], aliases: Sequence[str], dense_rows: int = 3) -> Column:
+    """Why a page may hold figures, in fixed order: a markdown or HTML table, rows of three or more numbers, a financial heading, two or more aliases.
+
+    Headings and aliases count anywhere in the text, in any case.
+    """
+    low = F.lower(text)
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.btrim(x)), lambda x: x != "")
+    rule = F.exists(lines, _has(r"^\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?$"))
     piped = F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2)) >= 2
-    named = sum((F.when(F.lower(text).contains(a), 1).otherwise(0) for a in aliases), F.lit(0)) >= 2
-    checks = [("markdown_table", piped), ("html_table", F.lower(text).contains("<table")), ("dense_rows", dense), ("heading", F.exists(lines, _has(headings))), ("aliases", named)]
+    dense = F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit(r"[0-9][0-9,.]*")) >= 3)) >= dense_rows
+    tagged = low.contains("<table") | low.contains("</td>") | low.contains("</tr>")
+    headed = F.exists(F.array(*[F.lit(h.lower()) for h in headings]), lambda h: F.contains(low, h))
+    named = F.size(F.filter(F.array(*[F.lit(a.lower()) for a in dict.fromkeys(aliases)]), lambda a: F.contains(low, a))) >= 2
+    checks = [("markdown-table", rule | piped), ("html-table", tagged), ("dense-numeric-rows", dense), ("financial-heading", headed), ("kpi-aliases", named)]
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks]))
 
 

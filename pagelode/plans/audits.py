@@ -55,9 +55,11 @@ def check_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("s"), F.max("l_extendedprice").alias("m"))
     both = o.join(li, "o_orderkey", "left")
-    status = lambda v, t: F.when(v.isNull(), "missing").when(F.abs(v - t) <= 0.3 * t, "matched").otherwise("wrong")
-    v = M.verdict(status(F.col("s"), F.col("o_totalprice")), status(F.col("m") * 3, F.col("o_totalprice")))
-    return both.groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    error = lambda v: F.abs(v - F.col("o_totalprice")) / F.col("o_totalprice")
+    status = lambda e: F.when(e.isNull(), "absent").when(e <= 0.3, "matched").when(e <= 0.6, "ambiguous").otherwise("far")
+    f, r = error(F.col("s")), error(F.col("m") * 3)
+    v = M.verdict(status(f), status(r), f, r, status(f), status(r))
+    return both.select(v.alias("v")).groupBy("v.status", "v.reason", "v.winner").agg(F.count(F.lit(1)).alias("n"))
 
 
 def question_reach(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,8 +125,14 @@ CASE WHEN page_number <> page_index + 1 THEN 'page_number_apart' END, CASE WHEN
 WHERE report_name IS NOT NULL AND kpi IS NOT NULL AND normalized_value IS NOT NULL
 WINDOW w AS (PARTITION BY report_name, kpi ORDER BY CASE unit_source WHEN 'inline' THEN 0 WHEN 'line' THEN 1 WHEN 'page' THEN 2 ELSE 3 END, coalesce(unit_conflict, false), candidate_id)) WHERE i = 1""",
     "check_verdicts": """WITH l AS (SELECT l_orderkey, sum(l_extendedprice) AS s, max(l_extendedprice) AS m FROM lineitem GROUP BY 1),
-b AS (SELECT CASE WHEN s IS NULL THEN 'missing' WHEN abs(s - o_totalprice) <= 0.3 * o_totalprice THEN 'matched' ELSE 'wrong' END AS f, CASE WHEN m IS NULL THEN 'missing' WHEN abs(m * 3 - o_totalprice) <= 0.3 * o_totalprice THEN 'matched' ELSE 'wrong' END AS r FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
-SELECT CASE WHEN f = 'matched' AND r = 'matched' THEN 'confirmed' WHEN f = 'matched' OR r = 'matched' THEN 'supported' WHEN f = 'wrong' OR r = 'wrong' THEN 'contradicted' ELSE 'unseen' END AS verdict, count(*) AS n FROM b GROUP BY 1""",
+e AS (SELECT abs(s - o_totalprice) / o_totalprice AS fe, abs(m * 3 - o_totalprice) / o_totalprice AS re FROM orders LEFT JOIN l ON l_orderkey = o_orderkey),
+b AS (SELECT *, CASE WHEN fe IS NULL THEN 'absent' WHEN fe <= 0.3 THEN 'matched' WHEN fe <= 0.6 THEN 'ambiguous' ELSE 'far' END AS f, CASE WHEN re IS NULL THEN 'absent' WHEN re <= 0.3 THEN 'matched' WHEN re <= 0.6 THEN 'ambiguous' ELSE 'far' END AS r,
+  CASE WHEN re IS NULL OR fe <= re THEN 'forward' ELSE 'reverse' END AS nearer FROM e)
+SELECT CASE WHEN 'matched' IN (f, r) THEN 'matched' WHEN 'ambiguous' IN (f, r) THEN 'ambiguous' ELSE 'unmatched' END AS status,
+  CASE WHEN f = 'matched' AND r = 'matched' THEN 'both-matched' WHEN f = 'matched' THEN 'forward-only-match' WHEN r = 'matched' THEN 'reverse-only-match' WHEN f = 'ambiguous' AND r = 'ambiguous' THEN 'both-ambiguous'
+    WHEN f = 'ambiguous' THEN 'forward-ambiguous' WHEN r = 'ambiguous' THEN 'reverse-ambiguous' ELSE 'forward:' || f || '|reverse:' || r END AS reason,
+  CASE WHEN f = 'matched' AND r <> 'matched' THEN 'forward' WHEN r = 'matched' AND f <> 'matched' THEN 'reverse' WHEN f = 'ambiguous' AND r NOT IN ('matched', 'ambiguous') THEN 'forward' WHEN r = 'ambiguous' AND f NOT IN ('matched', 'ambiguous') THEN 'reverse' ELSE nearer END AS winner,
+  count(*) AS n FROM b GROUP BY ALL""",
     "question_reach": "WITH q AS (SELECT item_id, CAST(regexp_extract(query_id, '([0-9]{4})$', 1) AS INT) AS y FROM eval_items) SELECT item_id, count(*) AS reports FROM q JOIN report_notes r ON r.year BETWEEN y AND y + 2 GROUP BY 1",
     "token_guard": r"""WITH d AS (SELECT len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\s]')) AS n FROM documents WHERE text IS NOT NULL) SELECT CASE WHEN n > 800 THEN 'skipped_too_long' ELSE 'kept' END AS status, count(*) AS n, CAST(sum(n) AS BIGINT) AS tokens FROM d GROUP BY 1""",
     "rekeyed_facts": """WITH a AS (SELECT o_custkey, year(o_orderdate) - (month(o_orderdate) <= 3)::INT AS fy, count(*) AS n3 FROM orders GROUP BY 1, 2), b AS (SELECT o_custkey, year(o_orderdate) - (month(o_orderdate) <= 1)::INT AS fy, count(*) AS n1 FROM orders GROUP BY 1, 2)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import match as M
 from ..operators import models as L
-from ..operators.text import number_tokens
 from ..session import table
 
 
@@ -55,11 +54,12 @@ def near_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbers of pages within 1 % of a candidate's number for the same report."""
-    p = table(spark, sf, "report_pages").where("text IS NOT NULL").select(F.col("report").alias("report_name"), "docid", F.explode(number_tokens(F.col("text"))).alias("n"))
-    numbers = p.select("report_name", "docid", F.col("n.start").alias("start"), F.col("n.value").alias("value"))
-    t = table(spark, sf, "candidates").where("normalized_value IS NOT NULL").select("report_name", "candidate_id", F.col("normalized_value").alias("target"))
-    return M.within(numbers, t, ["report_name"], "value", "target", 0.01).select("candidate_id", "docid", "start", "rel_error")
+    """Pages that show a candidate's value of the same report, with the unit that the page states."""
+    pages = table(spark, sf, "report_pages").where("text IS NOT NULL").groupBy("report", "page").agg(F.min("text").alias("text"))
+    c = table(spark, sf, "candidates").where("normalized_value IS NOT NULL AND report_name IS NOT NULL AND kpi IS NOT NULL")
+    targets = c.groupBy(F.col("report_name").alias("report"), F.lower("kpi").alias("kpi")).agg(F.max("normalized_value").alias("target")).withColumn("offset_years", F.lit(0))
+    names = ("revenue", "net_income", "total_assets", "total_equity", "operating_income")
+    return M.page_candidates(pages, targets, {n: [n.replace("_", " ")] for n in names})
 
 
 def residual_codes(spark: SparkSession, sf: str) -> DataFrame:

@@ -66,15 +66,17 @@ def _buckets(spark: SparkSession, sf: str) -> DataFrame:
     sums = orders.groupBy("c_nationkey", F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("truth"))
     shift = lambda d: sums.select("c_nationkey", (F.col("year") - d).alias("year"), F.col("truth").alias(f"n{d}"))
     facts = sums.withColumn("n", F.col("c_nationkey") % 5)
-    for d in (-1, 1):
+    for d in (-1, 1, -2, 2):
         facts = facts.join(shift(d), ["c_nationkey", "year"], "left")
-    pred = F.when(F.col("n") == 0, F.col("n-1")).when(F.col("n") == 1, -F.col("truth")).when(F.col("n") == 2, F.col("truth") / 1000).when(F.col("n") == 3, F.col("truth") * 1.3).otherwise(F.col("truth") * 7)
+    kind = lambda n: F.col("n") == n
+    pred = F.when(kind(0), F.when(F.col("year") % 2 == 0, F.col("n-1")).otherwise(F.col("n2"))).when(kind(1), -F.col("truth")).when(kind(2), F.col("truth") / F.pow(F.lit(1000.0), F.col("year") % 3 + 1))
+    pred = pred.when(kind(3), F.col("truth") * F.when(F.col("year") % 2 == 0, 1.3).otherwise(-1.3)).otherwise(F.col("truth") * 7)
     return facts.withColumn("pred", pred)
 
 
 def wrong_buckets(spark: SparkSession, sf: str) -> DataFrame:
     facts = _buckets(spark, sf).where("pred IS NOT NULL")
-    bucket = S.wrong_bucket(F.col("pred"), F.col("truth"), [("-1", F.col("n-1")), ("+1", F.col("n1"))], 0.001)
+    bucket = S.wrong_bucket(F.col("pred"), F.col("truth"), [(k, F.col(f"n{k}")) for k in (-1, 1, -2, 2)], 0.001)
     return facts.groupBy("c_nationkey", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -107,14 +109,15 @@ SELECT o_orderpriority, year, count(*) FILTER (WHERE o IN ('matched', 'wrong', '
 FROM a GROUP BY GROUPING SETS ((o_orderpriority), (year), ())""",
     "wrong_buckets": """
 WITH s AS (SELECT c_nationkey, year(o_orderdate) AS y, sum(o_totalprice) AS t FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-f AS (SELECT s.*, p.t AS prev, n.t AS next FROM s LEFT JOIN s p ON p.c_nationkey = s.c_nationkey AND p.y = s.y - 1 LEFT JOIN s n ON n.c_nationkey = s.c_nationkey AND n.y = s.y + 1),
-q AS (SELECT *, CASE c_nationkey % 5 WHEN 0 THEN prev WHEN 1 THEN -t WHEN 2 THEN t / 1000 WHEN 3 THEN t * 1.3 ELSE t * 7 END AS pred FROM f)
-SELECT c_nationkey, CASE WHEN abs(pred - prev) <= 0.001 * abs(prev) THEN 'year_shift_-1' WHEN abs(pred - next) <= 0.001 * abs(next) THEN 'year_shift_+1'
-  WHEN abs(-pred - t) <= 0.001 * abs(t) THEN 'sign'
-  WHEN abs(pred - t * 1e3) <= 0.001 * abs(t * 1e3) OR abs(pred - t * 1e6) <= 0.001 * abs(t * 1e6) OR abs(pred - t * 1e9) <= 0.001 * abs(t * 1e9)
-    OR abs(pred - t * 1e-3) <= 0.001 * abs(t * 1e-3) OR abs(pred - t * 1e-6) <= 0.001 * abs(t * 1e-6) OR abs(pred - t * 1e-9) <= 0.001 * abs(t * 1e-9) THEN 'scale'
-  WHEN pred / t BETWEEN 0.5 AND 2 THEN 'scope' ELSE 'other' END AS bucket, count(*) AS n
-FROM q WHERE pred IS NOT NULL GROUP BY 1, 2""",
+f AS (SELECT s.*, a.t AS m1, b.t AS p1, c.t AS m2, d.t AS p2 FROM s LEFT JOIN s a ON a.c_nationkey = s.c_nationkey AND a.y = s.y - 1 LEFT JOIN s b ON b.c_nationkey = s.c_nationkey AND b.y = s.y + 1
+  LEFT JOIN s c ON c.c_nationkey = s.c_nationkey AND c.y = s.y - 2 LEFT JOIN s d ON d.c_nationkey = s.c_nationkey AND d.y = s.y + 2),
+q AS (SELECT *, CASE c_nationkey % 5 WHEN 0 THEN CASE WHEN y % 2 = 0 THEN m1 ELSE p2 END WHEN 1 THEN -t WHEN 2 THEN t / pow(1000.0, y % 3 + 1) WHEN 3 THEN t * CASE WHEN y % 2 = 0 THEN 1.3 ELSE -1.3 END ELSE t * 7 END AS pred FROM f),
+e AS (SELECT *, lambda_ok.* FROM (SELECT *, unnest([{'f': 1e3, 'n': '+3', 'i': 1}, {'f': 1e6, 'n': '+6', 'i': 2}, {'f': 1e9, 'n': '+9', 'i': 3}, {'f': 1e-3, 'n': '-3', 'i': 4}, {'f': 1e-6, 'n': '-6', 'i': 5}, {'f': 1e-9, 'n': '-9', 'i': 6}]) AS lambda_ok FROM q WHERE pred IS NOT NULL)),
+g AS (SELECT c_nationkey, y, any_value(t) AS t, any_value(pred) AS pred, any_value(m1) AS m1, any_value(p1) AS p1, any_value(m2) AS m2, any_value(p2) AS p2,
+  arg_min(n, i) FILTER (WHERE CASE WHEN abs(t * f) < 0.5 THEN abs(pred) < 0.5 ELSE abs(pred - t * f) / abs(t * f) <= 0.001 END) AS scale FROM e GROUP BY 1, 2)
+SELECT c_nationkey, CASE WHEN abs(pred - m1) / abs(m1) <= 0.001 THEN 'year_shift(-1)' WHEN abs(pred - p1) / abs(p1) <= 0.001 THEN 'year_shift(+1)' WHEN abs(pred - m2) / abs(m2) <= 0.001 THEN 'year_shift(-2)'
+  WHEN abs(pred - p2) / abs(p2) <= 0.001 THEN 'year_shift(+2)' WHEN abs(pred + t) / abs(t) <= 0.001 THEN 'sign_error' WHEN scale IS NOT NULL THEN 'scale_error(x1e' || scale || ')'
+  WHEN abs(pred / t) BETWEEN 0.5 AND 2 THEN 'scope_factor' ELSE 'other' END AS bucket, count(*) AS n FROM g GROUP BY 1, 2""",
     "resume_pending": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
     "greedy_target": """
 WITH g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),

@@ -18,6 +18,14 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "eval_items").select("query_id", "query_text")
 
 
+def _few(values: DataFrame, most: int = 10_000) -> list[str]:
+    """The distinct values of a column that has few; more than ``most`` are an error."""
+    rows = values.distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} values")
+    return sorted(r[0] for r in rows)
+
+
 def _run(spark: SparkSession, sf: str) -> DataFrame:
     scored = R.bm25(_pages(spark, sf), _questions(spark, sf), "docid", "text", "query_id", "query_text")
     return R.top_k(scored.withColumn("score", F.round("score", 6)), ["query_id"], "score", "docid", 10)
@@ -26,7 +34,7 @@ def _run(spark: SparkSession, sf: str) -> DataFrame:
 def _qrels(spark: SparkSession, sf: str) -> DataFrame:
     """Judgements made from the tables: a page that names the question's figure is relevant, with the year highly."""
     q = table(spark, sf, "eval_items").select("query_id", F.replace(F.regexp_extract("query_id", "^[^_]+_(.+)_[0-9]{4}$", 1), F.lit("_"), F.lit(" ")).alias("kpi"), F.regexp_extract("query_id", "([0-9]{4})$", 1).alias("year"))
-    names = [r[0] for r in q.select("kpi").distinct().limit(1000).collect()]  # the items are few and fixed
+    names = _few(q.select("kpi"))
     words = _pages(spark, sf).select("docid", F.lower("text").alias("t"))
     held = words.withColumn("kpi", F.explode(F.array_compact(F.array(*[F.when(F.col("t").contains(n), n) for n in sorted(names)]))))
     return q.join(held, "kpi").select("query_id", "docid", F.when(F.expr("contains(t, year)"), 2).otherwise(1).cast("bigint").alias("relevance"))
@@ -39,7 +47,7 @@ def bm25_top(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_per_exchange(spark: SparkSession, sf: str) -> DataFrame:
     """Rankings within each exchange."""
     pages = _pages(spark, sf).where("exchange IS NOT NULL")
-    scopes = sorted(r[0] for r in pages.select("exchange").distinct().limit(1000).collect())  # a dozen exchanges
+    scopes = _few(pages.select("exchange"))
     questions = _questions(spark, sf).withColumn("exchange", F.explode(F.array(*[F.lit(x) for x in scopes])))
     scored = R.bm25(pages, questions, "docid", "text", "query_id", "query_text", ["exchange"], 1.2, 0.75)
     return R.top_k(scored.withColumn("score", F.round("score", 6)), ["exchange", "query_id"], "score", "docid", 3).select("exchange", "query_id", "docid", F.col("rank").cast("bigint"), "score")
@@ -64,7 +72,17 @@ def cosine_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 def late_interaction(spark: SparkSession, sf: str) -> DataFrame:
     """MaxSim of a stated set of queries against all rows, each vector read as eight tokens of eight."""
     v = table(spark, sf, "embeddings").select("vec_id", R.as_tokens("embedding", F.lit(8)).alias("tokens"))
-    return R.max_sim_top(v, v.where("vec_id % 100 = 0"), "vec_id", "tokens", 5)
+    out = R.max_sim_top(v, v.where("vec_id % 100 = 0"), "vec_id", "tokens", 5)
+    return out.select("query_id", "vec_id", F.col("rank").cast("bigint"), F.round("score", 4).alias("score"))
+
+
+def target_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Target report of every question, its judged pages, and whether the question can be evaluated there."""
+    t = R.target_reports(_qrels(spark, sf), "query_id", "docid", "relevance")
+    reports = table(spark, sf, "report_notes").select(F.col("report_name").alias("report"))
+    ok = R.eligible(t, table(spark, sf, "eval_items").where("query_text <> ''").select("query_id"), reports, "query_id", "report").select("query_id", F.lit(True).alias("ok"))
+    counted = t.groupBy("query_id", "target_report").agg(F.count(F.lit(1)).alias("pages"), F.max("relevance").alias("best"))
+    return counted.join(ok, "query_id", "left").select("query_id", "target_report", "pages", "best", F.coalesce("ok", F.lit(False)).alias("eligible"))
 
 
 def sparse_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +92,7 @@ def sparse_scores(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("item_id", R.sparse_dot(F.col("a"), F.col("b")).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_top, bm25_per_exchange, ir_metrics, ir_macro, cosine_neighbours, late_interaction, sparse_scores)}
+QUERIES = {f.__name__: f for f in (bm25_top, bm25_per_exchange, ir_metrics, ir_macro, cosine_neighbours, late_interaction, sparse_scores, target_reports)}
 _STOP = ", ".join(f"'{w}'" for w in R.STOPWORDS)
 _TERMS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: w NOT IN (" + _STOP + "))"
 
@@ -114,5 +132,13 @@ ORACLES = {
     "cosine_neighbours": """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c
   FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, neighbour_id, n AS rank, round(c, 5) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, neighbour_id) AS n FROM p) WHERE n <= 5""",
+    "late_interaction": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(8), lambda i: list_max(list_transform(range(8), lambda j:
+    list_inner_product(a.embedding[i * 8 + 1 : i * 8 + 8]::DOUBLE[], b.embedding[j * 8 + 1 : j * 8 + 8]::DOUBLE[]))))) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, vec_id, n AS rank, round(s, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS n FROM s) WHERE n <= 5""",
+    "target_reports": """WITH d AS (SELECT docid, min(text) AS text FROM report_pages WHERE text IS NOT NULL GROUP BY 1),
+qr AS (SELECT query_id, docid, CASE WHEN contains(lower(text), regexp_extract(query_id, '([0-9]{4})$', 1)) THEN 2 ELSE 1 END AS relevance FROM eval_items JOIN d ON contains(lower(text), replace(regexp_extract(query_id, '^[^_]+_(.+)_[0-9]{4}$', 1), '_', ' '))),
+s AS (SELECT query_id, split_part(docid, '#', 1) AS target_report, count(*) AS pages, max(relevance) AS best FROM qr WHERE regexp_extract(query_id, '([0-9]{4})$', 1) = regexp_extract(split_part(docid, '#', 1), '([0-9]{4})$', 1) GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, target_report) AS n FROM s)
+SELECT query_id, target_report, pages, CAST(best AS BIGINT) AS best, query_id IN (SELECT query_id FROM eval_items WHERE query_text <> '') AND target_report IN (SELECT report_name FROM report_notes) AS eligible FROM t WHERE n = 1""",
     "sparse_scores": f"""SELECT item_id, len(list_intersect(list_distinct({_TERMS.format('query_text')}), list_distinct({_TERMS.format('passage')})))::DOUBLE AS score FROM eval_items""",
 }

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import shared_folder, table
 from ..streaming import logs
 
 
 def _place(spark: SparkSession) -> str:
     """A new folder where a cluster's executors can all write."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagelode-stream-")
+    root = shared_folder(spark)
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
@@ -38,12 +37,14 @@ def stream_once_each(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_latest_user(spark: SparkSession, sf: str) -> DataFrame:
-    """Latest event of each user, kept by an upsert stream."""
+    """Latest event of each user, kept by an upsert stream of several batches."""
     place = _place(spark)
-    schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
-    logs.upsert(events, ["user_id"], "ts", "event_id", f"{place}/store", f"{place}/state").awaitTermination()
-    return spark.read.parquet(f"{place}/store/v0").select("user_id", "event_id", "event_type", "revisions")
+    events = table(spark, sf, "events")
+    events.repartition(3).write.parquet(f"{place}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    key = (["user_id"], "ts", "event_id")
+    logs.upsert(stream, *key, f"{place}/store", f"{place}/state").awaitTermination()
+    return logs.current_state(spark, f"{place}/store", *key).where("user_id IS NOT NULL").select("user_id", "event_id", "event_type", "revisions")
 
 
 QUERIES = {f.__name__: f for f in (stream_daily_events, stream_once_each, stream_latest_user)}

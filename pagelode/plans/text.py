@@ -31,7 +31,7 @@ def note_units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    reasons = T.page_reasons(F.col("text"), r"(?i)^(financial review|segment information|[0-9]+\. accounting policies)$", ["net debt", "gross profit", "working capital"])
+    reasons = T.page_reasons(F.col("text"), ["financial review", "segment information", "accounting policies"], ["net debt", "gross profit", "working capital"])
     return table(spark, sf, "report_pages").where("text IS NOT NULL").select("docid", F.concat_ws(",", reasons).alias("reasons"))
 
 
@@ -71,9 +71,10 @@ def amount_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbers of every page: how many, and their largest magnitude."""
+    """Numbers of every page: how many, those with a unit of their own, and their largest magnitude."""
     pages = table(spark, sf, "report_pages").where("text IS NOT NULL").select("docid", T.number_tokens(F.col("text")).alias("n"))
-    return pages.select("docid", F.size("n").cast("bigint").alias("numbers"), F.array_max(F.transform("n", lambda x: F.abs(x["value"]))).alias("largest"))
+    with_unit = F.size(F.filter("n", lambda x: x["inline_multiplier"].isNotNull()))
+    return pages.select("docid", F.size("n").cast("bigint").alias("numbers"), with_unit.cast("bigint").alias("with_unit"), F.array_max(F.transform("n", lambda x: F.abs(x["value"]))).alias("largest"))
 
 
 def name_matches(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,14 +106,17 @@ SELECT doc_id, raw_page, row_number() OVER (PARTITION BY doc_id ORDER BY raw_pag
     "report_names": r"""SELECT report_name, regexp_extract(report_name, '^([A-Za-z]+)_(.+)_([0-9]{4})(?:_([0-9a-fA-F]+))?$', 1) AS exchange, regexp_extract(report_name, '^([A-Za-z]+)_(.+)_([0-9]{4})(?:_([0-9a-fA-F]+))?$', 2) AS ticker,
 CAST(regexp_extract(report_name, '^([A-Za-z]+)_(.+)_([0-9]{4})(?:_([0-9a-fA-F]+))?$', 3) AS BIGINT) AS year, nullif(regexp_extract(report_name, '^([A-Za-z]+)_(.+)_([0-9]{4})(?:_([0-9a-fA-F]+))?$', 4), '') AS hash FROM report_notes""",
     "page_hashes": "SELECT docid, sha256(text) AS sha, substr(sha256(text), 1, 12) AS short FROM report_pages WHERE text IS NOT NULL",
-    "note_units": r"""WITH w AS (SELECT report_name, regexp_extract_all(lower(coalesce(units_note, '')), '\b(?:thousands?|millions?|billions?|lakhs?|crores?|''000s?|000s)\b|\b(?:mn|bn|mm)\b') AS h FROM report_notes),
-f AS (SELECT report_name, list_transform(h, lambda x: CASE WHEN regexp_matches(x, '^(thousand|''?000)') THEN 1e3 WHEN regexp_matches(x, '^(million|mn|mm)') THEN 1e6 WHEN regexp_matches(x, '^(billion|bn)') THEN 1e9 WHEN x LIKE 'lakh%' THEN 1e5 ELSE 1e7 END) AS f FROM w)
+    "note_units": r"""WITH h AS (SELECT report_name, coalesce(units_note, '') AS t FROM report_notes),
+w AS (SELECT report_name, list_concat(list_concat(regexp_extract_all(t, '(?i)\([^)]*?\b(?:\$|usd|us\$|u\.s\.\$)?\s*(?:in\s+)?(thousands?|millions?|billions?)\b[^)]*\)', 1), regexp_extract_all(t, '(?i)\bdollars?\s+in\s+(thousands?|millions?|billions?)\b', 1)),
+  list_concat(regexp_extract_all(t, '(?i)\ball\s+dollar\s+amounts?\s+(?:are\s+)?(?:stated|presented|shown)\s+in\s+(thousands?|millions?|billions?)\b', 1), regexp_extract_all(t, '(?i)\bin\s+(thousands?|millions?|billions?)\b', 1))) AS h FROM h),
+f AS (SELECT report_name, list_transform(h, lambda x: CASE lower(x)[1] WHEN 't' THEN 1e3 WHEN 'm' THEN 1e6 ELSE 1e9 END) AS f FROM w)
 SELECT report_name, CASE WHEN len(f) > 0 THEN 'document' ELSE 'default' END AS unit_source, CAST(CASE WHEN len(f) > 0 THEN list_min(f) ELSE 1 END AS DOUBLE) AS multiplier, len(f) > 0 AND len(list_distinct(f)) > 1 AS unit_conflict FROM f""",
-    "page_reasons": r"""WITH l AS (SELECT docid, lower(text) AS t, string_split(text, chr(10)) AS l FROM report_pages WHERE text IS NOT NULL)
-SELECT docid, concat_ws(',', CASE WHEN len(list_filter(l, lambda x: len(regexp_extract_all(x, '\|')) >= 2)) >= 2 THEN 'markdown_table' END, CASE WHEN contains(t, '<table') THEN 'html_table' END,
-  CASE WHEN len(list_filter(l, lambda x: len(regexp_extract_all(x, '[0-9][0-9,.]*')) >= 2)) >= 3 THEN 'dense_rows' END,
-  CASE WHEN len(list_filter(l, lambda x: regexp_matches(x, '(?i)^(financial review|segment information|[0-9]+\. accounting policies)$'))) > 0 THEN 'heading' END,
-  CASE WHEN contains(t, 'net debt')::INT + contains(t, 'gross profit')::INT + contains(t, 'working capital')::INT >= 2 THEN 'aliases' END) AS reasons FROM l""",
+    "page_reasons": r"""WITH l AS (SELECT docid, lower(text) AS t, list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS l FROM report_pages WHERE text IS NOT NULL)
+SELECT docid, concat_ws(',', CASE WHEN len(list_filter(l, lambda x: len(regexp_extract_all(x, '\|')) >= 2)) >= 2 OR len(list_filter(l, lambda x: regexp_matches(x, '^\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?$'))) > 0 THEN 'markdown-table' END,
+  CASE WHEN contains(t, '<table') OR contains(t, '</td>') OR contains(t, '</tr>') THEN 'html-table' END,
+  CASE WHEN len(list_filter(l, lambda x: len(regexp_extract_all(x, '[0-9][0-9,.]*')) >= 3)) >= 3 THEN 'dense-numeric-rows' END,
+  CASE WHEN contains(t, 'financial review') OR contains(t, 'segment information') OR contains(t, 'accounting policies') THEN 'financial-heading' END,
+  CASE WHEN contains(t, 'net debt')::INT + contains(t, 'gross profit')::INT + contains(t, 'working capital')::INT >= 2 THEN 'kpi-aliases' END) AS reasons FROM l""",
     "marker_classifier": rf"""WITH p AS (SELECT doc_id, list_slice({_SPLIT}, 1, 4) AS p FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, concat_ws(',', CASE WHEN len(list_filter(p, lambda x: regexp_matches(x, '(?i)covenant'))) > 0 THEN 'covenant' END, CASE WHEN len(list_filter(p, lambda x: regexp_matches(x, '(?i)indenture'))) > 0 THEN 'indenture' END,
   CASE WHEN len(list_filter(p, lambda x: regexp_matches(x, '(?i)dividend'))) > 0 THEN 'dividend' END) AS markers,

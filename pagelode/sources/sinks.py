@@ -23,9 +23,10 @@ def write_hits(run: DataFrame, path: str) -> None:
     nested_hits(run).write.mode("overwrite").json(path)
 
 
-def write_qrels(rows: DataFrame, path: str) -> None:
-    """Distinct judgements, the highest grade of each pair, sorted, tab-separated."""
-    best = rows.groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance"))
+def write_qrels(rows: DataFrame, path: str, order: str | None = None) -> None:
+    """Distinct judgements, sorted, tab-separated: the first of each pair by ``order``, or the highest grade without one."""
+    pick = F.min_by("relevance", F.struct(order, "relevance")) if order else F.max("relevance")
+    best = rows.groupBy("query_id", "doc_id").agg(pick.alias("relevance"))
     best.orderBy("query_id", "doc_id").select(F.format_string("%s\t0\t%s\t%d", "query_id", "doc_id", F.col("relevance").cast("int"))).write.mode("overwrite").text(path)
 
 

@@ -18,25 +18,31 @@ def log_stream(spark: SparkSession, path: str, schema: StructType | str, kind: s
 
 
 def upsert(stream: DataFrame, key: Sequence[str], time: str, sequence: str, store: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest record per key in ``store``: each batch is merged with the version before it.
+    """Keep the latest record per key, and its number of revisions, in ``store``.
 
-    Versions are written to folders by batch number, and a replayed batch is
-    merged with the version before it again, so a lost run changes nothing.
+    Each batch is combined by key and written to a folder of its own number;
+    what came before is neither read nor rewritten.  A replayed batch
+    overwrites its folder, so a lost run changes nothing.  ``current_state``
+    reads the store; ``compact`` makes one folder of many.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = None
-        for n in range(number - 1, -1, -1):
-            try:
-                old = spark.read.parquet(f"{store}/v{n}")
-                break
-            except Exception:  # noqa: BLE001 - no such version
-                continue
-        rows = batch if old is None else old.drop("revisions").unionByName(batch)
-        current_records(rows, key, time, sequence).write.mode("overwrite").parquet(f"{store}/v{number}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def keep(batch: DataFrame, number: int) -> None:
+        current_records(batch, key, time, sequence).write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_state(spark: SparkSession, store: str, key: Sequence[str], time: str, sequence: str) -> DataFrame:
+    """Latest record per key over all batches, with its revisions counted through them; an unreadable batch is an error."""
+    rows = spark.read.parquet(store).drop("batch")
+    rest = [c for c in rows.columns if c not in (*key, time, sequence, "revisions")]
+    last = rows.groupBy(*key).agg(F.max(F.struct(time, sequence, *rest)).alias("__r"), F.sum("revisions").alias("revisions"))
+    return last.select(*key, "__r.*", "revisions")
+
+
+def compact(spark: SparkSession, store: str, key: Sequence[str], time: str, sequence: str, into: str) -> None:
+    """Write the state as the only batch of a new store."""
+    current_state(spark, store, key, time, sequence).write.mode("overwrite").parquet(f"{into}/batch=0")
 
 
 def once_each(stream: DataFrame, key: Sequence[str], time: str, lateness: str) -> DataFrame:

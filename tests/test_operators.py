@@ -42,11 +42,37 @@ def test_pages(spark):
 
 
 def test_number_tokens(spark):
-    line = "Revenue $ (1,234.5) million in 2020, 12% and -7k; <td>3,400</td>"
-    got = [(raw, value) for _, _, raw, value in T.number_tokens_of(line)]
-    assert got == [("(1,234.5)", -1234.5), ("-7k", -7000.0), ("3,400", 3400.0)]
-    df = spark.createDataFrame([(line,), (None,)], "t string").select(T.number_tokens("t").alias("n"))
-    assert sorted(len(r.n) for r in df.collect()) == [0, 3]
+    """Values as written, with their own unit beside them; bare years, percentages, ranges and parts of words don't count."""
+    cases = {
+        "Revenue $ (1,234.5) million in 2020, 12% and -7k; <td>3,400</td>": [("(1,234.5)", -1234.5, None), ("-7k", -7.0, 1e3), ("3,400", 3400.0, None)],
+        "$1.5 million and 5 billion": [("$1.5 million", 1.5, 1e6), ("5 billion", 5.0, 1e9)],
+        "(2019) 2100 $2020 1899 2101 2,020": [("1899", 1899.0, None), ("2101", 2101.0, None), ("2,020", 2020.0, None)],
+        "10-12 a3 3b/4 7.": [],
+        "(5) (6mm) - $8 12 %": [("(5)", -5.0, None), ("(6mm)", -6.0, 1e6), ("- $8", -8.0, None)],
+        "1,234,567.89 units": [("1,234,567.89", 1234567.89, None)],
+        "": [],
+    }
+    for line, want in cases.items():
+        got = [tuple(x) for x in one(spark, T.number_tokens(F.col("t")), t=line)]
+        assert got == want, (line, got)
+    assert one(spark, T.number_tokens(F.lit(None).cast("string")), t="") is None
+
+
+def test_unit_hints(spark):
+    cases = {"($ in millions)": [1e6, 1e6], "sales of 3 million cars": [], "dollars in thousands": [1e3, 1e3], "(in billions, except per share data)": [1e9, 1e9], "All dollar amounts are stated in millions": [1e6, 1e6], "": []}
+    for t, want in cases.items():
+        assert one(spark, T.unit_hints(F.col("t")), t=t) == want, t
+
+
+def test_page_candidates(spark):
+    pages = spark.createDataFrame([("R", 0, "Balance (in thousands)\nTotal assets 5,000 | 4,000\nOther 5,000"), ("R", 1, "Cash 5.0 million"), ("S", 0, "Cash 5,000"), ("R", 2, None)], "report string, page int, text string")
+    targets = spark.createDataFrame([("R", "total_assets", 5e6, 0), ("R", "cash", 5e6, 1), ("S", "cash", 5e6, 0)], "report string, kpi string, target double, offset_years int")
+    got = {(r.report, r.page, r.kpi): (r.match_type, r.alias, r.raw, r.unit_source) for r in match.page_candidates(pages, targets, {"total_assets": ["total assets"], "cash": ["cash"]}).collect()}
+    assert got == {
+        ("R", 0, "total_assets"): ("alias+value", "total assets", "5,000", "line"),
+        ("R", 1, "total_assets"): ("value-only", None, "5.0 million", "inline"),
+        ("R", 1, "cash"): ("alias+value", "cash", "5.0 million", "inline"),
+    }
 
 
 def test_text_functions(spark):
@@ -107,9 +133,26 @@ def test_rolling_needs_all_rows(spark):
 
 
 def test_sessions(spark):
-    utc = {"2020-01-06 14:29:00": "pre_market", "2020-01-06 14:30:00": "intraday", "2020-01-06 21:00:00": "intraday", "2020-01-06 21:01:00": "after_hours", "2020-01-04 15:00:00": "non_trading", "2020-03-09 13:30:00": "intraday"}
-    for t, want in utc.items():
-        assert one(spark, series.session_of(F.to_timestamp("t")), t=t) == want, t
+    """Sessions on the exchange's clock; holidays are the days that the calendar lacks."""
+    days = ["2020-01-02", "2020-01-03", "2020-01-06", "2020-01-07", "2020-01-08", "2020-01-09", "2020-01-10", "2020-03-06", "2020-03-09"]
+    calendar = spark.createDataFrame([("A", d) for d in days], "k string, day string")
+    utc = {
+        "2020-01-06 14:29:00": ("pre_market", "2020-01-03", "2020-01-06", "2020-01-10"), "2020-01-06 14:30:00": ("intraday", "2020-01-03", "2020-01-06", "2020-01-10"), "2020-01-06 21:00:00": ("intraday", "2020-01-03", "2020-01-06", "2020-01-10"),
+        "2020-01-06 21:01:00": ("after_hours", "2020-01-06", "2020-01-07", "2020-03-06"), "2020-01-04 15:00:00": ("non_trading_day", "2020-01-03", "2020-01-06", "2020-01-10"), "2020-03-09 13:30:00": ("intraday", "2020-03-06", "2020-03-09", None),
+        "2020-01-02 15:00:00": (None, None, None, None), "2020-03-09 20:30:00": (None, None, None, None),
+    }
+    filings = spark.createDataFrame([("A", i, t) for i, t in enumerate(utc)] + [("A", 99, None), ("B", 98, "2020-01-06 15:00:00")], "k string, i int, t string").withColumn("t", F.to_timestamp("t"))
+    got = {r.i: tuple(None if x is None else str(x) for x in (r.filing_window_class, r.t0, r.t1, r.t5)) for r in series.filing_windows(filings, calendar, ["k"], "i", "t", "day").collect()}
+    assert got == dict(enumerate(utc.values())) | {98: (None,) * 4}
+
+
+def test_verdicts(spark):
+    rows = [("matched", "matched", 0.2, 0.1), ("matched", "matched", 0.1, None), ("ambiguous", "matched", None, None), ("ambiguous", "x", None, 0.1), ("x", "y", None, 0.1), ("x", "y", 0.1, 0.1)]
+    v = match.verdict(F.col("f"), F.col("r"), F.col("fe"), F.col("re"), F.col("f"), F.col("r"))
+    got = [tuple(r.v) for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, f string, r string, fe double, re double").orderBy("i").select(v.alias("v")).collect()]
+    assert got == [
+        ("matched", "both-matched", "reverse"), ("matched", "both-matched", "forward"), ("matched", "reverse-only-match", "reverse"), ("ambiguous", "forward-ambiguous", "forward"), ("unmatched", "forward:x|reverse:y", "reverse"), ("unmatched", "forward:x|reverse:y", "forward"),
+    ]
 
 
 def test_kappas(spark):

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from pagelode.sources import readers as R
@@ -97,7 +99,13 @@ def test_log_stream(spark, tmp_path):
         write(tmp_path / "log" / f"{i}.json", "\n".join(json.dumps(dict(zip(("k", "t", "n", "v"), r))) for r in rows))
     stream = logs.log_stream(spark, str(tmp_path / "log"), "k string, t int, n int, v string")
     logs.upsert(stream, ["k"], "t", "n", str(tmp_path / "store"), str(tmp_path / "state")).awaitTermination()
-    assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "store" / "v0")).collect()} == {"a": "y", "b": "z"}
+    state = lambda: {r.k: (r.v, r.revisions) for r in logs.current_state(spark, str(tmp_path / "store"), ["k"], "t", "n").collect()}
+    assert state() == {"a": ("y", 2), "b": ("z", 1)}
     write(tmp_path / "log" / "2.json", json.dumps({"k": "b", "t": 9, "n": 4, "v": "w"}))
     logs.upsert(stream, ["k"], "t", "n", str(tmp_path / "store"), str(tmp_path / "state")).awaitTermination()
-    assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "store" / "v1")).collect()} == {"a": "y", "b": "w"}
+    assert state() == {"a": ("y", 2), "b": ("w", 2)} and (tmp_path / "store" / "batch=1").exists()
+    logs.compact(spark, str(tmp_path / "store"), ["k"], "t", "n", str(tmp_path / "one"))
+    assert logs.current_state(spark, str(tmp_path / "one"), ["k"], "t", "n").count() == 2
+    next((tmp_path / "store" / "batch=0").glob("*.parquet")).write_bytes(b"broken")
+    with pytest.raises(Exception):
+        state()
