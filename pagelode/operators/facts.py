@@ -111,3 +111,95 @@ def pivot_first(facts: DataFrame, keys: Sequence[str], attribute: str, value: st
     """Long to wide: per attribute of a fixed list the first value in a total order."""
     first = lambda a: F.min(F.when(F.col(attribute) == a, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(value).alias("v"))))["v"]
     return facts.groupBy(*keys).agg(*[first(a).alias(a) for a in values])
+
+
+def usable(rows: DataFrame, columns: Sequence[str], missing: Sequence[str] = ("N/A", "Error", "")) -> DataFrame:
+    """Rows none of whose cells is missing or one of the spellings of a missing value, blanks aside."""
+    return rows.where(~F.exists(F.array(*[F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) for c in columns]), lambda x: x.isin(*missing)))
+
+
+def allowed(rows: DataFrame, allow: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose keys an allow-list has, and the dropped ones counted by key."""
+    kept = rows.join(allow.select(*keys).distinct(), list(keys), "left_semi")
+    dropped = rows.join(allow.select(*keys).distinct(), list(keys), "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("dropped"))
+    return kept, dropped
+
+
+def route(exchange: Column, filed: Sequence[str] = ("NYSE", "NASDAQ", "AMEX")) -> Column:
+    """Where an exchange's figures come from: ``filings`` where filing is electronic, else ``api``."""
+    return F.when(F.upper(exchange).isin(*filed), "filings").otherwise("api")
+
+
+def signed_sums(facts: DataFrame, keys: Sequence[str], tag: str, value: str, sets: Sequence[Sequence[tuple[int, str]]], filled: DataFrame | None = None) -> DataFrame:
+    """The sum of the first of several component sets that is there whole, with its place in the list."""
+    every = None
+    for place, parts in enumerate(sets):
+        one = signed_sum(facts, keys, tag, value, parts).withColumn("component_set", F.lit(place))
+        every = one if every is None else every.unionByName(one)
+    first = every.groupBy(*keys).agg(F.min(F.struct("component_set", value)).alias("b")).select(*keys, F.col(f"b.{value}").alias(value), "b.component_set")
+    return first if filled is None else first.join(filled.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def parse_years(text: str) -> list[int]:
+    """Years of a list such as ``2012-2014,2018``, sorted."""
+    years: set[int] = set()
+    for part in filter(None, (p.strip() for p in text.split(","))):
+        first, _, last = part.partition("-")
+        years.update(range(int(first), int(last or first) + 1))
+    return sorted(years)
+
+
+def answerable(questions: DataFrame, truth: DataFrame, reports: DataFrame, cell: Sequence[str], report: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Questions with a truth and a report, and how many there were at each step."""
+    t = truth.select(*cell).distinct().withColumn("__t", F.lit(True))
+    r = reports.select(*report).distinct().withColumn("__r", F.lit(True))
+    flagged = questions.join(t, list(cell), "left").join(r, list(report), "left").withColumns({"__t": F.coalesce("__t", F.lit(False)), "__r": F.coalesce("__r", F.lit(False))})
+    steps = flagged.agg(F.count(F.lit(1)).alias("questions"), F.count_if(~F.col("__t")).alias("without_truth"), F.count_if(F.col("__t") & ~F.col("__r")).alias("without_report"), F.count_if(F.col("__t") & F.col("__r")).alias("kept"))
+    return flagged.where("__t AND __r").drop("__t", "__r"), steps
+
+
+def with_texts(facts: DataFrame, texts: DataFrame, report: str) -> DataFrame:
+    """Facts of each report as an array of structs beside its text; reports without text keep a null one."""
+    rest = [c for c in facts.columns if c != report]
+    nested = facts.groupBy(report).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("facts"))
+    return nested.join(texts, report, "left")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, columns: Sequence[str], suffix: str = ".L") -> DataFrame:
+    """Columns of a table by key, else by key with a suffix; the table has one row per key."""
+    direct = table.select(key, *[F.col(c).alias(f"__a_{c}") for c in columns], F.lit(True).alias("__a"))
+    second = table.where(F.endswith(key, F.lit(suffix))).select(F.expr(f"substring({key}, 1, length({key}) - {len(suffix)})").alias(key), *[F.col(c).alias(f"__b_{c}") for c in columns])
+    both = rows.join(direct, key, "left").join(second, key, "left")
+    out = both.withColumns({c: F.when(F.col("__a"), F.col(f"__a_{c}")).otherwise(F.col(f"__b_{c}")) for c in columns})
+    return out.drop("__a", *[f"__{s}_{c}" for s in "ab" for c in columns])
+
+
+def nested_groups(rows: DataFrame, outer: str, inner: str, member: str) -> DataFrame:
+    """Per outer group its inner groups as an array of structs (inner, members sorted), and how many have at least 2, 5 and 10 members."""
+    one = rows.groupBy(outer, inner).agg(F.sort_array(F.collect_set(member)).alias("members"))
+    size = F.size("members")
+    return one.groupBy(outer).agg(F.sort_array(F.collect_list(F.struct(inner, "members"))).alias("groups"), *[F.count_if(size >= n).alias(f"at_least_{n}") for n in (2, 5, 10)])
+
+
+def trimmed(rows: DataFrame, group: str, value: str, key: str, take: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """The ``take[group]`` smallest rows of each group named, and the rows without them; ties go to the smaller key."""
+    n = F.row_number().over(Window.partitionBy(group).orderBy(value, key))
+    quota = F.coalesce(*[F.when(F.col(group) == g, F.lit(k)) for g, k in take.items()], F.lit(0))
+    outliers = rows.where(F.col(group).isin(*take) & F.col(value).isNotNull()).withColumn("__n", n).where(F.col("__n") <= quota).drop("__n")
+    return outliers, rows.join(outliers.select(key).distinct(), key, "left_anti")
+
+
+def top_rows(rows: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
+    """The first k rows in a total order."""
+    return rows.orderBy(*order).limit(k)
+
+
+def within_budget(rows: DataFrame, deficit: str, calls: str, key: str, budget: int) -> DataFrame:
+    """The most deficient rows first, as long as their calls together stay within a budget.
+
+    Each row takes at least one call, so the first ``budget`` rows are enough.
+    """
+    order = [F.col(deficit).desc(), F.col(key)]
+    head = rows.where((F.col(deficit) > 0) & (F.col(calls) > 0)).orderBy(*order).limit(budget)
+    run = F.sum(calls).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return head.withColumn("__run", run).where(F.col("__run") <= budget).drop("__run")

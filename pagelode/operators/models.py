@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, MinMaxScaler, Normalizer, StandardScaler
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
+from .stats import spread_rank
 
 
 def as_vectors(df: DataFrame, vector: str, name: str = "features") -> DataFrame:
@@ -54,13 +55,17 @@ def auc(scored: DataFrame, by: str, score: str, label: str) -> DataFrame:
     return out.select(by, "n", area.alias("roc_auc"), F.try_divide("ap", "np").alias("pr_auc"))
 
 
-def cross_validated(df: DataFrame, key: str, vector: str, label: str, folds: int = 5, reg: float = 0.01, seed: int = 42) -> DataFrame:
-    """Accuracy, ROC and PR areas of a logistic probe on each held-out fold; folds are stratified by label."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)))
-    data = durable(as_vectors(df.where(F.col(label).isNotNull()), vector).withColumn("fold", F.row_number().over(order) % folds).select(key, "features", F.col(label).alias("y"), "fold"))
+def cross_validated(df: DataFrame, key: str, vector: str, label: str, folds: int = 5, reg: float = 0.01, seed: int = 42, method: str = "l2") -> DataFrame:
+    """Accuracy, ROC and PR areas of a classifier on each held-out fold; folds are stratified by label.
+
+    ``method`` is l2 or l1 (logistic regression), gaussian or multinomial
+    (naive Bayes; multinomial needs features of at least 0).
+    """
+    ranked = spread_rank(df.where(F.col(label).isNotNull()), [label], F.xxhash64(F.lit(seed), F.col(key)), key, "fold")
+    data = durable(as_vectors(ranked.withColumn("fold", (F.col("fold") % folds).cast("int")), vector).select(key, "features", F.col(label).alias("y"), "fold"))
     parts = None
     for i in range(folds):
-        model = LogisticRegression(featuresCol="features", labelCol="y", regParam=reg, maxIter=50).fit(data.where(F.col("fold") != i))
+        model = _classifier(method, reg).fit(data.where(F.col("fold") != i))
         part = model.transform(data.where(F.col("fold") == i)).select("fold", "y", "prediction", vector_to_array("probability")[1].alias("score"))
         parts = part if parts is None else parts.unionByName(part)
     parts = durable(parts)
@@ -83,3 +88,12 @@ def tf_idf(df: DataFrame, key: str, text: str, top: int) -> DataFrame:
     frequency = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = tf.join(frequency, "term").withColumn("weight", (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.col("weight").desc(), "term"))).where(F.col("rank") <= top)
+
+
+def _classifier(method: str, reg: float):
+    columns = {"featuresCol": "features", "labelCol": "y"}
+    if method in ("l1", "l2"):
+        return LogisticRegression(**columns, regParam=reg, elasticNetParam=float(method == "l1"), maxIter=50)
+    if method in ("gaussian", "multinomial"):
+        return NaiveBayes(**columns, modelType=method)
+    raise ValueError(f"unknown method {method}")

@@ -94,21 +94,29 @@ def cell_metrics(scored: DataFrame, by: Sequence[str], status: str = "status", e
     )
 
 
-def answer_metrics(scored: DataFrame, slices: Sequence[Sequence[str]], outcome: str = "outcome") -> DataFrame:
+def answer_metrics(scored: DataFrame, slices: Sequence[Sequence[str]], outcome: str = "outcome", strict: str | None = None, error: str | None = None) -> DataFrame:
     """Accuracy, attempt rate and precision when found over several slices in one pass.
 
     ``slices`` are grouping sets; the empty one is the overall row.  Answers
-    skipped or without response are no part of the denominators.
+    skipped or without response are no part of the denominators.  ``strict``
+    is a flag of answers within the strict tolerance; ``error`` the relative
+    error, whose exact median is taken over the answers given.
     """
     columns = list(dict.fromkeys(c for s in slices for c in s))
     is_ = lambda *x: F.count_if(F.col(outcome).isin(*x))
     judged = is_("matched", "wrong", "not_found")
+    more = []
+    if strict is not None:
+        more.append(F.try_divide(F.count_if(F.coalesce(F.col(strict), F.lit(False))), judged).alias("accuracy_strict"))
+    if error is not None:
+        more.append(F.median(F.when(F.col(outcome).isin("matched", "wrong"), F.abs(error))).alias("median_error"))
     return scored.groupingSets([[F.col(c) for c in s] for s in slices], *columns).agg(
         judged.alias("judged"),
         is_("matched").alias("matched"),
         F.try_divide(is_("matched"), judged).alias("accuracy"),
         F.try_divide(is_("matched", "wrong"), judged).alias("attempt_rate"),
         F.try_divide(is_("matched"), is_("matched", "wrong")).alias("precision_when_found"),
+        *more,
     )
 
 

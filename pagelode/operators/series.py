@@ -205,3 +205,9 @@ def missing_days(rows: DataFrame, events: DataFrame, key: Sequence[str], days: S
 def inside(ordinal: Column, rows: Column, edge: int) -> Column:
     """Whether an anchor has ``edge`` days of its series on both sides."""
     return (ordinal >= edge) & (ordinal < rows - edge)
+
+
+def shifted_anchor(events: DataFrame, lengths: DataFrame, by: Sequence[str], anchor: str, shift: int, horizon: int) -> DataFrame:
+    """Events with their anchor moved by some trading days, kept only where the series goes on for the horizon; ``lengths`` has ``rows`` per series."""
+    moved = events.join(lengths, list(by)).withColumn(anchor, F.col(anchor) + shift)
+    return moved.where((F.col(anchor) >= 0) & (F.col(anchor) + horizon < F.col("rows"))).drop("rows")

@@ -147,3 +147,53 @@ def balanced_slots(items: DataFrame, key: str, slots: int, overlap_share: float
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same rows, repeats counted."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def off_by(pairs: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """Of two grades per row: how often equal, one apart, two or more apart, and which is higher."""
+    d = F.col(a) - F.col(b)
+    return pairs.where(d.isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(d == 0).alias("exact"), F.count_if(F.abs(d) == 1).alias("off_by_1"), F.count_if(F.abs(d) >= 2).alias("off_by_2"), F.count_if(d > 0).alias("a_higher"), F.count_if(d < 0).alias("b_higher"))
+
+
+def best_per_cell(rows: DataFrame, cell: Sequence[str], method: str, metric: str, baseline: str) -> DataFrame:
+    """The best metric of a grid cell, its method (ties: the smaller name), the best baseline and the gain; NaN counts as missing."""
+    clean = lambda c: F.when(~F.isnan(c), F.col(c))
+    best = F.min(F.when(clean(metric).isNotNull(), F.struct((-clean(metric)).alias("m"), F.col(method).alias("w"))))
+    out = rows.groupBy(*cell).agg(best.alias("b"), F.max(clean(baseline)).alias("baseline"))
+    return out.select(*cell, (-F.col("b.m")).alias("best"), F.col("b.w").alias("method"), "baseline", (-F.col("b.m") - F.col("baseline")).alias("gain"))
+
+
+def means_by_class(rows: DataFrame, label: str, day: str, values: Sequence[str], last: int = 5) -> DataFrame:
+    """Means per class over all days, and over days 0 to ``last``, both ends included."""
+    near = F.col(day).between(0, last)
+    return rows.groupBy(label).agg(*[F.avg(v).alias(f"mean_{v}") for v in values], *[F.avg(F.when(near, F.col(v))).alias(f"window_{v}") for v in values], F.count(F.lit(1)).alias("n"))
+
+
+def labelled_ratio(rows: DataFrame, entity: str, labelled: str, value: str) -> DataFrame:
+    """Mean of the entities' means with and without label, and their ratio: one row."""
+    own = rows.groupBy(entity, labelled).agg(F.avg(value).alias("__m"))
+    part = lambda flag: F.avg(F.when(F.col(labelled) == flag, F.col("__m")))
+    return own.agg(part(True).alias("labelled"), part(False).alias("unlabelled")).withColumn("ratio", F.try_divide("labelled", "unlabelled"))
+
+
+def threshold_labels(rows: DataFrame, value: str, threshold: float, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Rows labelled -1, 0, 1 by a threshold either way, and one row of counts with the reason to skip the cell, if a class has too few."""
+    label = F.when(F.col(value) > threshold, 1).when(F.col(value) < -threshold, -1).otherwise(0)
+    labelled = rows.where(F.col(value).isNotNull()).withColumn("label", label)
+    counts = labelled.agg(*[F.count_if(F.col("label") == k).alias(n) for k, n in ((-1, "negative"), (0, "neutral"), (1, "positive"))])
+    few = F.least("negative", "neutral", "positive") < least
+    return labelled, counts.withColumn("skip_reason", F.when(few, F.lit(f"a class has fewer than {least} rows")))
+
+
+def spread_rank(rows: DataFrame, by: Sequence[str], order: Column, key: str, name: str) -> DataFrame:
+    """Rank from 0 within a group by a hash order, with no group in one task.
+
+    The upper ten bits of the hash cut each group into 1024 parts; ranks count
+    within the parts, and the parts' sizes are summed up before them.
+    """
+    cut = rows.withColumns({"__h": order, "__b": F.shiftright(order, 54)})
+    sizes = cut.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__h", key)) - 1
+    return cut.withColumn("__i", inner).join(sizes, [*by, "__b"]).withColumn(name, F.col("__before") + F.col("__i")).drop("__h", "__b", "__i", "__before")

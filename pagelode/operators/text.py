@@ -224,7 +224,7 @@ def fill_template(template: Column, name: Column, year: Column, safe: bool = Tru
 
 
 def short_amount(value: Column) -> Column:
-    """$1.2B, $3.4M, $5.6K or $7.00."""
+    """$1.2B, $3.4M, $5.6K or $7.00, halves rounded up."""
     a = F.abs(value)
     body = F.when(a >= 1e9, F.format_string("%.1fB", a / 1e9)).when(a >= 1e6, F.format_string("%.1fM", a / 1e6)).when(a >= 1e3, F.format_string("%.1fK", a / 1e3)).otherwise(F.format_string("%.2f", a))
     return F.concat(F.when(value < 0, "-$").otherwise("$"), body)
@@ -254,7 +254,7 @@ def name_similarity_of(a: str, b: str) -> float:
     wa, wb = ([w for w in re.findall(r"[a-z0-9]+", x.lower()) if w not in _FORMS] for x in (a, b))
     if not wa or not wb:
         return 0.0
-    if set(wa) <= set(wb) or set(wb) <= set(wa):
+    if " ".join(wa) in " ".join(wb) or " ".join(wb) in " ".join(wa):
         return 1.0
     ratio = lambda x, y: difflib.SequenceMatcher(None, " ".join(x), " ".join(y)).ratio()
     return max(ratio(wa, wb), ratio(sorted(wa), sorted(wb)))
@@ -341,3 +341,118 @@ def recorded_answers(batches: Iterator[pd.DataFrame], ask) -> Iterator[pd.DataFr
             except Exception as error:  # noqa: BLE001
                 rows.append((key, f"error: {error}", None))
         yield pd.DataFrame(rows, columns=["key", "status", "answer"])
+
+
+def question_parts_by(qid: Column, variant: str = "first", tickers: Column | None = None) -> Column:
+    """Ticker, kpi and year of a question id: split at the first underscore, before the last two parts (``last``), or after one of the report's tickers (``report``)."""
+    if variant == "first":
+        return question_parts(qid)
+    if variant == "last":
+        pattern = r"^(.+)_([^_]+)_([0-9]{4})$"
+        return F.when(qid.rlike(pattern), F.struct(F.regexp_extract(qid, pattern, 1).alias("ticker"), F.regexp_extract(qid, pattern, 2).alias("kpi"), F.regexp_extract(qid, pattern, 3).cast("int").alias("year")))
+    if variant == "report" and tickers is not None:
+        known = F.element_at(F.filter(F.reverse(F.array_sort(tickers)), lambda t: F.startswith(qid, F.concat(t, F.lit("_")))), 1)
+        rest = F.substring(qid, F.length(known) + 2, F.length(qid))
+        return F.when(known.isNotNull() & rest.rlike(r"^.+_[0-9]{4}$"), F.struct(known.alias("ticker"), F.regexp_extract(rest, r"^(.+)_([0-9]{4})$", 1).alias("kpi"), F.regexp_extract(rest, r"_([0-9]{4})$", 1).cast("int").alias("year")))
+    raise ValueError(f"unknown variant {variant}")
+
+
+#: Endings of a company name, stripped one after another in this order.
+NAME_ENDINGS = (".", "Inc", "PLC", "plc", "Group", "Corporation", "Corp", "Co", "Company", "S.A", "L.P", "Ltd", "Limited", "Group", ", ")
+
+
+def short_name(name: Column) -> Column:
+    """A company name without its legal ending."""
+    endings = F.array(*[F.lit(e) for e in NAME_ENDINGS])
+    return F.trim(F.aggregate(endings, F.trim(name), lambda out, e: F.when(F.endswith(out, e), F.substring(out, F.lit(1), F.length(out) - F.length(e))).otherwise(out)))
+
+
+def name_verdict(similarity: Column, threshold: float = 0.6) -> Column:
+    """verified, unverified, or unknown where a name is missing."""
+    return F.when(similarity.isNull(), "unknown").when(similarity >= threshold, "verified").otherwise("unverified")
+
+
+def page_prompt(text: Column, most: int | None = None, mark: str = PAGE_MARK) -> Column:
+    """Pages that aren't blank under ``[Page n]``, counted from 1; with ``most`` whole pages are left out at the end until the text fits, but never the first."""
+    pages = F.filter(F.transform(F.split(text, mark), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    chunks = F.transform(pages, lambda p, i: F.concat(F.lit("[Page "), (i + 1).cast("string"), F.lit("]\n"), p))
+    if most is not None:
+        sizes = F.transform(chunks, lambda c, i: F.length(c) + F.when(i > 0, 2).otherwise(0))
+        ends = F.transform(sizes, lambda s, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, x: a + x))
+        fit = F.greatest(F.size(F.filter(ends, lambda e: e <= most)), F.lit(1))
+        chunks = F.slice(chunks, 1, fit)
+    return F.array_join(chunks, "\n\n")
+
+
+def cut_letter(text: Column, end: Column, following: Column | None = None) -> Column:
+    """A text up to an offset (that of what follows, where given and known), without page marks, rules and blank lines at its end; null without offset."""
+    at = end if following is None else F.coalesce(following, end)
+    kept = F.substring(text, F.lit(1), at.cast("int"))
+    return F.when(at.isNotNull(), F.concat(F.regexp_replace(kept, r"(?i)(\s|<---\s*page split\s*--->|-{3,}|\*{3,}|_{3,})+\z", ""), F.lit("\n")))
+
+
+#: What marks an amount of money behind an escaped bracket, and what marks a formula.
+_MONEY = r"\s*[-(]?\s*[0-9][0-9,.]*|\s*(?:thousand|million|billion)s?\b|\s*(?:in|per)\s+(?:thousands?|millions?|billions?|share)\b"
+_FORMULA = r"\s*(?:[_^{]|\\[a-zA-Z]+|[<>=])"
+
+
+def dollar_repair(text: Column, strategy: str = "money") -> Column:
+    """Escaped brackets that stand for a dollar sign, repaired by a strategy.
+
+    ``money``: before an amount, or alone in a table cell; ``overlap``: before
+    an amount where the bracket also pairs with the next one without braces
+    between, or alone in a cell; ``td_prefix``: at the start of a table cell,
+    unless a formula follows.
+    """
+    cell = r"(?<=<td>)\\[()](?=</td>)"
+    if strategy == "money":
+        return F.regexp_replace(text, cell + r"|\\[()](?!" + _FORMULA + ")(?=" + _MONEY + ")", r"\$")
+    if strategy == "overlap":
+        out = F.regexp_replace(text, cell, r"\$")
+        out = F.regexp_replace(out, r"\\\((?!" + _FORMULA + ")(?=" + _MONEY + r")((?:(?!\\[()])[^{}])*)\\\)(?!" + _FORMULA + ")(?=" + _MONEY + ")", r"\$$1\$")
+        return F.regexp_replace(out, r"\\\((?!" + _FORMULA + ")(?=" + _MONEY + r")((?:(?!\\[()])[^{}])*)(\\\))", r"\$$1$2")
+    if strategy == "td_prefix":
+        return F.regexp_replace(text, r"(?<=<td>)\\[()](?!" + _FORMULA + ")", r"\$")
+    raise ValueError(f"unknown strategy {strategy}")
+
+
+def marker_sets(chosen: Column, certain: Column, other: Column) -> Column:
+    """Struct of positions to repair: ``either`` (chosen or certain) and ``both`` (chosen and other, or certain)."""
+    return F.struct(F.array_sort(F.array_union(chosen, certain)).alias("either"), F.array_sort(F.array_union(F.array_intersect(chosen, other), certain)).alias("both"))
+
+
+def letter_sections(reports: DataFrame, report: str, text: str, phrases: Sequence[str], window: int = 4, mark: str = PAGE_MARK) -> DataFrame:
+    """Letters that begin under a heading: ``report, title, start_page, end_page, text``.
+
+    A heading is one of the phrases, the longest first, at the start of a line
+    behind marks of emphasis; ``<company_name>`` stands for up to nine words.
+    A line of a table of contents (only dots, blanks and digits behind the
+    phrase) is none.  The text runs from the heading over ``window`` pages;
+    headings within them are part of it.  Pages count from 0 with blank ones.
+    """
+    wildcard = r"[\w&'.\-]+(?:\s+[\w&'.\-]+){0,8}"
+    ordered = sorted(dict.fromkeys(" ".join(p.split()) for p in phrases), key=lambda p: (-len(p), p.lower()))
+    words = [r"\s+".join(wildcard if w == "<company_name>" else re.escape(w) for w in p.split()) for p in ordered]
+    heading = r"(?im)^[ \t]*(?:#{1,6}[ \t]*)?(?:\*{1,3}[ \t]*)?(?:_{1,3}[ \t]*)?(" + "|".join(f"(?:{w})" for w in words) + r")(?=\W|$)(?![ \t.·…]*[0-9]*[ \t.·…]*[0-9]+[ \t]*$)"
+    pages = F.split(F.col(text), mark)
+    marked = reports.where(F.col(text).rlike(heading)).withColumn("__pages", pages)
+    found = F.transform("__pages", lambda p, i: F.struct(i.alias("page"), F.regexp_extract_all(p, F.lit(heading), F.lit(1)).alias("titles")))
+    first = F.filter(found, lambda x: F.size(x["titles"]) > 0)
+    keep = F.aggregate(first, F.filter(first, lambda x: F.lit(False)), lambda acc, x: F.when((F.size(acc) == 0) | (x["page"] >= F.element_at(acc, -1)["page"] + window), F.concat(acc, F.array(x))).otherwise(acc))
+    rows = marked.select(report, "__pages", F.explode(keep).alias("k"))
+    title = F.element_at("k.titles", 1)
+    last = F.least(F.col("k.page") + window, F.size("__pages"))
+    opening = F.expr("substring(element_at(__pages, k.page + 1), locate(element_at(k.titles, 1), element_at(__pages, k.page + 1)))")
+    chunks = F.concat(F.array(opening), F.slice("__pages", F.col("k.page") + 2, F.greatest(last - F.col("k.page") - 1, F.lit(0))))
+    body = F.array_join(F.transform(chunks, lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), "\n\n<--- Page Split --->\n\n")
+    return rows.select(report, F.trim(title).alias("title"), F.col("k.page").alias("start_page"), (last - 1).alias("end_page"), body.alias("text"))
+
+
+def neighbouring_texts(blocks: DataFrame, page: Sequence[str], order: str, kind: str, text: str, reach: int = 2) -> DataFrame:
+    """Table blocks with up to ``reach`` text blocks before and after them on the page."""
+    w = Window.partitionBy(*page).orderBy(order)
+    is_text = F.when((F.col(kind) != "table") & (F.trim(text) != ""), F.col(text))
+    # the last ones before are the first ones in reverse
+    first = lambda over: F.slice(F.collect_list(is_text).over(over.rowsBetween(1, Window.unboundedFollowing)), 1, reach)
+    back = Window.partitionBy(*page).orderBy(F.col(order).desc())
+    return blocks.withColumns({"before": F.reverse(first(back)), "after": first(w)}).where(F.col(kind) == "table")

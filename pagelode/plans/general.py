@@ -39,15 +39,25 @@ def p5_signatures(spark: SparkSession, sf: str) -> DataFrame:
     return wide.characteristic_sets(_kpis(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_values, p5_found, p5_wide, p5_signatures)}
+def p5_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """Filled cells of the wide table by attribute."""
+    w = _kpis(spark, sf)
+    kpis = [c for c in w.columns if c not in ("ticker", "year", "signature", "contradicted")]
+    counts = w.agg(*[F.count(c).alias(c) for c in kpis])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kpi"), F.col(c).alias("filled")) for c in kpis])).alias("x")).select("x.*").where("filled > 0")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_values, p5_found, p5_wide, p5_signatures, p5_filled)}
 _NUMBER = r"CASE WHEN regexp_matches(t, '^\(.*\)$|^-') THEN -1.0 ELSE 1.0 END * TRY_CAST(regexp_replace(t, '[()\s,$]|^[-+]', '', 'g') AS DOUBLE)"
 _DATE = "coalesce(try_strptime(t, '%Y-%m-%d'), try_strptime(t, '%m/%d/%Y'), try_strptime(t, '%d %b %Y'), try_strptime(t, '%Y%m%d'))"
 _YES_NO = "CASE WHEN lower(t) IN ('true', 't', 'yes', 'y', '1') THEN 'true' WHEN lower(t) IN ('false', 'f', 'no', 'n', '0') THEN 'false' END"
-ORACLES: dict[str, str] = {
-    "p5_found": rf"""
+_CELLS = rf"""
 WITH r AS (SELECT upper(trim(ticker)) AS ticker, CAST(year AS BIGINT) AS year, regexp_replace(regexp_replace(lower(trim(kpi)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS kpi, trim(value) AS t FROM kpis_long WHERE ticker IS NOT NULL AND year IS NOT NULL AND kpi IS NOT NULL),
 v AS (SELECT ticker, year, kpi, CASE kpi WHEN 'reporting_currency' THEN upper(t) WHEN 'restated' THEN {_YES_NO} WHEN 'fiscal_year_end' THEN CAST({_DATE} AS VARCHAR)
   ELSE CAST(CASE WHEN kpi IN ('shares_outstanding', 'employees') THEN round({_NUMBER}) ELSE {_NUMBER} END + 0.0 AS VARCHAR) END AS v
   FROM r WHERE lower(t) NOT IN ('', 'none', 'null', 'nan', 'na', 'n/a', 'error', '-', '--', '—', '–'))
-SELECT ticker, year, kpi FROM v GROUP BY 1, 2, 3 HAVING count(DISTINCT v) > 1""",
+"""
+ORACLES: dict[str, str] = {
+    "p5_found": _CELLS + "SELECT ticker, year, kpi FROM v GROUP BY 1, 2, 3 HAVING count(DISTINCT v) > 1",
+    "p5_filled": _CELLS + "SELECT kpi, count(DISTINCT (ticker, year)) AS filled FROM v WHERE v IS NOT NULL AND kpi <> '' AND ticker <> '' GROUP BY 1",
 }

@@ -101,6 +101,10 @@ _DECILE = ", ".join(
 )
 _SPLIT = r"string_split_regex(text, '(?i)<---\s*page split\s*--->')"
 ORACLES = {
+    "amount_labels": """WITH a AS (SELECT c_custkey, c_acctbal * 1000 AS v FROM customer), b AS (SELECT *, abs(v) AS a FROM a)
+SELECT c_custkey, CASE WHEN v < 0 THEN '-$' ELSE '$' END || CASE WHEN a >= 1e9 THEN printf('%.1fB', round(a / 1e9, 1)) WHEN a >= 1e6 THEN printf('%.1fM', round(a / 1e6, 1)) WHEN a >= 1e3 THEN printf('%.1fK', round(a / 1e3, 1)) ELSE printf('%.2f', a) END AS label FROM b""",
+    "currency_marks": r"""WITH c AS (SELECT snippet, strpos(snippet, raw_number) - 1 AS i FROM candidates WHERE raw_number <> '' AND snippet IS NOT NULL), s AS (SELECT substr(snippet, greatest(i - 31, 1), 64) AS s FROM c)
+SELECT CASE WHEN regexp_matches(s, '[£€¥₹]|\b(GBP|EUR|CHF|JPY|INR|CAD|AUD)\b') THEN 'non_usd' WHEN regexp_matches(s, '\$|\bUSD\b') THEN 'usd' ELSE 'unknown' END AS currency, count(*) AS n FROM s GROUP BY 1""",
     "page_split": rf"""WITH s AS (SELECT doc_id, unnest({_SPLIT}) AS t, generate_subscripts({_SPLIT}, 1) - 1 AS raw_page FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, raw_page, row_number() OVER (PARTITION BY doc_id ORDER BY raw_page) - 1 AS dense_page, sha256(t) AS sha FROM s WHERE trim(regexp_replace(t, '\s+', ' ', 'g')) <> ''""",
     "report_names": r"""SELECT report_name, regexp_extract(report_name, '^([A-Za-z]+)_(.+)_([0-9]{4})(?:_([0-9a-fA-F]+))?$', 1) AS exchange, regexp_extract(report_name, '^([A-Za-z]+)_(.+)_([0-9]{4})(?:_([0-9a-fA-F]+))?$', 2) AS ticker,

@@ -171,3 +171,30 @@ def selected_companies(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object industry -> exchange -> companies as rows."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, map<string, array<struct<ticker: string, name: string>>>>").alias("m"))
     return raw.select(F.explode("m").alias("industry", "e")).select("industry", F.explode("e").alias("exchange", "c")).select("industry", "exchange", F.inline("c"))
+
+
+def earnings_calendar(spark: SparkSession, path: str) -> DataFrame:
+    """Earnings days from CSV: ``ticker, date, estimate, actual, surprise``; rows without a day are left out, of repeated days the first in order of figures counts."""
+    raw = spark.read.option("header", "true").csv(path)
+    rows = raw.select("ticker", F.to_date(F.col("date")).alias("date"), *[F.col(c).try_cast("double").alias(c) for c in ("estimate", "actual", "surprise")]).where("date IS NOT NULL AND ticker IS NOT NULL")
+    return rows.groupBy("ticker", "date").agg(F.min(F.struct("estimate", "actual", "surprise")).alias("r")).select("ticker", "date", "r.*")
+
+
+def statement_facts(frame: DataFrame, entity: str, label: str, periods: Sequence[str], names: dict[str, str], cutoff_month: int = 1) -> DataFrame:
+    """A label-by-period frame as ``entity, kpi, fiscal_year, value``: labels by a map to kpis, the first label in the map's order with a value wins."""
+    from ..operators.facts import fiscal_year
+
+    order = {k: i for i, k in enumerate(names)}
+    long = frame.unpivot([entity, label], list(periods), "period", "value").where("value IS NOT NULL")
+    known = long.where(F.col(label).isin(*names))
+    place = F.coalesce(*[F.when(F.col(label) == k, F.lit(i)) for k, i in order.items()])
+    kpi = F.coalesce(*[F.when(F.col(label) == k, F.lit(v)) for k, v in names.items()])
+    keyed = known.select(entity, kpi.alias("kpi"), fiscal_year(F.col("period").cast("date"), cutoff_month).alias("fiscal_year"), F.struct(place.alias("p"), F.col("period"), F.col("value")).alias("r"))
+    return keyed.groupBy(entity, "kpi", "fiscal_year").agg(F.min("r")["value"].alias("value"))
+
+
+def daily_prices(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """Stored daily prices below a folder partitioned by ticker: ``ticker, date, close, volume``."""
+    reader = spark.read.option("header", "true") if kind == "csv" else spark.read
+    rows = reader.format(kind).load(path)
+    return rows.select("ticker", F.col("date").cast("date").alias("date"), F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"))

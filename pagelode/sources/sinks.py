@@ -70,3 +70,21 @@ def markdown(rows: DataFrame, most: int = 500) -> str:
         raise ValueError(f"more than {most} rows; aggregate first")
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns) + "\n"
     return head + "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in data)
+
+
+def write_facts(facts: DataFrame, path: str, keys: Sequence[str], attribute: str, value: str, attributes: Sequence[str]) -> None:
+    """Facts three times over: ``long``, ``wide`` with a column per attribute, and ``coverage`` by attribute."""
+    facts.write.mode("overwrite").parquet(f"{path}/long")
+    facts.groupBy(*keys).agg(*[F.min(F.when(F.col(attribute) == a, F.col(value))).alias(a) for a in attributes]).write.mode("overwrite").parquet(f"{path}/wide")
+    facts.groupBy(attribute).agg(F.count(value).alias("filled"), F.countDistinct(*keys).alias("entities")).write.mode("overwrite").option("header", "true").csv(f"{path}/coverage")
+
+
+def all_sessions(summaries: dict[str, DataFrame]) -> DataFrame:
+    """Summaries of several sessions in one table, by name of the session; columns that one lacks are null."""
+    out = None
+    for name, one in sorted(summaries.items()):
+        one = one.withColumn("session", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no session")
+    return out
