@@ -351,7 +351,7 @@ def question_parts_by(qid: Column, variant: str = "first", tickers: Column | Non
         pattern = r"^(.+)_([^_]+)_([0-9]{4})$"
         return F.when(qid.rlike(pattern), F.struct(F.regexp_extract(qid, pattern, 1).alias("ticker"), F.regexp_extract(qid, pattern, 2).alias("kpi"), F.regexp_extract(qid, pattern, 3).cast("int").alias("year")))
     if variant == "report" and tickers is not None:
-        known = F.element_at(F.filter(F.reverse(F.array_sort(tickers)), lambda t: F.startswith(qid, F.concat(t, F.lit("_")))), 1)
+        known = F.try_element_at(F.filter(F.reverse(F.array_sort(tickers)), lambda t: F.startswith(qid, F.concat(t, F.lit("_")))), F.lit(1))
         rest = F.substring(qid, F.length(known) + 2, F.length(qid))
         return F.when(known.isNotNull() & rest.rlike(r"^.+_[0-9]{4}$"), F.struct(known.alias("ticker"), F.regexp_extract(rest, r"^(.+)_([0-9]{4})$", 1).alias("kpi"), F.regexp_extract(rest, r"_([0-9]{4})$", 1).cast("int").alias("year")))
     raise ValueError(f"unknown variant {variant}")

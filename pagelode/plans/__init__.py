@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("general", "facts", "scoring", "text", "search", "series", "agreement", "models", "streams", "audits", "selection")
+FAMILIES = ("general", "facts", "scoring", "text", "search", "series", "agreement", "models", "streams", "audits", "selection", "files")
 
 
 def registry() -> tuple[dict, dict]:

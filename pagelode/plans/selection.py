@@ -242,7 +242,7 @@ c AS (SELECT docid, concat_ws(' ', lag(t) OVER w, t, lead(t) OVER w) AS c FROM l
 SELECT docid, count(*) AS lines FROM c WHERE {' OR '.join(f'regexp_matches(c, {u})' for u in _UNITS)} GROUP BY 1""",
     "grade_offsets": """WITH g AS (SELECT l_returnflag, l_linenumber % 4 AS a, CAST(l_quantity AS INT) % 4 AS b FROM lineitem)
 SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE a = b) AS exact, count(*) FILTER (WHERE abs(a - b) = 1) AS off_by_1, count(*) FILTER (WHERE abs(a - b) >= 2) AS off_by_2, count(*) FILTER (WHERE a > b) AS a_higher, count(*) FILTER (WHERE a < b) AS b_higher FROM g GROUP BY 1""",
-    "best_methods": """WITH m AS (SELECT l_returnflag, l_linestatus, 'm' || l_linenumber AS method, CASE WHEN l_linenumber <> 3 THEN avg(l_discount) END AS metric, avg(l_tax) AS base FROM lineitem GROUP BY 1, 2, 3)
+    "best_methods": """WITH a AS (SELECT l_returnflag, l_linestatus, l_linenumber AS k, avg(l_discount) AS d, avg(l_tax) AS base FROM lineitem GROUP BY 1, 2, 3), m AS (SELECT *, 'm' || k AS method, CASE WHEN k <> 3 THEN d END AS metric FROM a)
 SELECT l_returnflag, l_linestatus, arg_max(method, metric) AS method, round(max(metric), 8) AS best, round(max(base), 8) AS baseline, round(max(metric) - max(base), 8) AS gain FROM m GROUP BY 1, 2""",
     "class_window_means": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value, round(avg(value) FILTER (WHERE day(ts) <= 6), 6) AS window_value FROM events GROUP BY 1",
     "selection_bias": """WITH c AS (SELECT o_custkey, bool_or(o_orderpriority = '1-URGENT') AS f, avg(o_totalprice) AS m FROM orders GROUP BY 1), s AS (SELECT avg(m) FILTER (WHERE f) AS a, avg(m) FILTER (WHERE NOT f) AS b FROM c)
