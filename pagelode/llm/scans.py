@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -132,7 +133,7 @@ def pieces(line: str) -> list[tuple[int, str]]:
 class Traits(dict):
     """Of a word between blanks: 1 if noise explains none of its parts, plus 2 if it ends a company's name, plus 4 if a known header begins so."""
 
-    CLEAN, NAME, FIRST = {1, 3, 5, 7}, {2, 3, 6, 7}, {4, 5, 6, 7}
+    CLEAN, NAME, FIRST, HEADER = {1, 3, 5, 7}, {2, 3, 6, 7}, {4, 5, 6, 7}, {2, 3, 4, 5, 6, 7}
 
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -350,17 +351,22 @@ def repair(text: str, page: int | None, head: str | None, model: Model, own: fro
     """Find and mend a page's noise.  ``head`` is the next page's first body word, null when that page is missing; ``whole`` asks for the text too."""
     lines = text.split("\n")
     trait = model.traits.__getitem__
-    traits = [set(map(trait, x.split())) for x in lines]
-    furniture = [model.is_furniture(x, t, page, own) for x, t in zip(lines, traits)]
+    words = [x.split() for x in lines]
+    traits = [set(map(trait, w)) for w in words]
+    # most lines are too long for a number alone, set off nothing and begin as no header does
+    furniture = [
+        (len(x) <= 24 or own or not t.isdisjoint(Traits.HEADER) or "  " in x or "\t" in x) and model.is_furniture(x, t, page, own)
+        for x, t in zip(lines, traits)
+    ]
     noise = [(i, "furniture") for i, f in enumerate(furniture) if f]
-    body = [i for i, x in enumerate(lines) if not furniture[i] and x.strip()]
+    body = [i for i, w in enumerate(words) if w and not furniture[i]]
     follower = dict(zip(body, body[1:]))
     glyph: set[int] = set()
     fixed: dict[int, str] = {}
     joins: set[int] = set()
     open_end = False
     for i in body:
-        if lines[i].rstrip()[-1] not in _HYPHENS or not (m := _END.search(lines[i])):
+        if words[i][-1][-1] not in _HYPHENS or not (m := _END.search(lines[i])):
             continue
         if i in follower:
             after: str | None = _bare_first(lines[follower[i]])
@@ -383,10 +389,10 @@ def repair(text: str, page: int | None, head: str | None, model: Model, own: fro
                 if marks:
                     glyph.add(i)
                     edits.append((at, core, _cased(core, best)))
-        if i in joins and (tail := pieces(lines[i].split()[-1])):
+        if i in joins and (tail := pieces(words[i][-1])):
             core = tail[-1][1]
             if i in follower:
-                rest = pieces(lines[follower[i]].split(None, 1)[0])
+                rest = pieces(words[follower[i]][0])
                 _, marks = model.decode([core + (rest[0][1] if rest else "")])[0]
                 if any(k < len(core) for k in marks):
                     glyph.add(i)
@@ -445,7 +451,7 @@ class Tally:
 
     def add(self, text: str, page: int | None, report: str | None) -> None:
         self.pages += 1
-        keys = self.keys
+        keys, key = self.keys, self.keys.__getitem__
         flat: list[str] = []  # "" parts words that don't follow each other
         broken = False
         for line in text.split("\n"):
@@ -474,10 +480,9 @@ class Tally:
                 flat += words
                 broken = ends
             else:
-                for t in end.split():
-                    flat += keys[t]
+                flat.extend(chain.from_iterable(map(key, end.split())))
         self.words.update(flat)
-        self.pairs.update(zip(flat, flat[1:]))
+        self.pairs.update(pairwise(flat))
 
     def rows(self) -> pd.DataFrame:
         """``kind, a, b, n``; the counts begin anew."""
@@ -613,7 +618,7 @@ def scanned_noise(pages: DataFrame, whole: bool = True) -> DataFrame:
     seen = given.select("src", "item_key", "report", F.col("page").cast("double").alias("page"), "text", "forms")
     seen = seen.mapInPandas(first, f"src string, item_key string, {parts}")
     columns = [c for c in seen.columns if c not in ("src", "item_key")]
-    digest = F.xxhash64(F.to_json(F.struct("noise", "head", "text", "repaired")))
+    digest = F.xxhash64("noise", "head", "text", "repaired")
     once = durable(seen.groupBy("src", "item_key").agg(F.min(F.struct(digest.alias("digest"), *columns)).alias("p")).select("src", "item_key", *[f"p.{c}" for c in columns]))
     heads = once.where("report IS NOT NULL AND page IS NOT NULL AND head IS NOT NULL").groupBy("src", "report", (F.col("page") - 1).alias("page")).agg(F.min("head").alias("next"))
     opened = once.where("text IS NOT NULL").drop("head").join(heads, ["src", "report", "page"])
