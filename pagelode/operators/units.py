@@ -163,23 +163,15 @@ def common_units(candidates: DataFrame, notes: DataFrame, min_links: int = 5) ->
     heading = F.when(per_share | (shares & F.lower("page_heading").rlike(r"(except|excluding|other than)( for)?( the)?( number of)? shares?\b")), None).otherwise(F.col("page_heading"))
     money_note = notes.where(F.col("report_name").isNotNull()).select("report_name", unit_word(F.col("units_note")).alias("note_unit"))
     money_note = durable(money_note.where("note_unit IS NOT NULL").groupBy("report_name").agg(F.min("note_unit").alias("note_unit")))
-    read = candidates.select(
-        "candidate_id",
-        "normalized_value",
-        F.when(per_share | shares, None).otherwise(F.col("report_name")).alias("report_name"),
-        read_number(raw).alias("number"),
-        unit_word(rest, inline=True).alias("u1"),
-        unit_word(label).alias("u2"),
-        unit_word(heading).alias("u3"),
-    )
-    inside = F.coalesce("u1", "u2", "u3").isNotNull()
+    named = lambda place, word: F.concat(F.lit(place), word)
+    own = F.coalesce(named("inline:", unit_word(rest, inline=True)), named("label:", unit_word(label)), named("heading:", unit_word(heading)))
+    read = candidates.select("candidate_id", "normalized_value", F.when(per_share | shares, None).otherwise(F.col("report_name")).alias("report_name"), read_number(raw).alias("number"), own.alias("source"))
+    read = durable(read)
     # only rows that state no unit themselves look for a note
-    stated = read.where(inside | F.col("report_name").isNull()).withColumn("note_unit", F.lit(None).cast("string"))
-    read = stated.unionByName(with_small(read.where(~inside & F.col("report_name").isNotNull()), money_note, "report_name", ["candidate_id"]))
-    source = F.coalesce(
-        F.concat(F.lit("inline:"), "u1"), F.concat(F.lit("label:"), "u2"), F.concat(F.lit("heading:"), "u3"), F.concat(F.lit("note:"), "note_unit"), F.lit("written:")
-    )
-    read = durable(read.select("candidate_id", "normalized_value", "number", source.alias("source")))
+    looks = F.col("source").isNull() & F.col("report_name").isNotNull()
+    columns = ["candidate_id", "normalized_value", "number"]
+    noted = with_small(read.where(looks), money_note, "report_name", ["candidate_id"]).select(*columns, F.coalesce(named("note:", F.col("note_unit")), F.lit("written:")).alias("source"))
+    read = read.where(~looks).select(*columns, F.coalesce("source", F.lit("written:")).alias("source")).unionByName(noted)
     links = read.where("number IS NOT NULL AND normalized_value IS NOT NULL").select(
         F.col("source").alias("a"), F.lit("stored").alias("b"), F.col("number").alias("va"), F.col("normalized_value").alias("vb")
     )
