@@ -3,39 +3,105 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 
 def _order(by: Sequence[str], time: str):
     return Window.partitionBy(*by).orderBy(time)
 
 
+#: Rows of a series in one block; a series with more is cut into several.
+BLOCK = 4096
+
+
+def _slot(series: DataFrame, time: str) -> Column:
+    """A coarse step of a time column that keeps its order; missing times come first."""
+    kind, t = dict(series.dtypes)[time], F.col(time)
+    if kind == "date":
+        step = F.floor(F.unix_date(t) / 90)
+    elif kind.startswith("timestamp"):
+        step = F.unix_date(t.cast("date"))
+    elif kind in ("int", "bigint", "smallint", "tinyint"):
+        step = F.floor(t / 1024)
+    else:
+        return F.when(t.isNull(), 0).otherwise(1)
+    return F.coalesce(step.cast("bigint"), F.lit(-(2**62)))
+
+
+def _joined(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of ``a`` on keys of which some may be null."""
+    right = b.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
+    return a.join(right, reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(keys)]), "left").drop(*[f"__r{i}" for i in range(len(keys))])
+
+
 def with_ordinal(series: DataFrame, by: Sequence[str], time: str, value: str | None = None) -> DataFrame:
-    """Trading-day ordinal from 0, per series; rows without the value are dropped first if one is named."""
+    """Trading-day ordinal from 0, per series; rows without the value are dropped first if one is named.
+
+    Rows are numbered within slots of time, and the slots' sizes summed up
+    before them, so that no series is sorted in one task.
+    """
     if value is not None:
         series = series.where(F.col(value).isNotNull())
-    return series.withColumn("ordinal", F.row_number().over(_order(by, time)) - 1)
+    cut = series.withColumn("__s", _slot(series, time))
+    sizes = cut.groupBy(*by, "__s").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*by, "__s", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy(*by, "__s").orderBy(time)) - 1
+    return _joined(cut.withColumn("__i", inner), sizes, [*by, "__s"]).withColumn("ordinal", (F.col("__before") + F.col("__i")).cast("int")).drop("__s", "__i", "__before")
+
+
+def _blocks(series: DataFrame, by: Sequence[str], time: str, before: int, after: int, carry: str | None = None) -> DataFrame:
+    """Blocks ``__b`` of each series in order ``__o``, with ``before`` and ``after`` rows of the neighbours (not ``__own``).
+
+    With ``carry``, ``__f`` is that column's last known value at each row,
+    wherever in the series it stands.  A series that has its ``ordinal``
+    already isn't numbered again.
+    """
+    at = F.col("__o")
+    rows = series.withColumn("__o", F.col("ordinal")) if "ordinal" in series.columns else with_ordinal(series, by, time).withColumnRenamed("ordinal", "__o")
+    first, last = F.greatest(F.floor((at - after) / BLOCK), F.lit(0)), F.floor((at + before) / BLOCK)
+    out = rows.withColumn("__b", F.explode(F.sequence(first, last))).withColumn("__own", F.floor(at / BLOCK) == F.col("__b"))
+    if carry is None:
+        return out
+    # the last known value before a block's first row, neighbours included
+    known = rows.groupBy(*by, F.floor((at + before) / BLOCK).alias("__b")).agg(F.max(F.when(F.col(carry).isNotNull(), F.struct("__o", F.col(carry).alias("v"))))["v"].alias("__v"))
+    ahead = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    known = known.select(*by, "__b", F.last("__v", ignorenulls=True).over(ahead).alias("__carry"))
+    out = _joined(out, known, [*by, "__b"])
+    return out.withColumn("__f", F.coalesce(F.last(carry, ignorenulls=True).over(_within(by)), F.col("__carry"))).drop("__carry")
+
+
+def _within(by: Sequence[str]):
+    return Window.partitionBy(*by, "__b").orderBy("__o")
+
+
+def _own(blocks: DataFrame) -> DataFrame:
+    return blocks.where("__own").drop("__o", "__b", "__own", "__f")
 
 
 def pct_change(series: DataFrame, by: Sequence[str], time: str, value: str, name: str) -> DataFrame:
     """Change against the last known value before; gaps are filled forward first."""
-    w = _order(by, time)
-    filled = series.withColumn("__f", F.last(value, ignorenulls=True).over(w))
-    return filled.withColumn(name, F.try_divide("__f", F.lag("__f").over(w)) - 1).drop("__f")
+    blocks = _blocks(series, by, time, 1, 0, value)
+    return _own(blocks.withColumn(name, F.try_divide("__f", F.lag("__f").over(_within(by))) - 1))
 
 
 def rolling_sd(series: DataFrame, by: Sequence[str], time: str, value: str, rows: int, name: str) -> DataFrame:
     """Sample deviation over the last rows; null until all of them are there."""
-    w = _order(by, time).rowsBetween(1 - rows, 0)
-    return series.withColumn(name, F.when(F.count(value).over(w) >= rows, F.stddev_samp(value).over(w)))
+    w = _within(by).rowsBetween(1 - rows, 0)
+    return _own(_blocks(series, by, time, rows - 1, 0).withColumn(name, F.when(F.count(value).over(w) >= rows, F.stddev_samp(value).over(w))))
 
 
 def shifted_return(series: DataFrame, by: Sequence[str], time: str, value: str, days: Sequence[int]) -> DataFrame:
     """value[t+d]/value[t] - 1 for each d, as columns return_<d> (m for minus)."""
-    w = _order(by, time)
-    return series.withColumns({f"return_{'m' if d < 0 else ''}{abs(d)}": F.try_divide(F.lead(value, d).over(w) if d > 0 else F.lag(value, -d).over(w), F.col(value)) - 1 for d in days})
+    w = _within(by)
+    shifted = {f"return_{'m' if d < 0 else ''}{abs(d)}": F.try_divide(F.lead(value, d).over(w) if d > 0 else F.lag(value, -d).over(w), F.col(value)) - 1 for d in days}
+    return _own(_blocks(series, by, time, max([0, *(-d for d in days)]), max([0, *days])).withColumns(shifted))
 
 
 def trailing(shifted: Column) -> Column:
@@ -133,7 +199,7 @@ def filing_windows(filings: DataFrame, calendar: DataFrame, by: Sequence[str], k
     calendar lacks.
     """
     local = F.from_utc_timestamp(F.col(accepted), zone)
-    days = with_ordinal(calendar.select(*by, F.col(day).cast("date").alias("__d")).where("__d IS NOT NULL").distinct(), by, "__d")
+    days = durable(with_ordinal(calendar.select(*by, F.col(day).cast("date").alias("__d")).where("__d IS NOT NULL").distinct(), by, "__d"))
     f = filings.where(F.col(accepted).isNotNull()).select(*by, key, local.alias("__at"), local.cast("date").alias("__d"))
     f = f.join(days.select(*by, "__d", F.lit(True).alias("__open")), [*by, "__d"], "left").withColumn("__class", session_of(F.col("__at"), F.col("__open")))
     start = F.when(F.col("__class").isin("pre_market", "intraday"), F.col("__d")).otherwise(F.date_add("__d", 1))
@@ -179,21 +245,21 @@ def filing_returns(windows: DataFrame, stock: DataFrame, benchmark: DataFrame, i
 
 def central_change(series: DataFrame, by: Sequence[str], time: str, value: str, name: str) -> DataFrame:
     """value[t+1] - value[t-1]."""
-    w = _order(by, time)
-    return series.withColumn(name, F.lead(value).over(w) - F.lag(value).over(w))
+    w = _within(by)
+    return _own(_blocks(series, by, time, 1, 1).withColumn(name, F.lead(value).over(w) - F.lag(value).over(w)))
 
 
 def forward_mean(series: DataFrame, by: Sequence[str], time: str, value: str, first: int, last: int, name: str) -> DataFrame:
-    return series.withColumn(name, F.avg(value).over(_order(by, time).rowsBetween(first, last)))
+    """Mean of the known values of the rows t+first to t+last."""
+    blocks = _blocks(series, by, time, max(0, -first), max(0, last))
+    return _own(blocks.withColumn(name, F.avg(value).over(_within(by).rowsBetween(first, last))))
 
 
 def band(series: DataFrame, by: Sequence[str], time: str, value: str, rows: int) -> DataFrame:
     """Rolling mean and deviation band of the forward-filled value."""
-    w = _order(by, time)
-    filled = series.withColumn("__f", F.last(value, ignorenulls=True).over(w))
-    r = w.rowsBetween(1 - rows, 0)
+    r = _within(by).rowsBetween(1 - rows, 0)
     mean, sd = F.avg("__f").over(r), F.stddev_samp("__f").over(r)
-    return filled.withColumns({"band_mean": mean, "band_low": mean - sd, "band_high": mean + sd}).drop("__f")
+    return _own(_blocks(series, by, time, rows - 1, 0, value).withColumns({"band_mean": mean, "band_low": mean - sd, "band_high": mean + sd}))
 
 
 def missing_days(rows: DataFrame, events: DataFrame, key: Sequence[str], days: Sequence[int], value: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import series as W
-from ..session import clean_ticker, table
+from ..session import clean_ticker, durable, table
 
 
 def _daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -15,6 +15,11 @@ def _daily(spark: SparkSession, sf: str) -> DataFrame:
     return o.groupBy("c_nationkey", F.col("o_orderdate").cast("date").alias("day")).agg(F.avg("o_totalprice").alias("price"), F.count(F.lit(1)).cast("double").alias("volume"))
 
 
+def _numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily series with each day's ordinal, kept because every step reads it anew."""
+    return durable(W.with_ordinal(_daily(spark, sf), ["c_nationkey"], "day"))
+
+
 _DAILY = "WITH d AS (SELECT c_nationkey, CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS price, CAST(count(*) AS DOUBLE) AS volume FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
 _BY = ["c_nationkey"]
 
@@ -24,16 +29,16 @@ def _r(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 
 
 def daily_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(W.pct_change(_daily(spark, sf), _BY, "day", "price", "ret"), "ret").select("c_nationkey", "day", "ret")
+    return _r(W.pct_change(_numbered(spark, sf), _BY, "day", "price", "ret"), "ret").select("c_nationkey", "day", "ret")
 
 
 def rolling_volatility(spark: SparkSession, sf: str) -> DataFrame:
-    d = W.pct_change(_daily(spark, sf), _BY, "day", "price", "ret")
+    d = W.pct_change(_numbered(spark, sf), _BY, "day", "price", "ret")
     return _r(W.rolling_sd(d, _BY, "day", "ret", 20, "vol20"), "vol20").select("c_nationkey", "day", "vol20")
 
 
 def shifted_returns(spark: SparkSession, sf: str) -> DataFrame:
-    d = W.shifted_return(_daily(spark, sf), _BY, "day", "price", [-5, 1, 5])
+    d = W.shifted_return(_numbered(spark, sf), _BY, "day", "price", [-5, 1, 5])
     d = d.withColumn("trailing_5", W.trailing(F.col("return_m5")))
     return _r(d, "return_m5", "return_1", "return_5", "trailing_5").select("c_nationkey", "day", "return_m5", "return_1", "return_5", "trailing_5")
 
@@ -65,7 +70,7 @@ def latest_window_before(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    d = W.with_ordinal(_daily(spark, sf), _BY, "day", "price")
+    d = durable(W.with_ordinal(_daily(spark, sf), _BY, "day", "price"))
     days = d.groupBy(*_BY, F.year("day").alias("year")).agg(F.min("ordinal").alias("anchor"))
     n = d.groupBy(*_BY).agg(F.count(F.lit(1)).alias("n"))
     kept = days.join(n, _BY).where(W.inside(F.col("anchor"), F.col("n"), 10)).select(*_BY, "year", "anchor")
@@ -97,7 +102,7 @@ def window_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def central_changes(spark: SparkSession, sf: str) -> DataFrame:
-    d = W.central_change(_daily(spark, sf), _BY, "day", "volume", "change")
+    d = W.central_change(_numbered(spark, sf), _BY, "day", "volume", "change")
     d = W.forward_mean(d, _BY, "day", "price", 1, 5, "ahead5")
     return _r(d, "ahead5").select("c_nationkey", "day", "change", "ahead5")
 
@@ -117,11 +122,12 @@ def filing_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 def filing_returns_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Returns around every filing, against all nations and against the region."""
-    daily = _daily(spark, sf)
+    daily = _numbered(spark, sf)
     stock = W.shifted_return(daily, _BY, "day", "price", [1, 5])
     stock = W.rolling_sd(W.pct_change(stock, _BY, "day", "price", "ret"), _BY, "day", "ret", 20, "volatility")
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("bigint").alias("region"))
     benchmark = W.pct_change(daily.groupBy("day").agg(F.avg("price").alias("price")).withColumn("one", F.lit(1)), ["one"], "day", "price", "returns").select("day", "returns")
+    stock = durable(stock)  # read by nation and by region, at three days each
     industry = stock.join(F.broadcast(nations), "c_nationkey").groupBy("region", "day").agg(*[F.avg(c).alias(c) for c in ("return_1", "return_5", "volume", "volatility")])
     windows = W.filing_windows(_filings(spark, sf), daily, _BY, "o_orderkey", "accepted", "day", "UTC").where("t1 IS NOT NULL").join(F.broadcast(nations), "c_nationkey")
     out = W.filing_returns(windows, stock, benchmark, industry, _BY, ["region"], "day")

@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pagelode.operators import facts, match, scoring, search, series, stats
@@ -195,3 +196,24 @@ def test_recorded_answers(spark):
     ask = lambda p: json.dumps({"n": int(p)})
     got = df.mapInPandas(lambda b: T.recorded_answers(b, ask), "key string, status string, answer string").orderBy("key").collect()
     assert got[0].answer == '{"n": 1}' and got[1].status.startswith("error")
+
+
+def test_series_in_blocks(spark, monkeypatch):
+    """A series cut into blocks gives what an uncut one gives, gaps across blocks, null keys and repeated runs included."""
+    rng = np.random.default_rng(4)
+    rows = [(k, int(t), None if rng.random() < 0.3 or 20 < t < 60 else float(rng.integers(1, 9))) for k, n in (("hot", 150), ("small", 5), (None, 30)) for t in rng.permutation(n)]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+    steps = {
+        "pct": lambda: series.pct_change(df, ["k"], "t", "v", "x"), "sd": lambda: series.rolling_sd(df, ["k"], "t", "v", 3, "x"), "shift": lambda: series.shifted_return(df, ["k"], "t", "v", [-2, 1, 3]),
+        "central": lambda: series.central_change(df, ["k"], "t", "v", "x"), "forward": lambda: series.forward_mean(df, ["k"], "t", "v", 1, 5, "x"), "band": lambda: series.band(df, ["k"], "t", "v", 4), "ordinal": lambda: series.with_ordinal(df, ["k"], "t"),
+    }
+    fixed = lambda d: sorted(tuple("None" if x is None else repr(round(x, 9)) if isinstance(x, float) else str(x) for x in r) for r in d.collect())
+    whole = {n: fixed(f()) for n, f in steps.items()}
+    assert all(len(r) == len(rows) for r in whole.values())
+    w = pd.DataFrame(rows, columns=["k", "t", "v"])
+    hot = w[w.k == "hot"].sort_values("t").v.ffill()
+    got = {r.t: r.x for r in steps["pct"]().where("k = 'hot'").collect()}
+    assert all(np.isclose(got[i], x) for i, x in enumerate(hot.pct_change(fill_method=None)) if x == x)
+    monkeypatch.setattr(series, "BLOCK", 7)
+    for n, f in steps.items():
+        assert fixed(f()) == whole[n], n
