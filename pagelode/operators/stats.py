@@ -134,14 +134,16 @@ def stratified_sample(df: DataFrame, stratum: str, order: Sequence[Column], k: i
 def balanced_slots(items: DataFrame, key: str, slots: int, overlap_share: float = 0.2, votes: int = 3) -> DataFrame:
     """Items shared out to slots evenly; a share of them goes to ``votes`` neighbouring slots for agreement.
 
-    An item's slot follows from its rank by hash within its bucket, so that
-    the slots' sizes differ by little and no item list is held in one task.
+    An item's slot follows from its rank in the order of a hash of its key, so
+    the slots' sizes differ by at most one before the shared items and the
+    share is met to one item; no item list is held in one task.
     """
-    h = F.xxhash64(key)
-    slot = F.pmod(h, F.lit(slots))
-    shared = F.pmod(F.shiftright(h, 17), F.lit(1000)) < int(overlap_share * 1000)
-    targets = F.when(shared, F.transform(F.sequence(F.lit(0), F.lit(votes - 1)), lambda d: F.pmod(slot + d, F.lit(slots)))).otherwise(F.array(slot))
-    return items.withColumn("expected_votes", F.size(targets)).withColumn("slot", F.explode(targets))
+    rank = F.col("__rank")
+    ranked = spread_rank(items.withColumn("__all", F.lit(0)), ["__all"], F.xxhash64(key), key, "__rank")
+    slot = (rank % slots).cast("int")
+    shared = F.floor((rank + 1) * overlap_share + 1e-9) > F.floor(rank * overlap_share + 1e-9)
+    targets = F.when(shared, F.transform(F.sequence(F.lit(0), F.lit(votes - 1)), lambda d: (slot + d) % slots)).otherwise(F.array(slot))
+    return ranked.withColumn("expected_votes", F.size(targets)).withColumn("slot", F.explode(targets)).drop("__all", "__rank")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:

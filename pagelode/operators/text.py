@@ -223,6 +223,11 @@ def fill_template(template: Column, name: Column, year: Column, safe: bool = Tru
     return F.replace(F.replace(template, F.lit("ABC"), name), F.lit("X"), year.cast("string"))
 
 
+def choose_template(question: Column, templates: Sequence[str], seed: int = 42) -> Column:
+    """One of the templates by a seeded hash of the question: the same for the same seed, each equally often."""
+    return F.get(F.array(*[F.lit(t) for t in templates]), F.pmod(F.xxhash64(F.lit(seed), question), F.lit(len(templates))).cast("int"))
+
+
 def short_amount(value: Column) -> Column:
     """$1.2B, $3.4M, $5.6K or $7.00, halves rounded up."""
     a = F.abs(value)

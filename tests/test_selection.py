@@ -85,3 +85,12 @@ def test_spread_rank_and_classifiers(spark):
         assert len(out) == 3 and all(r.accuracy > 0.4 for r in out)
     with pytest.raises(ValueError):
         models.cross_validated(data, "id", "v", "y", method="other")
+
+
+def test_even_slots_and_templates(spark):
+    got = stats.balanced_slots(spark.range(1003), "id", 7, 0.2, 3).toPandas()
+    assert got.groupby("id").slot.nunique().value_counts().to_dict() == {1: 803, 3: 200}
+    own = got[got.expected_votes == 1].slot.value_counts()
+    assert len(own) == 7 and got.slot.value_counts().max() - got.slot.value_counts().min() <= 40
+    picks = spark.range(3000).select(T.choose_template(F.col("id").cast("string"), ["a", "b", "c"]).alias("t")).groupBy("t").count().collect()
+    assert {r.t for r in picks} == {"a", "b", "c"} and all(850 < r["count"] < 1150 for r in picks)
