@@ -51,13 +51,15 @@ def with_small(df: DataFrame, side: DataFrame, key: str, spread: Sequence[str],
     Up to ``most`` rows it is broadcast.  A larger one is joined by key and
     salt: each row of ``df`` falls into one of ``salts`` parts of its key by
     the hash of the ``spread`` columns, and the side is repeated over them, so
-    that a key with a third of all rows is no single task.  Rows without key
-    go past the join.
+    that a key with a third of all rows is no single task.  The hint keeps the
+    repeated side out of the driver: its estimate is that of the files and
+    knows nothing of the salts, so it may lie under the broadcast threshold.
+    Rows without key go past the join.
     """
     if side.count() <= most:
         return df.join(F.broadcast(side), key, "left")
     known = df.where(F.col(key).isNotNull()).withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    wide = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    wide = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return known.join(wide, [key, "__salt"], "left").drop("__salt").unionByName(df.where(F.col(key).isNull()), allowMissingColumns=True)
 
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from pagelode.operators import units as U
+from pagelode.session import with_small
 
 COLUMNS = "candidate_id bigint, report_name string, kpi string, raw_number string, page_heading string, snippet string, normalized_value double, ticker string"
 
@@ -84,6 +85,16 @@ def test_notes_beyond_the_broadcast_and_two_notes(spark):
     assert one == two
 
 
+def test_salted_notes_stay_out_of_the_driver(spark):
+    """Beyond the bound the notes aren't broadcast, however small Spark takes the files they come from to be."""
+    rows = spark.range(2000).select("id", (F.col("id") % 500).cast("string").alias("report_name"))
+    notes = spark.range(300).select(F.col("id").cast("string").alias("report_name"), (F.col("id") * 2).alias("note"))
+    out = with_small(rows, notes, "report_name", ["id"], most=100)
+    assert sorted((r.id, r.note) for r in out.collect()) == [(i, 2 * (i % 500) if i % 500 < 300 else None) for i in range(2000)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_empty(spark):
     values = U.common_units(spark.createDataFrame([], COLUMNS + ", source string"), spark.createDataFrame([], "report_name string, units_note string"))
     assert values.count() == 0
